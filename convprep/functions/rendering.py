@@ -26,9 +26,15 @@ def message_text(p: ProfileColumns, m: Column) -> Column:
     return F.when(m["content"] == "", "").otherwise(F.concat(opening, m["content"], closing))
 
 
-def message_cost(p: ProfileColumns, m: Column, words: Column) -> Column:
-    framed = p.frame_tokens + words + F.when(_is_reply(m), p.reply_frame_tokens).otherwise(0)
-    return F.when(m["content"] == "", 0).otherwise(framed)
+def counted_text(p: ProfileColumns, counter, m: Column) -> Column:
+    """The text of a message to hand to the counter: its content, or all of it with its frame."""
+    return message_text(p, m) if counter.framed else m["content"]
+
+
+def message_cost(p: ProfileColumns, counter, m: Column, counted: Column) -> Column:
+    """Tokens of a framed message, given the count of its ``counted_text``."""
+    frame = p.frame_tokens + F.when(_is_reply(m), p.reply_frame_tokens).otherwise(0)
+    return F.when(m["content"] == "", 0).otherwise(counted if counter.framed else frame + counted)
 
 
 def preamble_shown(p: ProfileColumns, preamble: Column) -> Column:
@@ -46,14 +52,19 @@ def preamble_text(p: ProfileColumns, preamble: Column) -> Column:
     return F.when(preamble_shown(p, preamble), block).otherwise("")
 
 
+def _format_line(p: ProfileColumns) -> Column:
+    return F.coalesce(F.concat(p.system_open, p.reply_format_text, p.close), F.lit(""))
+
+
 def tail_text(p: ProfileColumns) -> Column:
     """What follows the last message: an optional system line, then the generation cue."""
-    line = F.concat(p.system_open, p.reply_format_text, p.close)
-    return F.concat(F.coalesce(line, F.lit("")), p.suffix)
+    return F.concat(_format_line(p), p.suffix)
 
 
 def base_cost(p: ProfileColumns, counter, preamble: Column) -> Column:
     """Tokens of everything but the turns and the generation cue."""
+    if counter.framed:
+        return counter.count(F.concat(open_prompt(p, preamble), _format_line(p)))
     shown = p.frame_tokens + counter.count(preamble_body(p, preamble))
     line = F.coalesce(p.frame_tokens + counter.count(p.reply_format_text), F.lit(0))
     return p.prefix_tokens + F.when(preamble_shown(p, preamble), shown).otherwise(0) + line

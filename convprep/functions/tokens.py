@@ -3,6 +3,11 @@
 A counter works on arrays of texts at the top level of a plan, never inside a
 lambda, so the same operators accept a JVM-side counter and an Arrow-batched
 one around a user's tokenizer.
+
+Costs add up: control tokens part the text before any merging of sub-words, so
+the size of a prompt is the sum over its messages.  A counter with ``framed``
+set is given each message with its control tokens and need not agree with the
+frame sizes of the profile.
 """
 
 from __future__ import annotations
@@ -38,6 +43,8 @@ def split_words(text: Column) -> Column:
 class WordCounter:
     """Whitespace words, counted by a built-in expression."""
 
+    framed = False
+
     def count(self, text: Column) -> Column:
         return F.regexp_count(text, F.lit(WORD))
 
@@ -63,6 +70,8 @@ def _tokenizer(file_name: str):
 class TokenizerCounter:
     """Counts with a user's ``tokenizer.json``, shipped once to every executor."""
 
+    framed = True
+
     def __init__(self, spark: SparkSession, path: str):
         spark.sparkContext.addFile(path)
         self._file = path.rsplit("/", 1)[-1]

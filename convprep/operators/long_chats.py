@@ -27,6 +27,7 @@ from convprep.operators.turns import (
     combine_turn_facts,
     message_costs,
     message_turns,
+    preamble_rows,
     turn_facts,
 )
 from convprep.profiles import Profile, profile_columns
@@ -104,25 +105,20 @@ def long_samples(
     counter=None,
     extra: list[str] | None = None,
     block: int = BLOCK,
-    base_tokens: int | None = None,
 ) -> DataFrame:
     """Samples of long chats, given as messages with their ``block``.
 
     ``extra`` names chat-level columns of ``blocked`` to carry along.
-    ``base_tokens`` is the size of an empty prompt, needed in mode
-    ``reference`` when the profile's framing is not the standard one.
     """
     counter, extra = counter or WordCounter(), extra or []
     p = profile_columns(profile)
-    empty = base_tokens if base_tokens is not None else empty_base(profile)
+    empty = blocked.sparkSession.range(1).select(base_cost(p, counter, F.lit(""))).first()[0]
     window = context_window(budget, profile, mode, empty)
 
     numbered = message_turns(message_costs(blocked, profile, counter), block)
     pieces = turn_facts(numbered, ["chat_id", "turn", "block"])
     facts = combine_turn_facts(pieces)
-    firsts = numbered.filter(F.col("pos") == 0).select(
-        "chat_id", *extra, F.when(F.col("turn") < 0, F.col("content")).otherwise("").alias("preamble")
-    )
+    firsts = preamble_rows(blocked).select("chat_id", *extra, "preamble")
     heads = (
         chat_validity(facts)
         .filter("valid")
@@ -183,17 +179,3 @@ def long_samples(
     full = with_chat_facts(segments, heads, F.col("_into"))
     return segment_samples(full, profile, budget, mode, counter, extra)
 
-
-def empty_base(profile: Profile) -> int:
-    """Size of an empty prompt in whitespace words, from the profile alone."""
-    body = ""
-    if profile.safety_text is not None:
-        body += "# Safety Preamble\n" + profile.safety_text + "\n\n"
-    body += profile.preamble_title
-    shown = profile.preamble_always or profile.safety_text is not None
-    line = profile.reply_format_text
-    return (
-        profile.prefix_tokens
-        + (profile.frame_tokens + len(body.split()) if shown else 0)
-        + (profile.frame_tokens + len(line.split()) if line is not None else 0)
-    )

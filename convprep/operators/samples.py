@@ -85,7 +85,11 @@ def segment_samples(
     # projections apart instead of inlining them into the lambdas.
     folded = (
         segments.withColumn("_pre", pre)
-        .withColumn("_starts", start_pointers(F.col("_pre"), base, budget, credit, F.col("own_from"), F.col("carried")))
+        .withColumn("_credit", credit)
+        .withColumn(
+            "_starts",
+            start_pointers(F.col("_pre"), base, budget, F.col("_credit"), F.col("own_from"), F.col("carried")),
+        )
         .withColumn("_open", open_prompt(p, F.col("preamble")))
     )
     turns, starts = F.col("turns"), F.col("_starts")

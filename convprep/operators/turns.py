@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from convprep.functions.messages import CHATBOT, SYSTEM, USER, body_of, preamble_of
-from convprep.functions.rendering import base_cost, message_cost, message_text
+from convprep.functions.rendering import base_cost, counted_text, message_cost, message_text
 from convprep.functions.tokens import WordCounter
 from convprep.operators.running import WIDTH, running_total
 from convprep.profiles import Profile, profile_columns
@@ -26,7 +26,7 @@ def array_turns(chats: DataFrame, profile: Profile | Column, counter=None) -> Da
         "_body", body_of(F.col("messages"))
     )
     counted = body.withColumn(
-        "_words", counter.count_all(F.transform("_body", lambda m: m["content"]))
+        "_words", counter.count_all(F.transform("_body", lambda m: counted_text(p, counter, m)))
     ).withColumn("base", base_cost(p, counter, F.col("preamble")))
     parts = counted.withColumn(
         "_parts",
@@ -36,7 +36,7 @@ def array_turns(chats: DataFrame, profile: Profile | Column, counter=None) -> Da
             lambda m, w: F.struct(
                 m["content"].alias("content"),
                 message_text(p, m).alias("text"),
-                message_cost(p, m, w).alias("cost"),
+                message_cost(p, counter, m, w).alias("cost"),
             ),
         ),
     ).withColumn(
@@ -130,28 +130,34 @@ def combine_turn_facts(pieces: DataFrame) -> DataFrame:
 
 
 def chat_validity(facts: DataFrame) -> DataFrame:
-    """``chat_id, n_messages, valid`` (and the fingerprint) from turn facts.
+    """``chat_id, n_messages, valid, valid_request`` (and the fingerprint) from turn facts.
 
-    The opening System message counts for the first turn only when the reply
-    does not follow it directly; then another message stands between them, so
-    counting the other messages is enough.
+    A reply must have another message than the opening System message in its
+    turn.  A request is a chat in want of a reply: it ends in an open turn that
+    one could be given to.
     """
     ended = F.col("end_pos").isNotNull()
-    answered = (F.col("users") > 0) | (F.col("systems") > 0) & (F.col("end_pos") > 1)
+    answers = F.col("users") + F.col("systems") > 0
+    sound = F.bool_and("known") & F.bool_and(~ended | answers)
     return facts.groupBy("chat_id").agg(
         F.sum("n_messages").alias("n_messages"),
-        (
-            F.bool_and("known") & F.bool_and(~ended | answered) & (F.count("end_pos") > 0)
-        ).alias("valid"),
+        (sound & (F.count("end_pos") > 0)).alias("valid"),
+        (sound & (F.count_if((F.col("turn") >= 0) & ~ended & answers) > 0)).alias("valid_request"),
         *[F.bit_xor(c).alias(c) for c in FINGERPRINT if c in facts.columns],
     )
 
 
 def message_costs(messages: DataFrame, profile: Profile, counter=None) -> DataFrame:
-    """Add ``words`` and ``cost`` to a message table."""
+    """Add ``cost`` to a message table."""
     counter = counter or WordCounter()
     p = profile_columns(profile)
     row = {"role": F.col("role"), "content": F.col("content")}
-    return messages.withColumn("words", counter.count(F.col("content"))).withColumn(
-        "cost", message_cost(p, row, F.col("words")).cast("long")
+    counted = counter.count(counted_text(p, counter, row))
+    return messages.withColumn("cost", message_cost(p, counter, row, counted).cast("long"))
+
+
+def preamble_rows(messages: DataFrame) -> DataFrame:
+    """The first message of each chat; its text where it is the preamble, else empty."""
+    return messages.filter(F.col("pos") == 0).withColumn(
+        "preamble", F.when(F.col("role") == SYSTEM, F.col("content")).otherwise("")
     )

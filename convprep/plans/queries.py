@@ -12,22 +12,22 @@ from convprep.functions.messages import (
     SYSTEM,
     USER,
     body_of,
-    has_preamble,
     normalize_role,
     preamble_of,
 )
 from convprep.functions.rendering import base_cost, render_messages, strip_begin, training_text
 from convprep.functions.tokens import WordCounter, length_bucket, rendered_tokens
-from convprep.functions.validity import is_valid_inference
-from convprep.operators.chats import chat_table, message_table, messages_of, pairs_to_chats
+from convprep.operators.chats import BLOCK, chat_table, message_table, messages_of, pairs_to_chats
 from convprep.operators.dedupe import cast_declared, chat_facts, dedupe_chats, dedupe_rows, first_chats
 from convprep.operators.inference import batch_generate, extract_replies, request_prompts
 from convprep.operators.lengths import choose_length, sample_tokens
+from convprep.operators.long_chats import with_chat_facts
 from convprep.operators.report import funnel, preview
+from convprep.operators.running import block_of
 from convprep.operators.samples import EXACT, REFERENCE
 from convprep.operators.split import split_exact, split_ordered
 from convprep.operators.tensors import label_mask, pack, with_special, word_ids
-from convprep.operators.turns import message_costs, message_turns, turn_facts
+from convprep.operators.turns import message_costs, message_turns, preamble_rows, turn_facts
 from convprep.plans.session import scratch_path
 from convprep.plans.training import training_samples, training_set, training_sets
 from convprep.profiles import (
@@ -124,13 +124,18 @@ def chat_validity(spark, folder):
 
 def inference_validity(spark, folder):
     """Chats as requests, once as they end and once without their last message."""
-    chats = chat_table(_messages(spark, folder))
-    size = F.size("messages")
-    cut = F.explode(F.array(F.lit(0), F.lit(1)))
-    rows = chats.withColumn("dropped", cut).withColumn(
-        "messages", F.slice("messages", F.lit(1), size - F.col("dropped"))
+    messages = _messages(spark, folder)
+    lasts = messages.groupBy("chat_id").agg(F.max("pos").alias("last"))
+    # One row per chat and block of messages, so the join has no hot key.
+    spread = lasts.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), block_of("last", BLOCK))))
+    ended = messages.withColumn("block", block_of("pos", BLOCK)).join(spread, ["chat_id", "block"])
+    cut = ended.withColumn("dropped", F.explode(F.array(F.lit(0), F.lit(1))))
+    kept = cut.filter(F.col("pos") <= F.col("last") - F.col("dropped")).select(
+        F.struct("chat_id", "dropped").alias("chat_id"), "pos", "role", "content"
+    )
+    return chat_facts(kept).select(
+        "chat_id.chat_id", "chat_id.dropped", F.col("valid_request").alias("valid")
     )
-    return rows.select("chat_id", "dropped", is_valid_inference(F.col("messages")).alias("valid"))
 
 
 def chat_dedupe(spark, folder):
@@ -186,17 +191,15 @@ def turn_cost(spark, folder):
 
 def preamble_cost(spark, folder):
     """Tokens of a prompt without turns, in every profile; most chats have no preamble."""
-    chats = chat_table(_messages(spark, folder)).withColumn(
+    firsts = preamble_rows(_messages(spark, folder)).withColumn(
         "name", F.explode(F.array(*[F.lit(p.name) for p in (PLAIN, SECTIONED, MARKED)]))
     )
-    rows = with_profile(chats, "name")
     p = profile_columns(F.col("profile"))
-    preamble = preamble_of(F.col("messages"))
-    return rows.select(
+    return with_profile(firsts, "name").select(
         "chat_id",
         F.col("name").alias("profile"),
-        has_preamble(F.col("messages")).alias("has_preamble"),
-        base_cost(p, WordCounter(), preamble).cast("long").alias("base"),
+        (F.col("role") == SYSTEM).alias("has_preamble"),
+        base_cost(p, WordCounter(), F.col("preamble")).cast("long").alias("base"),
     )
 
 
@@ -221,11 +224,9 @@ def raw_string_tokens(spark, folder):
 
 
 def overlong_drop(spark, folder):
-    chats = chat_table(_messages(spark, folder)).select(
-        "chat_id",
-        base_cost(profile_columns(SECTIONED), WordCounter(), preamble_of(F.col("messages"))).alias("base"),
-    )
-    rows = _turn_costs(spark, folder, SECTIONED).join(chats, "chat_id")
+    base = base_cost(profile_columns(SECTIONED), WordCounter(), F.col("preamble"))
+    bases = preamble_rows(_messages(spark, folder)).select("chat_id", base.alias("base"))
+    rows = with_chat_facts(_turn_costs(spark, folder, SECTIONED), bases, F.col("turn"))
     return rows.select("chat_id", "turn", "cost", (F.col("base") + F.col("cost") <= 128).alias("kept"))
 
 
