@@ -16,6 +16,7 @@ from convprep.functions.messages import normalize_role, pair_messages
 from convprep.operators.running import block_of
 
 BLOCK = 1024
+SALTS = 64
 
 
 def message_table(
@@ -84,10 +85,11 @@ def chat_table(messages: DataFrame) -> DataFrame:
     return assemble(messages.withColumn("block", F.lit(0)))
 
 
-def messages_of(chats: DataFrame) -> DataFrame:
+def messages_of(chats: DataFrame, extra: list[str] | None = None) -> DataFrame:
     """Message table from a chat table."""
-    return chats.select("chat_id", F.posexplode("messages").alias("pos", "m")).select(
-        "chat_id", F.col("pos").cast("long").alias("pos"), "m.role", "m.content"
+    kept = ["chat_id", *(extra or [])]
+    return chats.select(*kept, F.posexplode("messages").alias("pos", "m")).select(
+        *kept, F.col("pos").cast("long").alias("pos"), "m.role", "m.content"
     )
 
 
@@ -97,3 +99,14 @@ def pairs_to_chats(pairs: DataFrame, chat_id: str | Column = "chat_id") -> DataF
     return pairs.select(
         key.alias("chat_id"), pair_messages(F.col("prompt"), F.col("completion")).alias("messages")
     )
+
+
+def with_chat_facts(rows: DataFrame, facts: DataFrame, spread_by: Column) -> DataFrame:
+    """Join one-row-per-chat facts; a hot chat's rows spread over ``SALTS`` keys."""
+    salts = F.array(*[F.lit(i) for i in range(SALTS)])
+    salted = facts.withColumn("_salt", F.explode(salts))
+    return (
+        rows.withColumn("_salt", F.pmod(spread_by, F.lit(SALTS)).cast("int"))
+        .join(salted, ["chat_id", "_salt"])
+        .drop("_salt")
+    )

@@ -13,13 +13,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from convprep.functions.messages import CHATBOT
 from convprep.functions.rendering import base_cost, message_text
 from convprep.functions.tokens import WordCounter
-from convprep.operators.chats import BLOCK
+from convprep.operators.chats import BLOCK, with_chat_facts
 from convprep.operators.running import running_total
 from convprep.operators.samples import EXACT, segment_samples
 from convprep.operators.turns import (
@@ -32,20 +32,6 @@ from convprep.operators.turns import (
 )
 from convprep.profiles import Profile, profile_columns
 
-SALTS = 64
-
-
-def with_chat_facts(rows: DataFrame, facts: DataFrame, spread_by: Column) -> DataFrame:
-    """Join one-row-per-chat facts; a hot chat's rows spread over ``SALTS`` keys."""
-    salts = F.array(*[F.lit(i) for i in range(SALTS)])
-    salted = facts.withColumn("_salt", F.explode(salts))
-    return (
-        rows.withColumn("_salt", F.pmod(spread_by, F.lit(SALTS)).cast("int"))
-        .join(salted, ["chat_id", "_salt"])
-        .drop("_salt")
-    )
-
-
 def context_window(budget: int, profile: Profile, mode: str, base_tokens: int) -> int:
     """Upper bound on the tokens of any context.
 

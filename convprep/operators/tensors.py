@@ -56,6 +56,9 @@ def pack(
     """
     closed = F.col("ids") if end is None else F.concat("ids", F.array(F.lit(end)))
     rows = samples.select(F.pmod("chat_id", F.lit(shards)).alias("shard"), "chat_id", "turn", closed.alias("ids"))
+    # The join below needs this exchange; stating it here lets the sizes read
+    # the same shuffle files instead of making the ids again.
+    rows = rows.repartition("chat_id", "turn")
     sizes = rows.select("shard", "chat_id", "turn", F.size("ids").cast("long").alias("_n"))
     chats = sizes.groupBy("shard", "chat_id").agg(F.sum("_n").alias("_n"))
     chats = running_total(chats, ["shard"], "chat_id", "_n", "_chat_at", width).drop("_n")

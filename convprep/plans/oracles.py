@@ -275,6 +275,19 @@ def _token_ids(select: str) -> str:
 # Fixed value of the end-of-prompt token's place among the control tokens.
 _MARKER = CONTROL_TOKENS.index(SECTIONED.last_prompt_token)
 
+_TWO_SIDES = _with(
+    ("m", MESSAGES),
+    *_valid("m"),
+    *_unique("m"),
+    *_turns(PLAIN),
+    *_samples(PLAIN, 1024, "SELECT chat_id FROM f"),
+    ("m2", PAIR_MESSAGES),
+    *_valid("m2", "2"),
+    *_unique("m2", "2"),
+    *_turns(PLAIN, "2"),
+    *_samples(PLAIN, 1024, "SELECT chat_id FROM f2", tag="2"),
+)
+
 ORACLES: dict[str, str] = {
     "normalize_roles": f"SELECT conv_id, turn, {ROLE} AS role, text FROM conversations",
     "pc_to_chat": PAIR_MESSAGES,
@@ -310,6 +323,8 @@ ORACLES: dict[str, str] = {
     UNION ALL SELECT 'duplicate', (SELECT count(*) FROM v WHERE valid) - (SELECT count(*) FROM f)""",
     "split_exact": _with(("m", TWICE), *_valid("m"), *_unique("m"), *_split("f", 0.2))
     + "SELECT chat_id, split FROM sp",
+    "split_report": _with(("m", MESSAGES), *_valid("m"), *_unique("m"), *_split("f", 0.29))
+    + "SELECT split AS stage, count(*) AS n FROM sp GROUP BY split",
     "split_ordered": """SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY doc_id)
         <= trunc(count(*) OVER () * 0.8::DOUBLE) THEN 'train' ELSE 'eval' END AS split FROM documents""",
     "turns": _with(("m", MESSAGES), *_valid("m"), *_turns(PLAIN))
@@ -337,9 +352,17 @@ ORACLES: dict[str, str] = {
     UNION ALL SELECT chat_id, 'marked_cue', {_words(_spaced('rendered'))} - 3 FROM r2
     UNION ALL SELECT chat_id, 'closed', {_words(_spaced('rendered'))} - 2 FROM r
     UNION ALL SELECT chat_id, 'raw', {_words(_spaced("rendered || 'ok'"))} + 1 FROM r""",
-    "overlong_drop": _with(("m", MESSAGES), *_valid("m"), *_turns(SECTIONED))
-    + """SELECT chat_id, t::BIGINT AS turn, cost::BIGINT AS cost, base + cost <= 128 AS kept
-    FROM t JOIN c USING (chat_id)""",
+    "overlong_drop": _with(
+        (
+            "m",
+            f"""SELECT 'as_is:' || chat_id AS chat_id, pos, role, content FROM ({MESSAGES})
+            UNION ALL SELECT 'blank:' || chat_id, pos, role, '' FROM ({MESSAGES})""",
+        ),
+        *_valid("m"),
+        *_turns(SECTIONED),
+    )
+    + """SELECT chat_id, t::BIGINT AS turn, cost::BIGINT AS cost, CASE WHEN cost = 0 THEN 'empty_turn'
+    WHEN base + cost > 128 THEN 'over_budget' END AS reason FROM t JOIN c USING (chat_id)""",
     "budget_fit_exact": _conversation_samples(MARKED, 256)
     + "SELECT chat_id, turn, first_turn, n_tokens FROM x",
     "budget_fit_reference": _conversation_samples(MARKED, 256, "reference")
@@ -350,19 +373,10 @@ ORACLES: dict[str, str] = {
     "render_custom_profile": _render(CUSTOM),
     "training_samples": _conversation_samples(SECTIONED, 512) + "SELECT * FROM x",
     "training_set": _set(TWICE, 512) + "SELECT x.*, split FROM x JOIN sp USING (chat_id)",
-    "separate_eval": _with(
-        ("m", MESSAGES),
-        *_valid("m"),
-        *_unique("m"),
-        *_turns(PLAIN),
-        *_samples(PLAIN, 1024, "SELECT chat_id FROM f"),
-        ("m2", PAIR_MESSAGES),
-        *_valid("m2", "2"),
-        *_unique("m2", "2"),
-        *_turns(PLAIN, "2"),
-        *_samples(PLAIN, 1024, "SELECT chat_id FROM f2", tag="2"),
-    )
-    + "SELECT *, 'train' AS split FROM x UNION ALL SELECT *, 'eval' FROM x2",
+    "separate_eval": _TWO_SIDES + "SELECT *, 'train' AS split FROM x UNION ALL SELECT *, 'eval' FROM x2",
+    "prepare_folders": _TWO_SIDES
+    + """SELECT * EXCLUDE (chat_id), 'train' AS split FROM x
+    UNION ALL SELECT * EXCLUDE (chat_id), 'eval' FROM x2""",
     "training_text": _conversation_samples(SECTIONED, 512)
     + "SELECT chat_id, turn, rtrim(prompt || '  ', ' ') || ltrim('  ' || completion || ' ', ' ') AS text FROM x",
     "length_bucket": _set(MESSAGES, 16384)

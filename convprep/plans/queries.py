@@ -21,14 +21,14 @@ from convprep.operators.chats import BLOCK, chat_table, message_table, messages_
 from convprep.operators.dedupe import cast_declared, chat_facts, dedupe_chats, dedupe_rows, first_chats
 from convprep.operators.inference import batch_generate, extract_replies, request_prompts
 from convprep.operators.lengths import choose_length, sample_tokens
-from convprep.operators.long_chats import with_chat_facts
-from convprep.operators.report import funnel, preview
+from convprep.operators.report import funnel, preview, split_sizes
 from convprep.operators.running import block_of
 from convprep.operators.samples import EXACT, REFERENCE
 from convprep.operators.split import split_exact, split_ordered
 from convprep.operators.tensors import label_mask, pack, with_special, word_ids
-from convprep.operators.turns import message_costs, message_turns, preamble_rows, turn_facts
+from convprep.operators.turns import message_costs, message_turns, preamble_rows, turn_facts, turn_verdicts
 from convprep.plans.session import scratch_path
+from convprep.plans.files import prepare
 from convprep.plans.training import training_samples, training_set, training_sets
 from convprep.profiles import (
     CONTROL_TOKENS,
@@ -165,6 +165,11 @@ def split_exact_query(spark, folder):
     return split_exact(unique, 0.2).select("chat_id", "split")
 
 
+def split_report(spark, folder):
+    messages = _messages(spark, folder)
+    return split_sizes(split_exact(first_chats(chat_facts(messages)), 0.29))
+
+
 def split_ordered_query(spark, folder):
     return split_ordered(_table(spark, folder, "documents").select("doc_id"), 0.8, "doc_id")
 
@@ -224,10 +229,13 @@ def raw_string_tokens(spark, folder):
 
 
 def overlong_drop(spark, folder):
-    base = base_cost(profile_columns(SECTIONED), WordCounter(), F.col("preamble"))
-    bases = preamble_rows(_messages(spark, folder)).select("chat_id", base.alias("base"))
-    rows = with_chat_facts(_turn_costs(spark, folder, SECTIONED), bases, F.col("turn"))
-    return rows.select("chat_id", "turn", "cost", (F.col("base") + F.col("cost") <= 128).alias("kept"))
+    """Every chat as it is and with all its texts blank, which leaves empty turns."""
+    kinds = F.explode(F.array(F.lit("as_is"), F.lit("blank")))
+    messages = _messages(spark, folder).withColumn("kind", kinds)
+    messages = messages.withColumn("chat_id", F.concat_ws(":", "kind", "chat_id")).withColumn(
+        "content", F.when(F.col("kind") == "blank", "").otherwise(F.col("content"))
+    )
+    return turn_verdicts(messages.drop("kind"), SECTIONED, 128)
 
 
 def _fit(spark, folder, mode):
@@ -345,6 +353,14 @@ def batch_generate_query(spark, folder):
     return extract_replies(batch_generate(prompts, _count_characters)).select("req_id", "text", "problem")
 
 
+def prepare_folders(spark, folder):
+    """Chat files to train on, each chat twice, and pair files to evaluate on."""
+    base = scratch_path(spark, "folders")
+    writers.write_chat_jsonl(chat_table(_twice(_messages(spark, folder))), f"{base}/train")
+    _pairs(spark, folder).select("prompt", "completion").write.options(**writers.CSV_WRITE).csv(f"{base}/eval")
+    return prepare(spark, f"{base}/train", f"{base}/eval", profile=PLAIN, budget=1024).drop("chat_id")
+
+
 def csv_round_trip(spark, folder):
     path = scratch_path(spark, "samples-csv")
     writers.write_samples_csv(_pairs(spark, folder), path)
@@ -470,6 +486,7 @@ QUERIES: dict[str, Query] = {
     "row_dedupe": row_dedupe,
     "funnel_report": funnel_report,
     "split_exact": split_exact_query,
+    "split_report": split_report,
     "split_ordered": split_ordered_query,
     "turns": turns,
     "turn_cost": turn_cost,
@@ -485,6 +502,7 @@ QUERIES: dict[str, Query] = {
     "training_samples": training_samples_query,
     "training_set": training_set_query,
     "separate_eval": separate_eval,
+    "prepare_folders": prepare_folders,
     "training_text": training_text_query,
     "length_bucket": length_bucket_query,
     "sample_buckets": sample_buckets,
