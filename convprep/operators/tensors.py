@@ -19,7 +19,7 @@ def word_ids(text: Column, vocabulary: int = 50000) -> Column:
     controls = F.array(*[F.lit(t) for t in CONTROL_TOKENS])
 
     def word_id(word: Column) -> Column:
-        known = F.array_position(controls, word)
+        known = F.when(F.startswith(word, F.lit("<")), F.array_position(controls, word)).otherwise(0)
         hashed = F.conv(F.substring(F.md5(word), 1, 8), 16, 10).cast("long")
         return F.when(known > 0, known - 1).otherwise(hashed % vocabulary + len(CONTROL_TOKENS)).cast("int")
 
@@ -49,17 +49,18 @@ def pack(
 ) -> DataFrame:
     """``shard, block, ids``: the samples of a shard end to end, cut every ``length`` tokens.
 
-    ``samples`` has integer ``chat_id, turn`` and ``ids``; ``end`` is put after
-    each sample.  Offsets come from running totals of sample sizes, so only
-    numbers are ordered; a block gathers at most ``length`` tokens.  The last
-    block of a shard may be shorter and can be left out.
+    ``samples`` has integer ``chat_id, turn``, and ``ids`` with their number
+    ``n_ids``; it is read for the sizes and again for the ids, so give it as a
+    stored table.  ``end`` is put after each sample.  Offsets come from running
+    totals of sizes, so only numbers are ordered; a block gathers at most
+    ``length`` tokens.  The last block of a shard may be shorter and can be
+    left out.
     """
     closed = F.col("ids") if end is None else F.concat("ids", F.array(F.lit(end)))
-    rows = samples.select(F.pmod("chat_id", F.lit(shards)).alias("shard"), "chat_id", "turn", closed.alias("ids"))
-    # The join below needs this exchange; stating it here lets the sizes read
-    # the same shuffle files instead of making the ids again.
-    rows = rows.repartition("chat_id", "turn")
-    sizes = rows.select("shard", "chat_id", "turn", F.size("ids").cast("long").alias("_n"))
+    shard = F.pmod("chat_id", F.lit(shards)).alias("shard")
+    rows = samples.select(shard, "chat_id", "turn", closed.alias("ids"))
+    size = F.col("n_ids").cast("long") + (0 if end is None else 1)
+    sizes = samples.select(shard, "chat_id", "turn", size.alias("_n"))
     chats = sizes.groupBy("shard", "chat_id").agg(F.sum("_n").alias("_n"))
     chats = running_total(chats, ["shard"], "chat_id", "_n", "_chat_at", width).drop("_n")
     inside = running_total(sizes, ["shard", "chat_id"], "turn", "_n", "_turn_at", width)

@@ -27,7 +27,7 @@ from convprep.operators.samples import EXACT, REFERENCE
 from convprep.operators.split import split_exact, split_ordered
 from convprep.operators.tensors import label_mask, pack, with_special, word_ids
 from convprep.operators.turns import message_costs, message_turns, preamble_rows, turn_facts, turn_verdicts
-from convprep.plans.session import scratch_path
+from convprep.plans.session import scratch_path, stored
 from convprep.plans.files import prepare
 from convprep.plans.training import training_samples, training_set, training_sets
 from convprep.profiles import (
@@ -470,7 +470,8 @@ def label_mask_query(spark, folder):
 def packed_blocks(spark, folder):
     samples = training_samples(_messages(spark, folder), SECTIONED, 512)
     ids = with_special(word_ids(training_text(F.col("prompt"), F.col("completion"))))
-    blocks = pack(samples.select("chat_id", "turn", ids.alias("ids")), 256, shards=8)
+    table = samples.select("chat_id", "turn", ids.alias("ids")).withColumn("n_ids", F.size("ids"))
+    blocks = pack(stored(table, "token-ids"), 256, shards=8)
     return blocks.select(
         "shard", "block", F.size("ids").cast("long").alias("n_ids"), F.array_join("ids", " ").alias("ids")
     )

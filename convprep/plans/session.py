@@ -28,3 +28,10 @@ def cut_lineage(rows: DataFrame) -> DataFrame:
     if rows.sparkSession.conf.get("spark.checkpoint.dir", None):
         return rows.checkpoint()
     return rows
+
+
+def stored(rows: DataFrame, name: str) -> DataFrame:
+    """Write rows that several later steps read to the shared folder, and read them back."""
+    path = scratch_path(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)

@@ -41,6 +41,7 @@ def test_packing(spark, width):
         for turn in range(rng.choice([1, 2, 40 if chat == 4 else 3])):
             samples.append((chat, turn, [rng.randrange(100) for _ in range(rng.choice([0, 1, 7, 33]))]))
     rows = spark.createDataFrame(samples, "chat_id long, turn long, ids array<int>")
+    rows = rows.withColumn("n_ids", F.size("ids"))
     got = {(r.shard, r.block): r.ids for r in pack(rows, length, shards, end=-1, width=width).collect()}
     want = {}
     for shard in range(shards):
