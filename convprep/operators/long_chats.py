@@ -10,15 +10,13 @@ place of each kept turn is known.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from convprep.functions.messages import CHATBOT
 from convprep.functions.rendering import base_cost, message_text
 from convprep.functions.tokens import WordCounter
+from convprep.operators.carried_starts import carried_starts
 from convprep.operators.chats import BLOCK, with_chat_facts
 from convprep.operators.running import running_total
 from convprep.operators.samples import EXACT, segment_samples
@@ -46,43 +44,6 @@ def context_window(budget: int, profile: Profile, mode: str, base_tokens: int) -
     return budget + -(-b * (least + b + budget) // least)
 
 
-def reference_entries(kept: DataFrame, budget: int, credit: int) -> DataFrame:
-    """Start carried into each segment under the stateful rule.
-
-    Works on four numbers per turn.  The turns of a chat come in order and only
-    those of the current context are held.
-    """
-
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        chat, held, segment, ahead = None, 0, -1, []
-        for batch in batches:
-            out = []
-            rows = zip(batch["chat_id"], batch["base"], batch["rank"], batch["pre"], batch["cost"], batch["segment"])
-            for chat_id, base, rank, pre, cost, seg in rows:
-                if chat_id != chat:
-                    chat, held, segment, ahead = chat_id, 0, -1, []
-                if seg != segment:
-                    out.append((chat_id, seg, held))
-                    segment = seg
-                ahead.append((rank, pre))
-                end, old = base + pre + cost, held
-                at = 0
-                while end - ahead[at][1] - (ahead[at][0] - old) * credit > budget:
-                    at += 1
-                if at:
-                    ahead = ahead[at:]
-                    held = ahead[0][0]
-            yield pd.DataFrame(out, columns=["chat_id", "segment", "entry"])
-
-    key = kept.schema["chat_id"].dataType.simpleString()
-    return (
-        kept.select("chat_id", "base", "rank", "pre", "cost", "segment")
-        .repartition("chat_id")
-        .sortWithinPartitions("chat_id", "rank")
-        .mapInPandas(scan, f"chat_id {key}, segment bigint, entry bigint")
-    )
-
-
 def long_samples(
     blocked: DataFrame,
     profile: Profile,
@@ -158,7 +119,7 @@ def long_samples(
     if mode == EXACT:
         segments = segments.withColumn("carried", F.lit(0))
     else:
-        entries = reference_entries(kept, budget, empty).withColumnRenamed("segment", "_into")
+        entries = carried_starts(kept, budget, empty).withColumnRenamed("segment", "_into")
         segments = segments.join(entries, ["chat_id", "_into"]).withColumn(
             "carried", (F.col("entry") - F.col("_first")).cast("int")
         )

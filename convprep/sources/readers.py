@@ -76,7 +76,11 @@ def read_chat_jsonl(spark: SparkSession, path: str, strict: bool = False) -> Dat
     Numbers as content keep their spelling as text.  Any other type, missing
     or extra keys, and repeated keys are structure problems.
     """
-    lines = file_lines(spark, path)
+    return _finish(parse_chat_lines(file_lines(spark, path)), strict)
+
+
+def parse_chat_lines(lines: DataFrame) -> DataFrame:
+    """``source, value`` lines as ``source, messages, problem, value``; a row-wise step."""
     parsed = lines.withColumn("_json", F.try_parse_json(quote_numbers(F.col("value"), ["content", "role"])))
     shape = "OBJECT<messages: ARRAY<OBJECT<content: STRING, role: STRING>>>"
     messages = F.try_variant_get("_json", "$.messages", MESSAGES_DDL)
@@ -89,13 +93,12 @@ def read_chat_jsonl(spark: SparkSession, path: str, strict: bool = False) -> Dat
         .when(F.col("_json").isNull(), "malformed_json")
         .when((F.schema_of_variant("_json") != shape) | F.col("_messages").isNull() | ~complete, "structure")
     )
-    rows = typed.withColumn("problem", problem).select(
+    return typed.withColumn("problem", problem).select(
         "source",
         F.when(F.col("problem").isNull(), F.col("_messages")).alias("messages"),
         "problem",
         "value",
     )
-    return _finish(rows, strict)
 
 
 def read_pair_jsonl(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
