@@ -40,6 +40,8 @@ def session(cpus: str) -> SparkSession:
         .appName("convprep-bench")
         .config("spark.sql.shuffle.partitions", cpus if cpus.isdigit() else "8")
         .config("spark.driver.memory", os.environ.get("BENCH_MEMORY", "16g"))
+        # Call sites of expressions are of use in error messages only.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")

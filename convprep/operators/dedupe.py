@@ -17,13 +17,16 @@ from convprep.operators.turns import (
 )
 
 
-def chat_facts(messages: DataFrame) -> DataFrame:
+def chat_facts(messages: DataFrame, long_chats: bool | None = None) -> DataFrame:
     """``chat_id, n_messages, valid`` and fingerprint of every chat, without its text.
 
     One shuffle of numbers; the later steps decide on this narrow table which
-    chats to keep before any text is moved.
+    chats to keep before any text is moved.  ``long_chats`` tells whether to
+    spread chats over blocks, where the caller knows; else it is looked up.
     """
-    width = WIDTH if has_long_chats(messages, WIDTH) else None
+    if long_chats is None:
+        long_chats = has_long_chats(messages, WIDTH)
+    width = WIDTH if long_chats else None
     numbered = message_turns(messages.select("*", *message_digests()), width)
     return chat_validity(turn_facts(numbered, ["chat_id", "turn"]))
 

@@ -76,12 +76,13 @@ def training_set(
     text is shuffled once.
     """
     budget = budget if budget is not None else profile.max_length
-    kept = cut_lineage(keep_chats(chat_facts(messages), eval_fraction, seed))
+    any_long = has_long_chats(messages, block)
+    kept = cut_lineage(keep_chats(chat_facts(messages, any_long), eval_fraction, seed))
     ordinary = select_messages(messages, kept.filter(F.col("n_messages") <= block), block)
     samples = chat_samples(
         assemble(ordinary, ["split"]), profile, budget, mode, counter, ["split"], validate=False
     )
-    if not has_long_chats(messages, block):
+    if not any_long:
         return samples
     long = select_messages(messages, kept.filter(F.col("n_messages") > block), block)
     return samples.unionByName(long_samples(long, profile, budget, mode, counter, ["split"], block))

@@ -6,6 +6,7 @@ literals, or a row of a small table joined to the chats.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, fields
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -84,32 +85,33 @@ MARKED = Profile(
 PROFILES = {p.name: p for p in (PLAIN, SECTIONED, MARKED)}
 
 _TYPES = {"str": "string", "str | None": "string", "int": "int", "bool": "boolean"}
-PROFILE_FIELDS = [f.name for f in fields(Profile)]
-PROFILE_DDL = ", ".join(f"{f.name} {_TYPES[f.type]}" for f in fields(Profile))
+_TYPE_OF = {f.name: _TYPES[f.type] for f in fields(Profile)}
+PROFILE_FIELDS = list(_TYPE_OF)
+PROFILE_DDL = ", ".join(f"{name} {kind}" for name, kind in _TYPE_OF.items())
 
 
 class ProfileColumns:
-    """The fields of a profile as Columns, from literals or from a struct column."""
+    """The fields of a profile as Columns, made when asked for."""
 
-    def __init__(self, columns: dict[str, Column]):
-        self._columns = columns
+    def __init__(self, column_of: Callable[[str], Column]):
+        self._column_of = column_of
 
     def __getattr__(self, name: str) -> Column:
-        try:
-            return self.__dict__["_columns"][name]
-        except KeyError:
-            raise AttributeError(name) from None
+        if name not in PROFILE_FIELDS:
+            raise AttributeError(name)
+        return self._column_of(name)
 
 
 def profile_columns(profile: Profile | Column) -> ProfileColumns:
+    """Columns from the literals of a profile, or from a struct column of its fields."""
     if isinstance(profile, Profile):
-        return ProfileColumns(
-            {
-                f.name: F.lit(getattr(profile, f.name)).cast(_TYPES[f.type])
-                for f in fields(Profile)
-            }
-        )
-    return ProfileColumns({name: profile[name] for name in PROFILE_FIELDS})
+
+        def literal(name: str) -> Column:
+            value = getattr(profile, name)
+            return F.lit(value) if value is not None else F.lit(None).cast(_TYPE_OF[name])
+
+        return ProfileColumns(literal)
+    return ProfileColumns(lambda name: profile[name])
 
 
 def profiles_frame(spark: SparkSession, profiles: list[Profile] | None = None) -> DataFrame:
