@@ -363,9 +363,9 @@ ORACLES: dict[str, str] = {
     )
     + """SELECT chat_id, t::BIGINT AS turn, cost::BIGINT AS cost, CASE WHEN cost = 0 THEN 'empty_turn'
     WHEN base + cost > 128 THEN 'over_budget' END AS reason FROM t JOIN c USING (chat_id)""",
-    "budget_fit_exact": _conversation_samples(MARKED, 256)
+    "budget_fit_exact": _conversation_samples(MARKED, 250)
     + "SELECT chat_id, turn, first_turn, n_tokens FROM x",
-    "budget_fit_reference": _conversation_samples(MARKED, 256, "reference")
+    "budget_fit_reference": _conversation_samples(MARKED, 250, "reference")
     + "SELECT chat_id, turn, first_turn, n_tokens FROM x",
     "render_plain": _render(PLAIN),
     "render_sectioned": _render(SECTIONED),

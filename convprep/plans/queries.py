@@ -239,7 +239,7 @@ def overlong_drop(spark, folder):
 
 
 def _fit(spark, folder, mode):
-    samples = training_samples(_messages(spark, folder), MARKED, 256, mode)
+    samples = training_samples(_messages(spark, folder), MARKED, 250, mode)
     return samples.select("chat_id", "turn", "first_turn", "n_tokens")
 
 
