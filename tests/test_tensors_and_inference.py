@@ -82,7 +82,7 @@ def test_optional_sections(spark, chats):
         f"{sys}No lists.{EOT}{SOT}{BOT}"
     )
     sample = chat_samples(table, profile, 100).first()
-    assert sample.n_tokens == len(text.split()) - len(text.split()) + 1 + 3 + 8 + 4 + 4 + 3 + 2
+    assert sample.n_tokens == 1 + (3 + 8) + 4 + 4 + (3 + 2)
     assert f"{BOS}{sample.prompt}" == text
 
 
