@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from convprep.llm import bpe, exact_dedup
+from convprep.llm import bpe, exact_dedup, language_id
 
 QUERIES = {
+    "op2_language_id": language_id.op2_language_id,
     "op3_bpe": bpe.op3_bpe,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
 }
