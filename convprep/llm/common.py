@@ -125,7 +125,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def multipliers(n: int, seed: int) -> np.ndarray:
     """Odd 64-bit factors that depend on nothing but the arguments."""
-    return mix(np.arange(1, n + 1, dtype=np.uint64) + np.uint64(seed) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+    return mix(np.arange(1, n + 1, dtype=np.uint64) + np.uint64(seed * 0x9E3779B97F4A7C15 % 2**64)) | np.uint64(1)
 
 
 def lower_bytes(data: np.ndarray) -> np.ndarray:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from convprep.llm import bpe, exact_dedup, language_id
+from convprep.llm import bpe, exact_dedup, fingerprints, language_id, sharding
 
 QUERIES = {
+    "op5_sharding": sharding.op5_sharding,
+    "op9_fingerprints": fingerprints.op9_fingerprints,
     "op2_language_id": language_id.op2_language_id,
     "op3_bpe": bpe.op3_bpe,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
