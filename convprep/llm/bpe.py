@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from convprep.llm.common import buffer_of, pieces, ragged, table
 
@@ -287,7 +288,7 @@ def encode(docs: DataFrame, ranks: bytes, text: str = "text") -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
     chosen = docs.select(*[F.col(f"`{c}`") for c in others], F.col(text).alias("__text"))
     kept = docs.select(*[F.col(f"`{c}`") for c in others]).schema
-    schema = kept.add("ids", "array<int>").add("ends", "array<int>")
+    schema = kept.add("ids", T.ArrayType(T.IntegerType())).add("ends", T.ArrayType(T.IntegerType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = merger(shared.value)

@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from convprep.llm.common import mix, multipliers, table
 
@@ -100,6 +101,7 @@ def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
     names = [c for c in docs.columns if c not in ("hashes", "places")]
     chosen = docs.select(*[F.col(f"`{c}`") for c in names])
     place = names.index(text)
+    schema = chosen.schema.add("hashes", T.ArrayType(T.LongType())).add("places", T.ArrayType(T.LongType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -107,7 +109,7 @@ def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
             lists = [pa.array([f[k] for f in found], pa.list_(pa.int64())) for k in (0, 1)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *lists], names=[*names, "hashes", "places"])
 
-    return chosen.mapInArrow(run, chosen.schema.add("hashes", "array<bigint>").add("places", "array<bigint>"))
+    return chosen.mapInArrow(run, schema)
 
 
 # ---------------------------------------------------------------- a document and the next
