@@ -225,7 +225,7 @@ def extract(pages: DataFrame, page: str = "html") -> DataFrame:
     """
     others = [c for c in pages.columns if c not in (page, "text", "n_chars")]
     chosen = pages.select(*[F.col(f"`{c}`") for c in others], F.col(page).alias("__page"))
-    schema = pages.select(*[F.col(f"`{c}`") for c in others]).schema.add("text", "string").add("n_chars", "bigint")
+    schema = pages.select(*[F.col(f"`{c}`") for c in others]).schema.add("text", "string").add("n_chars", "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
