@@ -101,7 +101,8 @@ def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
     names = [c for c in docs.columns if c not in ("hashes", "places")]
     chosen = docs.select(*[F.col(f"`{c}`") for c in names])
     place = names.index(text)
-    schema = chosen.schema.add("hashes", T.ArrayType(T.LongType())).add("places", T.ArrayType(T.LongType()))
+    lists = [T.StructField(c, T.ArrayType(T.LongType())) for c in ("hashes", "places")]
+    schema = T.StructType([*chosen.schema.fields, *lists])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

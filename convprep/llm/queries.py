@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from convprep.llm import bpe, exact_dedup, fingerprints, html_text, language_id, sharding
+from convprep.llm import bpe, exact_dedup, fingerprints, html_text, language_id, lm_scoring, sharding
 
 QUERIES = {
+    "op8_lm_scoring": lm_scoring.op8_lm_scoring,
     "op4_html_text": html_text.op4_html_text,
     "op5_sharding": sharding.op5_sharding,
     "op9_fingerprints": fingerprints.op9_fingerprints,
