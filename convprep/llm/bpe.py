@@ -25,12 +25,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from convprep.llm.common import buffer_of, pieces, ragged, table
+from convprep.llm.common import buffer_of, offsets_of, pieces, ragged, table
 
 #: Merged slices kept by a worker in each of two generations; a full one becomes the older, which is then forgotten.
-CACHE = 300_000
+CACHE = 150_000
 #: Longer slices are merged with a heap and not kept.
 LONG_SLICE = 64
+#: Tokens decoded at once.
+PIECE_TOKENS = 1 << 17
 #: Lanes of the scan.
 LANES = 4096
 
@@ -320,22 +322,20 @@ def decode(tokens: DataFrame, ranks: bytes, ids: str = "ids") -> DataFrame:
         work = merger(shared.value)
         for batch in batches:
             lists = batch.column(names.index(ids))
-            flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-            counts = np.array([len(x) if x.is_valid else 0 for x in lists]) if lists.null_count else np.diff(
-                lists.offsets.to_numpy(zero_copy_only=False)
-            )
-            limits = np.concatenate([[0], np.cumsum(counts)])
-            out = []
-            for a, b in zip(limits[:-1], limits[1:]):
-                out.append(work.decoded(flat[a:b]).tobytes())
-            if "ends" in names and not lists.null_count and len(flat):
-                ends = np.cumsum(work.lengths[flat])
-                before = np.concatenate([[0], ends])[limits[:-1]]
-                told = batch.column(names.index("ends")).flatten().to_numpy(zero_copy_only=False)
-                if not np.array_equal(told, ends - np.repeat(before, counts)):
-                    raise ValueError("offsets and ids do not belong together")
-            columns = batch.columns[: len(names)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(out, pa.binary())], names=names + ["decoded"])
+            if lists.null_count:
+                lists = pa.array([x.as_py() or [] for x in lists], lists.type)
+            flat, limits = lists.flatten().to_numpy(zero_copy_only=False), offsets_of(lists)
+            told = batch.column(names.index("ends")) if "ends" in names else None
+            for first, last, part, at in pieces(flat, limits, PIECE_TOKENS):
+                ends = np.concatenate([[0], np.cumsum(work.lengths[part])])
+                if told is not None and not told.null_count:
+                    kept = told.slice(first, last - first).flatten().to_numpy(zero_copy_only=False)
+                    if not np.array_equal(kept, ends[1:] - np.repeat(ends[at[:-1]], np.diff(at))):
+                        raise ValueError("offsets and ids do not belong together")
+                whole, cuts = work.decoded(part).tobytes(), ends[at].tolist()
+                out = pa.array([whole[a:b] for a, b in zip(cuts, cuts[1:])], pa.binary())
+                columns = [c.slice(first, last - first) for c in batch.columns[: len(names)]]
+                yield pa.RecordBatch.from_arrays([*columns, out], names=[*names, "decoded"])
 
     return tokens.select(*[F.col(f"`{c}`") for c in names]).mapInArrow(run, schema)
 

@@ -191,3 +191,9 @@ def signed(x: np.ndarray) -> np.ndarray:
 def ragged(values: np.ndarray, offsets: np.ndarray, kind: pa.DataType) -> pa.Array:
     """A list column from values and offsets."""
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, kind))
+
+
+def offsets_of(lists: pa.ListArray) -> np.ndarray:
+    """Where each list begins in the flattened values; for columns without null lists."""
+    limits = lists.offsets.to_numpy(zero_copy_only=False).astype(np.int64)
+    return limits - limits[0]
