@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from convprep.llm import bpe, exact_dedup, fingerprints, html_text, jaccard_join, language_id, lm_scoring, sharding
+from convprep.llm import bpe, exact_dedup, fingerprints, html_text, jaccard_join, language_id, lm_scoring, sharding, substring_dedup
 
 QUERIES = {
+    "op7_substring_dedup": substring_dedup.op7_substring_dedup,
     "op1_jaccard_join": jaccard_join.op1_jaccard_join,
     "op8_lm_scoring": lm_scoring.op8_lm_scoring,
     "op4_html_text": html_text.op4_html_text,
