@@ -21,7 +21,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -340,20 +340,19 @@ def decode(tokens: DataFrame, ranks: bytes, ids: str = "ids") -> DataFrame:
     return tokens.select(*[F.col(f"`{c}`") for c in names]).mapInArrow(run, schema)
 
 
-def digests(docs: DataFrame, ranks: bytes) -> DataFrame:
-    """Number of tokens, digest of the ids and digest of the decoded bytes for each document."""
-    tokens = decode(encode(docs, ranks), ranks)
-    return tokens.withColumns(
-        {
-            "n_tokens": F.size("ids").cast("long"),
-            "ids_sha256": F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")).cast("binary"), 256),
-            "decoded_sha256": F.sha2("decoded", 256),
-        }
-    ).drop("ids", "ends", "decoded")
+def digest_columns() -> list[Column]:
+    """n_tokens, ids_sha256 and decoded_sha256 of rows of ``decode``."""
+    written = F.concat_ws(",", F.col("ids").cast("array<string>")).cast("binary")
+    return [
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(written, 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    ]
 
 
 def op3_bpe(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
 
     ranks = read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
-    return digests(table(spark, folder, "documents").select("doc_id", "text"), ranks)
+    tokens = encode(table(spark, folder, "documents").select("doc_id", "text"), ranks)
+    return decode(tokens, ranks).select("doc_id", *digest_columns())

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from convprep.llm import bpe, exact_dedup, fingerprints, html_text, jaccard_join, language_id, lm_scoring, sharding, substring_dedup
+from convprep.llm import bpe, exact_dedup, fingerprints, html_text, jaccard_join, language_id, lm_scoring, mixing, sharding, substring_dedup
 
 QUERIES = {
+    "op10_mixing": mixing.op10_mixing,
     "op7_substring_dedup": substring_dedup.op7_substring_dedup,
     "op1_jaccard_join": jaccard_join.op1_jaccard_join,
     "op8_lm_scoring": lm_scoring.op8_lm_scoring,
@@ -17,5 +18,6 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op10_mixing": mixing.OP10_SQL,
     "op6_exact_dedup": exact_dedup.OP6_SQL,
 }
