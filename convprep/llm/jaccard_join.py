@@ -2,8 +2,7 @@
 
 Documents with the same set are one node.  Two sets that are similar enough
 share one of their rarest elements: the order is by how frequent an element is
-in the corpus (estimated by a sketch of fixed size, which only decides the
-order), and a set announces itself under its first few.  Each node goes home
+in the corpus (by a sketch of fixed size, which only decides the order), and a set announces itself under its first few.  Each node goes home
 to the announced element that most nodes share, and visits the homes of nodes
 that it shares others with.
 
@@ -45,8 +44,8 @@ from convprep.llm.common import (
 
 #: Counters of the sketch of element frequencies.
 SKETCH = 1 << 22
-#: Counters in a row of the sketch on its way.
-SKETCH_ROW = 1 << 14
+#: Elements among which a task looks for recurring ones.
+COUNTED = 1 << 22
 #: Nodes, and elements of all of them together, in a block of a tile.
 BLOCK_NODES = 2048
 BLOCK_ELEMENTS = 1 << 21
@@ -73,6 +72,11 @@ def shingle_sets(data: np.ndarray, offs: np.ndarray, width: int) -> Iterator[np.
             yield np.zeros(0, np.uint64)
 
 
+def node_of(s: np.ndarray) -> np.uint64:
+    """Identity of a set."""
+    return mix(np.array([mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64) + np.uint64(len(s))], np.uint64))[0]
+
+
 def sets_of(batches: Iterator[pa.RecordBatch], column: int, width: int) -> Iterator[tuple[pa.RecordBatch, int, int, list]]:
     """Batch, first and last row, and their sets, piece by piece."""
     for batch in batches:
@@ -82,27 +86,41 @@ def sets_of(batches: Iterator[pa.RecordBatch], column: int, width: int) -> Itera
 
 
 def sketch(docs: DataFrame, width: int) -> np.ndarray:
-    """Steps (of a doubling) of the number of sets that hold an element, by the element's hash; of fixed size."""
+    """Roughly how many sets hold an element, as a power of two, by the element's hash; of fixed size.
+
+    Tasks count the elements that recur within ``COUNTED`` of theirs and leave
+    out the others, the great majority.  Only elements that make up one in
+    ``SKETCH`` of what was counted enter, so there are at most that many.
+    """
+
+    def recurring(flat: list[np.ndarray]) -> pa.RecordBatch:
+        element, n = np.unique(np.concatenate(flat), return_counts=True)
+        element, n = element[n > 1], n[n > 1]
+        return pa.RecordBatch.from_arrays([pa.array(signed(element)), pa.array(n)], names=["element", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SKETCH, np.int64)
+        flat, held = [], 0
         for _, _, _, sets in sets_of(batches, 0, width):
-            flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-            np.add.at(total, (flat >> np.uint64(42)).astype(np.int64), 1)
-        for k in range(0, SKETCH, SKETCH_ROW):
-            part = total[k : k + SKETCH_ROW]
-            at = np.flatnonzero(part)
-            if len(at):
-                yield pa.RecordBatch.from_arrays([pa.array(at + k), pa.array(part[at])], names=["at", "n"])
-
-    counts = docs.select("text").mapInArrow(run, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n"))
-    # A number for each counter at most, packed in tasks.
-    packed = counts.select(
-        F.shiftleft(F.col("at"), 8).bitwiseOR(F.least(F.floor(F.log2("n")), F.lit(255))).alias("x")
-    ).toArrow()
-    x = packed.column("x").to_numpy()
+            flat += sets
+            held += sum(map(len, sets))
+            if held >= COUNTED:
+                yield recurring(flat)
+                flat, held = [], 0
+        if flat:
+            yield recurring(flat)
+
+    found = docs.select("text").mapInArrow(run, "element bigint, n bigint")
+    counts = stored(found.groupBy("element").agg(F.sum("n").alias("n")), "recurring")
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    place = F.shiftrightunsigned("element", 42)
+    steps = (
+        counts.filter(F.col("n") * SKETCH >= F.lit(total))
+        .groupBy(place.alias("place"))
+        .agg(F.max(F.floor(F.log2("n"))).alias("steps"))
+        .toArrow()
+    )
     out = np.zeros(SKETCH, np.uint8)
-    out[x >> 8] = (x & 255).astype(np.uint8)
+    out[steps.column("place").to_numpy()] = steps.column("steps").to_numpy()
     return out
 
 
@@ -117,17 +135,17 @@ def band_of(n: int, percent: int) -> int:
 
 
 def announced(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """(doc_id, n, node, prefix): size and identity of each document's set, and its rarest elements."""
+    """(row, doc_id, n, node, prefix): size and identity of each document's set, and its rarest elements."""
     frequency = docs.sparkSession.sparkContext.broadcast(sketch(docs, width))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, first, last, sets in sets_of(batches, 1, width):
+        for batch, first, last, sets in sets_of(batches, 2, width):
             sizes = np.array([len(s) for s in sets], np.int64)
             nodes = np.zeros(len(sets), np.uint64)
             parts, limits = [], [0]
             for k, s in enumerate(sets):
                 if len(s):
-                    nodes[k] = mix(np.array([mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64) + np.uint64(len(s))]))[0]
+                    nodes[k] = node_of(s)
                     order = np.lexsort((s, frequency.value[(s >> np.uint64(42)).astype(np.int64)]))
                     parts.append(s[order[: prefix_size(len(s), percent)]])
                     limits.append(limits[-1] + len(parts[-1]))
@@ -135,14 +153,15 @@ def announced(docs: DataFrame, width: int, percent: int) -> DataFrame:
                     limits.append(limits[-1])
             flat = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
             columns = [
-                batch.column(0).slice(first, last - first),
+                *[c.slice(first, last - first) for c in batch.columns[:2]],
                 pa.array(sizes),
                 pa.array(signed(nodes)),
                 ragged(signed(flat), np.array(limits), pa.int64()),
             ]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "node", "prefix"])
+            yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "n", "node", "prefix"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n bigint, node bigint, prefix array<bigint>")
+    kind = "row bigint, doc_id bigint, n bigint, node bigint, prefix array<bigint>"
+    return docs.select("row", "doc_id", "text").mapInArrow(run, kind)
 
 
 # ---------------------------------------------------------------- tiles
@@ -308,13 +327,11 @@ def links(docs: DataFrame, sets: DataFrame, width: int, percent: int) -> DataFra
     spark = docs.sparkSession
     placed = stored(tiles(sets.filter("n > 0").select("node", "n", "prefix"), percent), "tiles")
     needed = placed.select("node").distinct()
-    # One document stands for each node whose set is needed.
-    chosen = stored(
-        sets.select("node", "doc_id").join(needed, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "chosen"
-    )
+    # One text stands for each node whose set is needed.
+    chosen = stored(sets.select("node", "row").join(needed, "node").groupBy("node").agg(F.min("row").alias("row")), "chosen")
     if chosen.count() <= SMALL_LIST:
         chosen = F.broadcast(chosen)
-    texts = docs.select("doc_id", "text").join(chosen, "doc_id").select("node", "text")
+    texts = docs.select("row", "text").join(chosen, "row").select("node", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, first, last, found in sets_of(batches, 1, width):
@@ -323,10 +340,12 @@ def links(docs: DataFrame, sets: DataFrame, width: int, percent: int) -> DataFra
             columns = [batch.column(0).slice(first, last - first), ragged(flat, limits, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=["node", "elements"])
 
-    arrays = texts.mapInArrow(run, "node bigint, elements array<bigint>").dropDuplicates(["node"])
+    arrays = texts.mapInArrow(run, "node bigint, elements array<bigint>")
     order = ["home", "band", "one", "two"]
+    # A short list of tiles goes to the sets, so that these move only once.
+    listed = F.broadcast(placed) if placed.count() <= SMALL_LIST else placed
     rows = (
-        placed.join(arrays, "node")
+        arrays.join(listed, "node")
         .select(*order, "side", "own", "at_home", "node", "elements")
         .repartition(*order)
         .sortWithinPartitions(*order, "node")
@@ -380,7 +399,7 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
     component; an empty table gives an empty table.
     """
     free_shuffles(docs.sparkSession)
-    docs = docs.select("doc_id", "text")
+    docs = docs.select(F.xxhash64("doc_id", "text").alias("row"), "doc_id", "text")
     sets = stored(announced(docs, width, percent), "sets")
     edges = stored(links(docs, sets, width, percent), "links")
     grouped = sets.select("doc_id", "n", "node").join(components(edges), "node", "left")
