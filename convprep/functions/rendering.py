@@ -82,10 +82,15 @@ def open_prompt(p: ProfileColumns, preamble: Column) -> Column:
     return F.concat(p.prefix, preamble_text(p, preamble))
 
 
+def template_text(p: ProfileColumns, preamble: Column, messages: Column) -> Column:
+    """The whole conversation, begin token included; it ends with the last message."""
+    pieces = F.transform(messages, lambda m: message_text(p, m))
+    return F.concat(open_prompt(p, preamble), F.array_join(pieces, ""))
+
+
 def render_messages(p: ProfileColumns, preamble: Column, messages: Column) -> Column:
     """The whole conversation followed by the generation cue, begin token included."""
-    pieces = F.transform(messages, lambda m: message_text(p, m))
-    return F.concat(open_prompt(p, preamble), F.array_join(pieces, ""), tail_text(p))
+    return F.concat(template_text(p, preamble, messages), tail_text(p))
 
 
 def training_text(prompt: Column, completion: Column) -> Column:

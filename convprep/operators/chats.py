@@ -13,10 +13,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from convprep.functions.messages import normalize_role, pair_messages
-from convprep.operators.running import block_of
+from convprep.operators.running import block_of, running_total
 
 BLOCK = 1024
-SALTS = 64
+#: Rows of a chat that share one copy of its facts.
+SPREAD = 4096
 
 
 def message_table(
@@ -37,6 +38,24 @@ def message_table(
     )
 
 
+def dense_positions(messages: DataFrame) -> DataFrame:
+    """The same messages with positions 0, 1, 2, ... in each chat.
+
+    Operators count on such positions.  One aggregation of numbers tells
+    whether they hold already, as they do in tables made for it; if not, for
+    instance where positions begin at 1 or have gaps, messages are renumbered
+    in their order.
+    """
+    seen = messages.groupBy("chat_id").agg(
+        F.min("pos").alias("_low"), F.max("pos").alias("_high"), F.count(F.lit(1)).alias("_n")
+    )
+    if seen.filter((F.col("_low") != 0) | (F.col("_high") != F.col("_n") - 1)).isEmpty():
+        return messages
+    ones = messages.withColumn("_one", F.lit(1).cast("long"))
+    numbered = running_total(ones, ["chat_id"], "pos", "_one", "_pos")
+    return numbered.withColumn("pos", F.col("_pos")).select(*messages.columns)
+
+
 def has_long_chats(messages: DataFrame, block: int = BLOCK) -> bool:
     """Whether any chat exceeds ``block`` messages.
 
@@ -101,12 +120,15 @@ def pairs_to_chats(pairs: DataFrame, chat_id: str | Column = "chat_id") -> DataF
     )
 
 
-def with_chat_facts(rows: DataFrame, facts: DataFrame, spread_by: Column) -> DataFrame:
-    """Join one-row-per-chat facts; a hot chat's rows spread over ``SALTS`` keys."""
-    salts = F.array(*[F.lit(i) for i in range(SALTS)])
-    salted = facts.withColumn("_salt", F.explode(salts))
-    return (
-        rows.withColumn("_salt", F.pmod(spread_by, F.lit(SALTS)).cast("int"))
-        .join(salted, ["chat_id", "_salt"])
-        .drop("_salt")
-    )
+def with_chat_facts(rows: DataFrame, facts: DataFrame, place: str, long_chats: bool = True) -> DataFrame:
+    """Join one-row-per-chat facts to rows that have an integer ``place`` in their chat.
+
+    A long chat's facts are repeated once for each ``SPREAD`` of its places,
+    so that its rows spread over as many keys; without long chats the join is
+    by chat alone.
+    """
+    if not long_chats:
+        return rows.join(facts, "chat_id")
+    part = F.expr(f"`{place}` div {SPREAD}")
+    parts = rows.select("chat_id", part.alias("_part")).distinct()
+    return rows.withColumn("_part", part).join(parts.join(facts, "chat_id"), ["chat_id", "_part"]).drop("_part")

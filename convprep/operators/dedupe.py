@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from convprep.functions.messages import fingerprint
-from convprep.operators.chats import has_long_chats
+from convprep.operators.chats import dense_positions, has_long_chats
 from convprep.operators.running import WIDTH
 from convprep.operators.turns import (
     FINGERPRINT,
@@ -25,6 +25,7 @@ def chat_facts(messages: DataFrame, long_chats: bool | None = None) -> DataFrame
     spread chats over blocks, where the caller knows; else it is looked up.
     """
     if long_chats is None:
+        messages = dense_positions(messages)
         long_chats = has_long_chats(messages, WIDTH)
     width = WIDTH if long_chats else None
     numbered = message_turns(messages.select("*", *message_digests()), width)

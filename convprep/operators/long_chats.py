@@ -74,7 +74,7 @@ def long_samples(
     )
 
     ended = facts.filter(F.col("end_pos").isNotNull() & (F.col("cost") > 0))
-    kept = with_chat_facts(ended.select("chat_id", "turn", "cost"), heads.select("chat_id", "base"), F.col("turn"))
+    kept = with_chat_facts(ended.select("chat_id", "turn", "cost"), heads.select("chat_id", "base"), "turn")
     kept = kept.filter(F.col("base") + F.col("cost") <= budget).withColumn("_one", F.lit(1).cast("long"))
     kept = running_total(kept, ["chat_id"], "turn", "cost", "pre", block)
     kept = running_total(kept, ["chat_id"], "turn", "_one", "rank", block)
@@ -123,6 +123,6 @@ def long_samples(
         segments = segments.join(entries, ["chat_id", "_into"]).withColumn(
             "carried", (F.col("entry") - F.col("_first")).cast("int")
         )
-    full = with_chat_facts(segments, heads, F.col("_into"))
+    full = with_chat_facts(segments, heads, "_into")
     return segment_samples(full, profile, budget, mode, counter, extra)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from convprep.functions.tokens import split_words
@@ -26,10 +26,12 @@ def word_ids(text: Column, vocabulary: int = 50000) -> Column:
     return F.transform(split_words(text), word_id)
 
 
-def with_special(ids: Column, begin: int = BEGIN_ID, end: int = END_ID, limit: int | None = None) -> Column:
-    """Ids with begin and end token, cut at ``limit``."""
+def with_special(
+    ids: Column, begin: int = BEGIN_ID, end: int = END_ID, limit: int | Column | None = None
+) -> Column:
+    """Ids with begin and end token, cut at ``limit``, the chosen sequence length."""
     full = F.concat(F.array(F.lit(begin)), ids, F.array(F.lit(end)))
-    return full if limit is None else F.slice(full, 1, limit)
+    return full if limit is None else F.slice(full, F.lit(1), F.lit(limit) if isinstance(limit, int) else limit)
 
 
 def label_mask(ids: Column, marker: int) -> Column:
@@ -49,20 +51,31 @@ def pack(
 ) -> DataFrame:
     """``shard, block, ids``: the samples of a shard end to end, cut every ``length`` tokens.
 
-    ``samples`` has integer ``chat_id, turn``, and ``ids`` with their number
-    ``n_ids``; it is read for the sizes and again for the ids, so give it as a
-    stored table.  ``end`` is put after each sample.  Offsets come from running
-    totals of sizes, so only numbers are ordered; a block gathers at most
-    ``length`` tokens.  The last block of a shard may be shorter and can be
-    left out.
+    ``samples`` has ``chat_id`` of any type, integer ``turn``, and ``ids`` with
+    their number ``n_ids``; it is read for the sizes and again for the ids, so
+    give it as a stored table.  ``end`` is put after each sample.  A chat is
+    placed by a digest of its id, in one of 65,536 slots dealt over the shards;
+    inside a slot chats go by id.  Offsets come from running totals of sizes
+    over slots and inside them, so only numbers are ordered, whatever the ids;
+    a block gathers at most ``length`` tokens.  The last block of a shard may
+    be shorter and can be left out.
     """
     closed = F.col("ids") if end is None else F.concat("ids", F.array(F.lit(end)))
-    shard = F.pmod("chat_id", F.lit(shards)).alias("shard")
+    slot = F.conv(F.substring(F.md5(F.col("chat_id").cast("string")), 1, 4), 16, 10).cast("long")
+    shard = F.pmod(slot, F.lit(shards)).alias("shard")
     rows = samples.select(shard, "chat_id", "turn", closed.alias("ids"))
     size = F.col("n_ids").cast("long") + (0 if end is None else 1)
-    sizes = samples.select(shard, "chat_id", "turn", size.alias("_n"))
-    chats = sizes.groupBy("shard", "chat_id").agg(F.sum("_n").alias("_n"))
-    chats = running_total(chats, ["shard"], "chat_id", "_n", "_chat_at", width).drop("_n")
+    sizes = samples.select(shard, slot.alias("_slot"), "chat_id", "turn", size.alias("_n"))
+    chats = sizes.groupBy("shard", "_slot", "chat_id").agg(F.sum("_n").alias("_n"))
+    slots = chats.groupBy("shard", "_slot").agg(F.sum("_n").alias("_n"))
+    slots = running_total(slots, ["shard"], "_slot", "_n", "_slot_at", None).drop("_n")
+    inside = Window.partitionBy("shard", "_slot").orderBy("chat_id").rowsBetween(Window.unboundedPreceding, -1)
+    chats = (
+        chats.withColumn("_in_slot", F.coalesce(F.sum("_n").over(inside), F.lit(0)))
+        .join(slots, ["shard", "_slot"])
+        .select("shard", "chat_id", (F.col("_slot_at") + F.col("_in_slot")).alias("_chat_at"))
+    )
+    sizes = sizes.drop("_slot")
     inside = running_total(sizes, ["shard", "chat_id"], "turn", "_n", "_turn_at", width)
     places = inside.join(chats, ["shard", "chat_id"]).select(
         "chat_id", "turn", (F.col("_chat_at") + F.col("_turn_at")).alias("at")

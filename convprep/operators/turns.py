@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from convprep.functions.messages import CHATBOT, SYSTEM, USER, body_of, preamble_of
 from convprep.functions.rendering import base_cost, counted_text, message_cost, message_text
 from convprep.functions.tokens import WordCounter
-from convprep.operators.chats import has_long_chats, with_chat_facts
+from convprep.operators.chats import dense_positions, has_long_chats, with_chat_facts
 from convprep.operators.running import WIDTH, running_total
 from convprep.profiles import Profile, profile_columns
 
@@ -171,11 +171,13 @@ def turn_verdicts(messages: DataFrame, profile: Profile, budget: int, counter=No
     ``empty_turn`` or ``over_budget``.
     """
     counter = counter or WordCounter()
-    width = WIDTH if has_long_chats(messages, WIDTH) else None
+    messages = dense_positions(messages)
+    long_chats = has_long_chats(messages, WIDTH)
+    width = WIDTH if long_chats else None
     numbered = message_turns(message_costs(messages, profile, counter), width)
     facts = turn_facts(numbered, ["chat_id", "turn"])
     turns = facts.filter((F.col("turn") >= 0) & F.col("end_pos").isNotNull())
     base = base_cost(profile_columns(profile), counter, F.col("preamble"))
     bases = preamble_rows(messages).select("chat_id", base.alias("_base"))
     reason = F.when(F.col("cost") == 0, "empty_turn").when(F.col("_base") + F.col("cost") > budget, "over_budget")
-    return with_chat_facts(turns, bases, F.col("turn")).select("chat_id", "turn", "cost", reason.alias("reason"))
+    return with_chat_facts(turns, bases, "turn", long_chats).select("chat_id", "turn", "cost", reason.alias("reason"))

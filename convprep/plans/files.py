@@ -5,32 +5,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from convprep.functions.messages import fingerprint
 from convprep.functions.validity import is_valid_training
 from convprep.operators.chats import BLOCK, messages_of
-from convprep.operators.dedupe import dedupe_chats
 from convprep.operators.long_chats import long_samples
 from convprep.operators.report import require_rows
 from convprep.operators.running import block_of
 from convprep.operators.samples import EXACT, chat_samples
 from convprep.operators.split import EVAL, TRAIN, split_exact
+from convprep.plans.session import stored
 from convprep.profiles import SECTIONED, Profile
 from convprep.sources.detect import read_train_and_eval
 from convprep.sources.readers import accepted
 
 
 def unique_chats(read: DataFrame) -> DataFrame:
-    """``chat_id, messages`` of the valid chats of a reader, first occurrences in file order.
+    """``chat_id, messages`` of the distinct valid chats of a reader.
 
-    Fails on the driver when no valid chat is left.
+    A chat's id is its fingerprint, so it depends neither on the folder nor on
+    how the files were cut.  The files are parsed once: the valid chats are
+    stored, and copies are found on the ids.  No valid chat is an error.
     """
     valid = accepted(read).filter(is_valid_training(F.col("messages")))
-    kept = dedupe_chats(require_rows(valid, "There must be at least one valid chat"), "source")
-    place = F.concat_ws(":", "source.file", F.col("source.start").cast("string"), F.col("source.row").cast("string"))
-    return kept.select(place.alias("chat_id"), "messages")
+    parsed = stored(valid.select(fingerprint(F.col("messages")).alias("chat_id"), "source", "messages"), "parsed")
+    require_rows(parsed, "no chat can be trained on")
+    first = parsed.groupBy("chat_id").agg(F.min("source").alias("source"))
+    return parsed.join(first, ["chat_id", "source"], "left_semi").select("chat_id", "messages")
 
 
 def file_samples(chats: DataFrame, profile: Profile, budget: int, mode: str, counter, block: int = BLOCK) -> DataFrame:
     """Samples of ``chat_id, messages, split``; very long rows go the segmented way."""
+    chats = stored(chats, "chosen")
     size = F.size("messages")
     short = chat_samples(chats.filter(size <= block), profile, budget, mode, counter, ["split"], validate=False)
     longer = chats.filter(size > block)
@@ -60,9 +65,12 @@ def prepare(
     if evaluation is None:
         chats = split_exact(unique_chats(train), eval_fraction)
     else:
-        chats = (
-            unique_chats(train)
-            .withColumn("split", F.lit(TRAIN))
-            .unionByName(unique_chats(evaluation).withColumn("split", F.lit(EVAL)))
-        )
+        # A chat may be on both sides, with an id for each.
+        sides = [
+            unique_chats(side)
+            .withColumn("split", F.lit(name))
+            .withColumn("chat_id", F.concat_ws(":", "split", "chat_id"))
+            for name, side in ((TRAIN, train), (EVAL, evaluation))
+        ]
+        chats = sides[0].unionByName(sides[1])
     return file_samples(chats, profile, budget if budget is not None else profile.max_length, mode, counter)

@@ -212,13 +212,13 @@ def _set(source: str, budget: int, fraction: float = 0.2) -> str:
     )
 
 
-def _whole_chat(p: Profile) -> str:
+def _whole_chat(p: Profile, cue: bool = True) -> str:
     """``r``: each chat rendered as a whole."""
     return _with(
         ("m", MESSAGES),
         (
             "r",
-            f"""SELECT chat_id, {_text(p.prefix)} || {_preamble(p)} || body || {_text(p.suffix)} AS rendered FROM (
+            f"""SELECT chat_id, {_text(p.prefix)} || {_preamble(p)} || body || {_text(p.suffix if cue else "")} AS rendered FROM (
             SELECT chat_id, coalesce(max(CASE WHEN pos = 0 AND role = 'System' THEN content END), '') AS pre,
             coalesce(string_agg(CASE WHEN pos > 0 OR role <> 'System' THEN {_piece(p)} END, '' ORDER BY pos), '') AS body
             FROM m GROUP BY chat_id)""",
@@ -263,15 +263,32 @@ def _ids(column: str) -> str:
 _SEAM = "rtrim(prompt, ' ') || ltrim(completion, ' ')"
 
 
-def _token_ids(select: str) -> str:
+def _token_ids(select: str, samples: str | None = None) -> str:
     return (
-        _conversation_samples(SECTIONED, 512)
+        (samples or _conversation_samples(SECTIONED, 512))
         + f", i AS (SELECT chat_id, turn, {_ids(_SEAM)} AS full_ids FROM x)"
-        + ", y AS (SELECT chat_id, turn, full_ids[1:256] AS ids FROM i)\n"
+        + """, y AS (SELECT chat_id, turn, full_ids[1:(SELECT min(c) FROM (SELECT unnest([512, 1024, 2048, 4096, 8192,
+        16384]) AS c) WHERE c > (SELECT max(len(full_ids)) FROM i))] AS ids FROM i)\n"""
         + select
     )
 
 
+# Slot of a chat: the first 16 bits of a digest of its id.
+_SLOT = "('0x' || substr(md5(chat_id::VARCHAR), 1, 4))::BIGINT"
+
+_PACKED = f""", u AS (SELECT {_SLOT} AS slot, chat_id, turn, unnest(list_concat(full_ids, [2])) AS id,
+    generate_subscripts(list_concat(full_ids, [2]), 1) AS i FROM i),
+    o AS (SELECT *, slot % 8 AS shard,
+    row_number() OVER (PARTITION BY slot % 8 ORDER BY slot, chat_id, turn, i) - 1 AS place FROM u)
+    SELECT shard, place // 256 AS block, count(*) AS n_ids, string_agg(id::VARCHAR, ' ' ORDER BY place) AS ids
+    FROM o GROUP BY shard, block"""
+
+# Conversations under the digest of what they say, written as JSON.
+_BY_DIGEST = f"""SELECT sha256(said) AS chat_id, pos, role, content FROM ({MESSAGES}) JOIN (
+    SELECT chat_id, '{{"messages":[' || string_agg('{{"role":' || to_json(role) || ',"content":' || to_json(content)
+    || '}}', ',' ORDER BY pos) || ']}}' AS said FROM ({MESSAGES}) GROUP BY chat_id) USING (chat_id)"""
+
+
 # Fixed value of the end-of-prompt token's place among the control tokens.
 _MARKER = CONTROL_TOKENS.index(SECTIONED.last_prompt_token)
 
@@ -377,6 +394,10 @@ ORACLES: dict[str, str] = {
     "prepare_folders": _TWO_SIDES
     + """SELECT * EXCLUDE (chat_id), 'train' AS split FROM x
     UNION ALL SELECT * EXCLUDE (chat_id), 'eval' FROM x2""",
+    "prepare_folders_split": _set(_BY_DIGEST, 512)
+    + "SELECT chat_id, turn, split, prompt, completion FROM x JOIN sp USING (chat_id)",
+    "gapped_positions": _set(MESSAGES, 512) + "SELECT x.*, split FROM x JOIN sp USING (chat_id)",
+    "packed_file_samples": _token_ids(_PACKED, _set(_BY_DIGEST, 512)),
     "training_text": _conversation_samples(SECTIONED, 512)
     + "SELECT chat_id, turn, rtrim(prompt || '  ', ' ') || ltrim('  ' || completion || ' ', ' ') AS text FROM x",
     "length_bucket": _set(MESSAGES, 16384)
@@ -392,7 +413,8 @@ ORACLES: dict[str, str] = {
     WHEN n_tokens < 4096 THEN 4096 WHEN n_tokens < 8192 THEN 8192 WHEN n_tokens < 16384 THEN 16384
     END::BIGINT AS bucket FROM z""",
     "sample_preview": _conversation_samples(SECTIONED, 512) + "SELECT * FROM x ORDER BY chat_id, turn LIMIT 1",
-    "chat_template_text": _whole_chat(PLAIN) + "SELECT rendered AS text FROM r",
+    # Every message with its frame, and nothing after the last one.
+    "chat_template_text": _whole_chat(PLAIN, cue=False) + "SELECT rendered AS text FROM r",
     "inference_prompts": _requests(MARKED)
     + "SELECT req_id, prompt, CASE WHEN prompt IS NULL THEN 'invalid_input' END AS problem FROM q",
     "reply_extract": _requests(PLAIN)
@@ -425,11 +447,5 @@ ORACLES: dict[str, str] = {
     SELECT chat_id, turn, array_to_string(list_transform(range(1, len(ids) + 1),
     lambda i: CASE WHEN back > 0 AND i > len(ids) + 1 - back THEN ids[i] ELSE -100 END), ' ') AS labels FROM l"""
     ),
-    "packed_blocks": _token_ids(
-        """, u AS (SELECT chat_id % 8 AS shard, chat_id, turn, unnest(list_concat(full_ids, [2])) AS id,
-    generate_subscripts(list_concat(full_ids, [2]), 1) AS i FROM i),
-    o AS (SELECT *, row_number() OVER (PARTITION BY shard ORDER BY chat_id, turn, i) - 1 AS place FROM u)
-    SELECT shard, place // 256 AS block, count(*) AS n_ids, string_agg(id::VARCHAR, ' ' ORDER BY place) AS ids
-    FROM o GROUP BY shard, block"""
-    ),
+    "packed_blocks": _token_ids(_PACKED),
 }

@@ -15,7 +15,7 @@ from convprep.functions.messages import (
     normalize_role,
     preamble_of,
 )
-from convprep.functions.rendering import base_cost, render_messages, strip_begin, training_text
+from convprep.functions.rendering import base_cost, render_messages, strip_begin, template_text, training_text
 from convprep.functions.tokens import WordCounter, length_bucket, rendered_tokens
 from convprep.operators.chats import BLOCK, chat_table, message_table, messages_of, pairs_to_chats
 from convprep.operators.dedupe import cast_declared, chat_facts, dedupe_chats, dedupe_rows, first_chats
@@ -304,7 +304,7 @@ def sample_preview(spark, folder):
 def chat_template_text(spark, folder):
     chats = chat_table(_messages(spark, folder))
     return chats.select(
-        render_messages(
+        template_text(
             profile_columns(PLAIN), preamble_of(F.col("messages")), body_of(F.col("messages"))
         ).alias("text")
     )
@@ -361,6 +361,33 @@ def prepare_folders(spark, folder):
     return prepare(spark, f"{base}/train", f"{base}/eval", profile=PLAIN, budget=1024).drop("chat_id")
 
 
+def gapped_positions(spark, folder):
+    """Samples of chats whose positions begin at 5 and have gaps."""
+    spread = _messages(spark, folder).withColumn("pos", F.col("pos") * 700 + 5)
+    return training_set(spread, 0.2, SECTIONED, 512)
+
+
+def prepare_folders_split(spark, folder):
+    """Chat files without an evaluation folder, split by what the chats say."""
+    base = scratch_path(spark, "folder")
+    writers.write_chat_jsonl(chat_table(_twice(_messages(spark, folder))), f"{base}/train")
+    rows = prepare(spark, f"{base}/train", eval_fraction=0.2, profile=SECTIONED, budget=512)
+    return rows.select("chat_id", "turn", "split", "prompt", "completion")
+
+
+def packed_file_samples(spark, folder):
+    """Blocks of the samples of a file folder, whose chats have digests as ids."""
+    base = scratch_path(spark, "folder")
+    writers.write_chat_jsonl(chat_table(_messages(spark, folder)), f"{base}/train")
+    samples = prepare(spark, f"{base}/train", eval_fraction=0.2, profile=SECTIONED, budget=512)
+    ids = with_special(word_ids(training_text(F.col("prompt"), F.col("completion"))))
+    table = samples.select("chat_id", "turn", ids.alias("ids")).withColumn("n_ids", F.size("ids"))
+    blocks = pack(stored(table, "token-ids"), 256, shards=8)
+    return blocks.select(
+        "shard", "block", F.size("ids").cast("long").alias("n_ids"), F.array_join("ids", " ").alias("ids")
+    )
+
+
 def csv_round_trip(spark, folder):
     path = scratch_path(spark, "samples-csv")
     writers.write_samples_csv(_pairs(spark, folder), path)
@@ -451,19 +478,28 @@ def format_detect(spark, folder):
     return out
 
 
+def _cut_ids(samples: DataFrame) -> DataFrame:
+    """``chat_id, turn, ids`` of the samples, cut at the sequence length chosen for all of them."""
+    text = training_text(F.col("prompt"), F.col("completion"))
+    table = stored(
+        samples.select("chat_id", "turn", word_ids(text).alias("ids"), sample_tokens(F.col("prompt"), F.col("completion")).alias("n")),
+        "samples",
+    )
+    length = table.agg(length_bucket(F.max("n"))).scalar()
+    return table.select("chat_id", "turn", with_special(F.col("ids"), limit=length).alias("ids"))
+
+
 def token_ids(spark, folder):
-    samples = training_samples(_messages(spark, folder), SECTIONED, 512)
-    ids = with_special(word_ids(training_text(F.col("prompt"), F.col("completion"))), limit=256)
-    return samples.select("chat_id", "turn", ids.alias("ids")).select(
+    ids = _cut_ids(training_samples(_messages(spark, folder), SECTIONED, 512))
+    return ids.select(
         "chat_id", "turn", F.size("ids").cast("long").alias("n_ids"), F.array_join("ids", " ").alias("ids")
     )
 
 
 def label_mask_query(spark, folder):
-    samples = training_samples(_messages(spark, folder), SECTIONED, 512)
-    ids = with_special(word_ids(training_text(F.col("prompt"), F.col("completion"))), limit=256)
+    ids = _cut_ids(training_samples(_messages(spark, folder), SECTIONED, 512))
     marker = CONTROL_TOKENS.index(SECTIONED.last_prompt_token)
-    rows = samples.select("chat_id", "turn", ids.alias("ids")).withColumn("labels", label_mask(F.col("ids"), marker))
+    rows = ids.withColumn("labels", label_mask(F.col("ids"), marker))
     return rows.select("chat_id", "turn", F.array_join("labels", " ").alias("labels"))
 
 
@@ -504,6 +540,9 @@ QUERIES: dict[str, Query] = {
     "training_set": training_set_query,
     "separate_eval": separate_eval,
     "prepare_folders": prepare_folders,
+    "prepare_folders_split": prepare_folders_split,
+    "gapped_positions": gapped_positions,
+    "packed_file_samples": packed_file_samples,
     "training_text": training_text_query,
     "length_bucket": length_bucket_query,
     "sample_buckets": sample_buckets,

@@ -11,11 +11,19 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only where that is unset, as on one machine in tests, a fresh temporary
-    folder is used.
+    Where that is unset, a fresh temporary folder is used in local mode; with
+    executors of their own disks it is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
-    return named if named else tempfile.mkdtemp(prefix="convprep-")
+    if named:
+        return named
+    return local_folder(spark.sparkContext.master)
+
+
+def local_folder(master: str) -> str:
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix="convprep-")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -23,13 +31,6 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(rows: DataFrame) -> DataFrame:
-    """Checkpoint where the cluster names a folder; elsewhere the plan stays lazy."""
-    if rows.sparkSession.conf.get("spark.checkpoint.dir", None):
-        return rows.checkpoint()
-    return rows
-
-
 def stored(rows: DataFrame, name: str) -> DataFrame:
     """Write rows that several later steps read to the shared folder, and read them back."""
     path = scratch_path(rows.sparkSession, name)

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from convprep.operators.chats import BLOCK, assemble, has_long_chats, split_by_length
+from convprep.operators.chats import BLOCK, assemble, dense_positions, has_long_chats, split_by_length
 from convprep.operators.dedupe import chat_facts, first_chats
 from convprep.operators.long_chats import long_samples
+from convprep.operators.report import require_rows
 from convprep.operators.running import block_of
 from convprep.operators.samples import EXACT, chat_samples
 from convprep.operators.split import EVAL, TRAIN, split_exact
-from convprep.plans.session import cut_lineage
+from convprep.plans.session import stored
 from convprep.profiles import SECTIONED, Profile
 
 
@@ -30,6 +31,7 @@ def training_samples(
     again; chats longer than ``block`` messages, if any, go the segmented way.
     """
     budget = budget if budget is not None else profile.max_length
+    messages = dense_positions(messages)
     ordinary, long = split_by_length(messages, block)
     samples = chat_samples(assemble(ordinary, extra), profile, budget, mode, counter, extra)
     if long is None:
@@ -37,17 +39,6 @@ def training_samples(
     return samples.unionByName(long_samples(long, profile, budget, mode, counter, extra, block))
 
 
-def keep_chats(facts: DataFrame, eval_fraction: float | None = None, seed: int = 42) -> DataFrame:
-    """``chat_id, n_messages, split`` of the unique valid chats.
-
-    Only facts about chats are touched.  Without a fraction everything is train.
-    """
-    unique = first_chats(facts)
-    if eval_fraction is None:
-        return unique.withColumn("split", F.lit(TRAIN))
-    return split_exact(unique, eval_fraction, seed=seed)
-
-
 def select_messages(messages: DataFrame, kept: DataFrame, block: int = BLOCK) -> DataFrame:
     """Messages of the kept chats with their ``split`` and ``block``.
 
@@ -71,13 +62,18 @@ def training_set(
 ) -> DataFrame:
     """Validated, deduplicated, split and rendered samples of a message table.
 
-    Facts first, text later: which chats to keep is settled on a narrow table,
-    whose lineage is cut when the cluster names a checkpoint folder; then the
-    text is shuffled once.
+    Facts first, text later: which chats to keep is settled on a narrow stored
+    table, which the split reads several times; then the text is shuffled once.
+    Without a valid chat there is nothing to train on, which is an error.
     """
     budget = budget if budget is not None else profile.max_length
+    messages = dense_positions(messages)
     any_long = has_long_chats(messages, block)
-    kept = cut_lineage(keep_chats(chat_facts(messages, any_long), eval_fraction, seed))
+    facts = stored(first_chats(chat_facts(messages, any_long)), "chats")
+    require_rows(facts, "no chat can be trained on")
+    kept = facts.withColumn("split", F.lit(TRAIN))
+    if eval_fraction is not None:
+        kept = split_exact(facts, eval_fraction, seed=seed)
     ordinary = select_messages(messages, kept.filter(F.col("n_messages") <= block), block)
     samples = chat_samples(
         assemble(ordinary, ["split"]), profile, budget, mode, counter, ["split"], validate=False

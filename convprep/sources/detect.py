@@ -20,15 +20,17 @@ def has_files(spark: SparkSession, folder: str, pattern: str) -> bool:
 
 
 def detect_format(spark: SparkSession, folder: str) -> str | None:
-    """CSV files win over JSON lines, whose first line tells pairs from chats."""
+    """CSV files win over JSON lines; the first line of the first file by name tells pairs from chats."""
     if has_files(spark, folder, CSV_FILES):
         return PAIR_CSV
     if not has_files(spark, folder, JSONL_FILES):
         return None
-    first = spark.read.option("pathGlobFilter", JSONL_FILES).text(folder).limit(1)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", JSONL_FILES).load(folder)
+    name = files.agg(F.min("path")).first()[0]
+    first = spark.read.text(name).filter(F.col("_metadata.file_block_start") == 0).limit(1)
     keys = first.select(F.json_object_keys("value").alias("keys")).first()
     if keys is None or keys["keys"] is None:
-        raise ValueError("File is not a valid JSONL file at line 1")
+        raise ValueError(f"the first line of {name} is no JSON object")
     return PAIR_JSONL if {"prompt", "completion"} <= set(keys["keys"]) else CHAT_JSONL
 
 
@@ -36,7 +38,7 @@ def read_chats(spark: SparkSession, folder: str, strict: bool = False) -> DataFr
     """Chats of a folder, whatever its format: ``source, messages, problem, value``."""
     fmt = detect_format(spark, folder)
     if fmt is None:
-        raise FileNotFoundError(f"No csv or jsonl files found under {folder}")
+        raise FileNotFoundError(f"{folder} has neither CSV nor JSON lines files")
     if fmt == PAIR_CSV:
         return pairs_as_chats(read_pair_csv(spark, f"{folder}/{CSV_FILES}", strict))
     if fmt == PAIR_JSONL:

@@ -17,6 +17,9 @@ WHITESPACE = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0"
 # A JSON number, as a value of one of the given keys outside of strings.
 _NUMBER = r"(-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?)"
 
+# No text is too long for the parser but for the size of a row.
+JSON_OPTIONS = {"maxStringLen": str(2**31 - 1)}
+
 CSV_OPTIONS = {"quote": '"', "escape": '"', "multiLine": True, "emptyValue": "", "nullValue": "\u0000"}
 
 
@@ -26,6 +29,15 @@ def quote_numbers(line: Column, keys: list[str]) -> Column:
     return F.regexp_replace(line, pattern, '$1"$2"')
 
 
+def skeleton(line: Column) -> Column:
+    """A JSON line whose string values are empty: keys and types at a size that does not depend on the texts.
+
+    Without escapes every quotation mark is the end of a string, so one scan finds the values.
+    """
+    plain = F.regexp_replace(line, r"\\.", "")
+    return F.regexp_replace(plain, r'([:\[,]\s*)"[^"]*"(?!\s*:)', '$1""')
+
+
 def file_lines(spark: SparkSession, path: str) -> DataFrame:
     """Lines of text files with ``source STRUCT<file, start, row>``, which orders them as in the files.
 
@@ -63,9 +75,16 @@ def line_numbers(lines: DataFrame, wanted: DataFrame) -> DataFrame:
     )
 
 
-def _finish(rows: DataFrame, strict: bool) -> DataFrame:
+def _finish(rows: DataFrame, strict: bool, lines: DataFrame | None = None) -> DataFrame:
+    """The rows; in strict mode a problem is an error, with its line where the lines are known."""
     if not strict:
         return rows
+    if lines is not None:
+        wrong = line_numbers(lines, rows.filter(F.col("problem").isNotNull()))
+        first = wrong.orderBy("source.file", "line").select("problem", "source.file", "line").first()
+        if first is not None:
+            raise ValueError(f"{first['problem']} in {first['file']}, line {first['line']}")
+        return rows
     failure = F.raise_error(F.concat(F.col("problem"), F.lit(" in "), F.col("source.file")))
     return rows.withColumn("problem", F.when(F.col("problem").isNotNull(), failure.cast("string")))
 
@@ -76,14 +95,16 @@ def read_chat_jsonl(spark: SparkSession, path: str, strict: bool = False) -> Dat
     Numbers as content keep their spelling as text.  Any other type, missing
     or extra keys, and repeated keys are structure problems.
     """
-    return _finish(parse_chat_lines(file_lines(spark, path)), strict)
+    lines = file_lines(spark, path)
+    return _finish(parse_chat_lines(lines), strict, lines)
 
 
 def parse_chat_lines(lines: DataFrame) -> DataFrame:
     """``source, value`` lines as ``source, messages, problem, value``; a row-wise step."""
-    parsed = lines.withColumn("_json", F.try_parse_json(quote_numbers(F.col("value"), ["content", "role"])))
+    quoted = quote_numbers(F.col("value"), ["content", "role"])
+    parsed = lines.withColumn("_json", F.try_parse_json(skeleton(quoted)))
     shape = "OBJECT<messages: ARRAY<OBJECT<content: STRING, role: STRING>>>"
-    messages = F.try_variant_get("_json", "$.messages", MESSAGES_DDL)
+    messages = F.from_json(quoted, f"messages {MESSAGES_DDL}", JSON_OPTIONS)["messages"]
     typed = parsed.withColumn("_messages", messages)
     # The shape is that of all messages merged, so a key missing from one of
     # them shows as a NULL field only.
@@ -91,7 +112,9 @@ def parse_chat_lines(lines: DataFrame) -> DataFrame:
     problem = (
         F.when(~F.is_valid_utf8("value"), "not_utf8")
         .when(F.col("_json").isNull(), "malformed_json")
-        .when((F.schema_of_variant("_json") != shape) | F.col("_messages").isNull() | ~complete, "structure")
+        .when(F.schema_of_variant("_json") != shape, "structure")
+        .when(F.col("_messages").isNull(), "malformed_json")
+        .when(~complete, "structure")
     )
     return typed.withColumn("problem", problem).select(
         "source",
@@ -108,12 +131,12 @@ def read_pair_jsonl(spark: SparkSession, path: str, strict: bool = False) -> Dat
     """
     # This set matches at either end, not inside, so no text is lost.
     lines = file_lines(spark, path).filter(F.trim(F.col("value"), F.lit(WHITESPACE)) != "")
-    parsed = lines.withColumn(
-        "_json",
-        F.try_parse_json(quote_numbers(F.trim(F.col("value"), F.lit(WHITESPACE)), ["prompt", "completion"])),
+    quoted = quote_numbers(F.trim(F.col("value"), F.lit(WHITESPACE)), ["prompt", "completion"])
+    parsed = lines.withColumn("_json", F.try_parse_json(skeleton(quoted))).withColumn(
+        "_pair", F.from_json(quoted, "prompt string, completion string", JSON_OPTIONS)
     )
     part = lambda key: F.try_variant_get("_json", f"$.{key}", "variant")
-    text = lambda key: F.try_variant_get("_json", f"$.{key}", "string")
+    text = lambda key: F.col("_pair")[key]
     problem = (
         F.when(~F.is_valid_utf8("value"), "not_utf8")
         .when(F.col("_json").isNull(), "malformed_json")
@@ -125,6 +148,7 @@ def read_pair_jsonl(spark: SparkSession, path: str, strict: bool = False) -> Dat
             | (F.schema_of_variant(part("completion")) != "STRING"),
             "structure",
         )
+        .when(text("prompt").isNull() | text("completion").isNull(), "malformed_json")
     )
     good = F.col("problem").isNull()
     rows = parsed.withColumn("problem", problem).select(
@@ -134,7 +158,7 @@ def read_pair_jsonl(spark: SparkSession, path: str, strict: bool = False) -> Dat
         "problem",
         "value",
     )
-    return _finish(rows, strict)
+    return _finish(rows, strict, lines)
 
 
 def read_pair_csv(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:

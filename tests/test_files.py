@@ -69,7 +69,7 @@ def test_chat_jsonl_types(spark, folder):
     bad = [i + 1 for i, (_, want) in enumerate(CHAT_LINES) if want in ("structure", "malformed_json", "not_utf8")]
     numbered = line_numbers(file_lines(spark, path), quarantined(read_chat_jsonl(spark, path)))
     assert sorted(r.line for r in numbered.collect()) == bad
-    with pytest.raises(Exception, match="structure in"):
+    with pytest.raises(Exception, match="line 1?[0-9]$"):
         read_chat_jsonl(spark, path, strict=True).collect()
 
 
@@ -181,7 +181,7 @@ def test_formats(spark, folder, tmp_path):
     assert detect_format(spark, other) == CHAT_JSONL
     assert read_train_and_eval(spark, path, other)[1].count() == 1
     (tmp_path / "other" / "x.jsonl").write_bytes(b"{oops")
-    with pytest.raises(ValueError, match="line 1"):
+    with pytest.raises(ValueError, match="no JSON object"):
         detect_format(spark, other)
 
 

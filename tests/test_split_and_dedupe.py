@@ -75,7 +75,7 @@ def test_copies_shrink_before_the_shuffle(spark, chats):
 
 def test_guards(spark, chats):
     table = chats([("User", "hi"), ("Chatbot", "yo")])
-    with pytest.raises(ValueError, match="at least one valid chat"):
-        require_rows(table.filter("chat_id < 0"), "There must be at least one valid chat")
+    with pytest.raises(ValueError, match="no chat can be trained on"):
+        require_rows(table.filter("chat_id < 0"), "no chat can be trained on")
     assert require_rows(table, "x") is table
     assert preview(table, ("chat_id",)).count() == 1

@@ -1,4 +1,5 @@
 import json
+import hashlib
 import random
 
 import pytest
@@ -33,19 +34,25 @@ def test_special_tokens_and_cut(spark):
     assert rows.select(with_special(F.col("ids"), 1, 2, 3)).first()[0] == [1, 5, 6]
 
 
-@pytest.mark.parametrize("width", [None, 3])
-def test_packing(spark, width):
+def slot_of(chat):
+    return int(hashlib.md5(str(chat).encode()).hexdigest()[:4], 16)
+
+
+@pytest.mark.parametrize("width, name", [(None, int), (3, int), (None, "chat-{}".format), (None, lambda c: c * 10**15)])
+def test_packing(spark, width, name):
     rng = random.Random(1)
     samples, shards, length = [], 3, 10
     for chat in range(20):
         for turn in range(rng.choice([1, 2, 40 if chat == 4 else 3])):
-            samples.append((chat, turn, [rng.randrange(100) for _ in range(rng.choice([0, 1, 7, 33]))]))
-    rows = spark.createDataFrame(samples, "chat_id long, turn long, ids array<int>")
+            samples.append((name(chat), turn, [rng.randrange(100) for _ in range(rng.choice([0, 1, 7, 33]))]))
+    kind = "string" if isinstance(samples[0][0], str) else "long"
+    rows = spark.createDataFrame(samples, f"chat_id {kind}, turn long, ids array<int>")
     rows = rows.withColumn("n_ids", F.size("ids"))
     got = {(r.shard, r.block): r.ids for r in pack(rows, length, shards, end=-1, width=width).collect()}
     want = {}
     for shard in range(shards):
-        stream = [t for c, _, ids in sorted(samples) if c % shards == shard for t in [*ids, -1]]
+        order = sorted(samples, key=lambda s: (slot_of(s[0]), s[0], s[1]))
+        stream = [t for c, _, ids in order if slot_of(c) % shards == shard for t in [*ids, -1]]
         for at in range(0, len(stream), length):
             want[shard, at // length] = stream[at : at + length]
     assert got == want
