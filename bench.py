@@ -31,6 +31,8 @@ HEADLINE = [
     "inference_prompts",
     "jsonl_round_trip",
     "csv_round_trip",
+    "prepare_folders_split",
+    "training_rows",
 ]
 
 

@@ -3,10 +3,11 @@
 Under the stateful rule the start of a context depends on the one before, back
 to the first turn.  To follow it through a long chat in parallel, each segment
 is first turned into a step function from the start carried in to the start
-carried out; step functions of consecutive segments are composed in groups, and
-the actual starts are then handed down.  No group is larger than three segments
-of turns or ``FANOUT`` functions (the last step: one row per ``FANOUT``
-segments of a chat), and only numbers are moved.
+carried out; step functions of consecutive segments are composed in groups, the
+compositions in groups again, and the actual starts are then handed down.  No
+group is larger than three segments of turns or ``FANOUT`` functions (the last
+step: one row per ``FANOUT`` squared segments of a chat), and only numbers are
+moved.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-FANOUT = 4096
+FANOUT = 256
 
 
 def _steps(entries: np.ndarray, exits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -97,12 +98,13 @@ def carried_starts(kept: DataFrame, budget: int, credit: int, fanout: int = FANO
     placed = f"{key}, segment bigint, entry bigint"
     into = F.explode(F.array(*[F.col("segment") + i for i in range(3)]))
     copies = kept.select("chat_id", "base", "rank", "pre", "cost", "segment", into.alias("into"))
-    steps = (
-        copies.groupBy("chat_id", "into")
-        .applyInPandas(_segment_function(budget, credit), function)
-        .withColumn("part", F.expr(f"segment div {fanout}"))
-    )
-    parts = steps.groupBy("chat_id", "part").applyInPandas(_compose, function)
-    begun = parts.withColumn("entry", F.lit(0).cast("long")).groupBy("chat_id").applyInPandas(_hand_down, placed)
-    begun = begun.withColumnRenamed("segment", "part")
-    return steps.join(begun, ["chat_id", "part"]).groupBy("chat_id", "part").applyInPandas(_hand_down, placed)
+    in_parts = lambda rows: rows.withColumn("part", F.expr(f"segment div {fanout}"))
+    composed = lambda rows: in_parts(rows.groupBy("chat_id", "part").applyInPandas(_compose, function))
+    steps = in_parts(copies.groupBy("chat_id", "into").applyInPandas(_segment_function(budget, credit), function))
+    parts = composed(steps)
+    wholes = composed(parts)
+    begun = wholes.withColumn("entry", F.lit(0).cast("long")).groupBy("chat_id").applyInPandas(_hand_down, placed)
+    for level in (parts, steps):
+        entered = level.join(begun.withColumnRenamed("segment", "part"), ["chat_id", "part"])
+        begun = entered.groupBy("chat_id", "part").applyInPandas(_hand_down, placed)
+    return begun

@@ -434,8 +434,12 @@ ORACLES: dict[str, str] = {
     "table_formats": """SELECT part.*, f AS format FROM part
     CROSS JOIN (SELECT unnest(['csv', 'tsv', 'json', 'jsonl']) AS f)
     UNION ALL SELECT NULL, p_name, NULL, NULL, NULL, NULL, 'txt' FROM part""",
-    "utf8_drop": f"""SELECT prompt, completion, NULL::VARCHAR AS problem FROM ({PAIRS})
-    UNION ALL SELECT prompt, '', 'not_utf8' FROM ({PAIRS})""",
+    "utf8_drop": f"SELECT prompt, completion FROM ({PAIRS}) UNION ALL SELECT prompt, completion FROM ({PAIRS})",
+    "utf8_drop_report": """SELECT NULL::VARCHAR AS problem, 2 * count(*) AS n FROM documents
+    UNION ALL SELECT 'not_utf8', count(*) FROM documents""",
+    "training_rows": f"""WITH p AS (SELECT prompt, completion, min(doc_id) AS first FROM ({PAIRS}) GROUP BY ALL)
+    SELECT prompt, completion, {_SEAM} AS text, CASE WHEN row_number() OVER (ORDER BY first)
+    <= trunc(count(*) OVER () * 0.8::DOUBLE) THEN 'train' ELSE 'eval' END AS split FROM p""",
     "format_detect": """SELECT f AS folder, f AS format, NULL::VARCHAR AS problem, n FROM
     (SELECT unnest(['pair_csv', 'pair_jsonl']) AS f, count(*) AS n FROM documents)
     UNION ALL SELECT 'chat_jsonl', 'chat_jsonl', NULL, count(DISTINCT conv_id) FROM conversations""",

@@ -29,6 +29,7 @@ from convprep.operators.tensors import label_mask, pack, with_special, word_ids
 from convprep.operators.turns import message_costs, message_turns, preamble_rows, turn_facts, turn_verdicts
 from convprep.plans.session import scratch_path, stored
 from convprep.plans.files import prepare
+from convprep.plans.rows import dropped_rows, training_rows
 from convprep.plans.training import training_samples, training_set, training_sets
 from convprep.profiles import (
     CONTROL_TOKENS,
@@ -391,7 +392,7 @@ def packed_file_samples(spark, folder):
 def csv_round_trip(spark, folder):
     path = scratch_path(spark, "samples-csv")
     writers.write_samples_csv(_pairs(spark, folder), path)
-    return readers.accepted(readers.read_prepared_csv(spark, path))
+    return readers.accepted(readers.read_prepared_csv(spark, path)).select("prompt", "completion")
 
 
 def jsonl_round_trip(spark, folder):
@@ -445,17 +446,39 @@ def table_formats(spark, folder):
     return out.unionByName(lines, allowMissingColumns=True)
 
 
-def utf8_drop(spark, folder):
-    """Every pair once clean and once with a byte that is not UTF-8."""
+def _bad_bytes_file(spark, folder) -> str:
+    """Every pair once clean, once more, and once with a byte that is not UTF-8."""
     path = scratch_path(spark, "bad-bytes")
     # Written as ISO-8859-1, the characters below become the wanted bytes.
     as_bytes = lambda c: F.decode(F.encode(F.col(c), "UTF-8"), "ISO-8859-1")
-    tail = F.explode(F.array(F.lit(""), F.lit("\u00ff")))
+    tail = F.explode(F.array(F.lit(""), F.lit(""), F.lit("\u00ff")))
     pairs = _pairs(spark, folder).select("prompt", "completion", tail.alias("tail"))
     pairs.select(
         as_bytes("prompt").alias("prompt"), F.concat(as_bytes("completion"), F.col("tail")).alias("completion")
     ).write.options(**writers.CSV_WRITE).option("encoding", "ISO-8859-1").csv(path, header=True)
-    return readers.read_prepared_csv(spark, path)
+    return path
+
+
+def utf8_drop(spark, folder):
+    kept = readers.accepted(readers.read_prepared_csv(spark, _bad_bytes_file(spark, folder)))
+    return kept.select("prompt", "completion")
+
+
+def utf8_drop_report(spark, folder):
+    return dropped_rows(spark, _bad_bytes_file(spark, folder))
+
+
+def training_rows_query(spark, folder):
+    """The first 0.8 of the distinct readable pairs of one file, in its order, are to train on."""
+    path = scratch_path(spark, "pairs-csv")
+    as_bytes = lambda c: F.decode(F.encode(F.col(c), "UTF-8"), "ISO-8859-1")
+    tail = F.explode(F.array(F.lit(""), F.lit(""), F.lit("\u00ff")))
+    pairs = _pairs(spark, folder).select("doc_id", "prompt", "completion", tail.alias("tail"))
+    ordered = pairs.repartitionByRange(4, "doc_id").sortWithinPartitions("doc_id", "tail")
+    ordered.select(
+        as_bytes("prompt").alias("prompt"), F.concat(as_bytes("completion"), F.col("tail")).alias("completion")
+    ).write.options(**writers.CSV_WRITE).option("encoding", "ISO-8859-1").csv(path, header=True)
+    return training_rows(spark, path)
 
 
 def format_detect(spark, folder):
@@ -558,6 +581,8 @@ QUERIES: dict[str, Query] = {
     "split_parquet_round_trip": split_parquet_round_trip,
     "table_formats": table_formats,
     "utf8_drop": utf8_drop,
+    "utf8_drop_report": utf8_drop_report,
+    "training_rows": training_rows_query,
     "format_detect": format_detect,
     "token_ids": token_ids,
     "label_mask": label_mask_query,

@@ -218,19 +218,27 @@ def _bad_bytes(name: str) -> Column:
 def read_prepared_csv(
     spark: SparkSession, path: str, declared: tuple[str, ...] = ("prompt", "completion")
 ) -> DataFrame:
-    """Prepared CSV with header: the declared columns that exist, as text, and ``problem``.
+    """Prepared CSV with header: ``source``, the declared columns that exist, ``problem`` and ``value``.
 
-    A record with bytes that are not UTF-8 is a problem as a whole.  Types are
-    never inferred, so ``007`` and ``1.50`` stay as they are.
+    A record with bytes that are not UTF-8 is a problem as a whole; its columns
+    are NULL and ``value`` has its bytes, written as CSV.  Types are never
+    inferred, so ``007`` and ``1.50`` stay as they are.
     """
     raw = spark.read.options(**CSV_OPTIONS).option("encoding", "ISO-8859-1").csv(path, header=True)
     bad = F.lit(False)
     for name in raw.columns:
         bad = bad | _bad_bytes(name)
     present = [name for name in declared if name in raw.columns]
+    record = F.encode(F.to_csv(F.struct(*[F.col(f"`{name}`") for name in raw.columns]), {"quoteAll": "true", "escape": '"'}), "ISO-8859-1")
     return raw.select(
-        *[F.coalesce(_decoded(name), F.lit("")).alias(name) for name in present],
+        F.struct(
+            F.col("_metadata.file_path").alias("file"),
+            F.col("_metadata.file_block_start").alias("start"),
+            F.monotonically_increasing_id().alias("row"),
+        ).alias("source"),
+        *[F.when(~bad, F.coalesce(_decoded(name), F.lit(""))).alias(name) for name in present],
         F.when(bad, "not_utf8").alias("problem"),
+        F.when(bad, record).alias("value"),
     )
 
 

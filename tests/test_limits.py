@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from convprep.operators.chats import dense_positions, messages_of, with_chat_facts
 from convprep.operators.dedupe import chat_facts
 from convprep.plans.files import prepare
+from convprep.plans.rows import training_rows
 from convprep.plans.session import local_folder
 from convprep.plans.training import training_samples, training_set
 from convprep.profiles import PLAIN
@@ -121,3 +122,17 @@ def test_facts_are_repeated_by_the_places_of_a_chat(spark):
     for long_chats in (True, False):
         out = with_chat_facts(rows, facts, "turn", long_chats)
         assert out.count() == 10_050 and out.filter("fact <> chat_id * 2").isEmpty()
+
+
+def test_training_rows(spark, tmp_path):
+    (tmp_path / "a.csv").write_bytes(b"prompt,completion\n" + b"".join(b"p%d , c%d\n" % (k % 8, k % 8) for k in range(12)))
+    (tmp_path / "b.csv").write_bytes(b'prompt,completion\np9,"x\ny"\np1 , c1\nbad,\xff\n')
+    path = str(tmp_path / "*.csv")
+    rows = training_rows(spark, path, train_ratio=0.5).collect()
+    assert {r.prompt for r in rows if r.split == "train"} == {f"p{k} " for k in range(4)}
+    assert {r.text for r in rows} == {f"p{k}c{k}" for k in range(8)} | {"p9x\ny"}
+    both = training_rows(spark, str(tmp_path / "a.csv"), str(tmp_path / "b.csv"))
+    assert sorted(r.prompt for r in both.filter("split = 'eval'").collect()) == ["p1 ", "p9"]
+    (tmp_path / "c.csv").write_bytes(b"prompt,completion\nbad,\xff\n")
+    with pytest.raises(ValueError, match="no rows on the eval side"):
+        training_rows(spark, path, str(tmp_path / "c.csv"))
