@@ -31,6 +31,8 @@ from convprep.llm.common import buffer_of, offsets_of, pieces, ragged, table
 CACHE = 150_000
 #: Longer slices are merged with a heap and not kept.
 LONG_SLICE = 64
+#: Stands for pairs that make no token.
+NO_RANK = 2**31 - 1
 #: Tokens decoded at once.
 PIECE_TOKENS = 1 << 17
 #: Lanes of the scan.
@@ -167,7 +169,7 @@ def slice_starts(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
 
 
 class Merger:
-    """Pair merges by rank, with a bounded cache."""
+    """Pair merges by rank, with a bounded cache; for rank files of at most 65,536 tokens."""
 
     def __init__(self, file: bytes):
         self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file.splitlines())}
@@ -181,34 +183,80 @@ class Merger:
         self.places = np.zeros(size, np.int64)
         self.places[1:] = np.cumsum(self.lengths)[:-1]
         self.bytes = np.frombuffer(b"".join(t for _, t in by_rank), np.uint8)
-
-    def merged(self, piece: bytes) -> tuple[int, ...]:
-        out, rank = self.older.get(piece), self.ranks.get(piece)
-        if out is not None:
-            pass
-        elif rank is not None:
-            out = (rank,)
-        elif len(piece) > LONG_SLICE:
-            return self.merged_long(piece)
-        else:
-            get = self.ranks.get
-            parts = [piece[i : i + 1] for i in range(len(piece))]
-            pairs = [get(piece[i : i + 2], 1 << 30) for i in range(len(piece) - 1)]
-            while pairs:
-                low = min(pairs)
-                if low == 1 << 30:
-                    break
-                i = pairs.index(low)
-                parts[i : i + 2] = [parts[i] + parts[i + 1]]
-                del pairs[i]
-                if i:
-                    pairs[i - 1] = get(parts[i - 1] + parts[i], 1 << 30)
-                if i < len(pairs):
-                    pairs[i] = get(parts[i] + parts[i + 1], 1 << 30)
-            out = tuple([self.ranks[p] for p in parts])
-        if len(self.cache) >= CACHE:
+        #: Tokens of single bytes, and the rank of each pair of tokens that makes one, by both ids.
+        self.single = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
+        pairs = {}
+        for token, rank in self.ranks.items():
+            for k in range(1, len(token)):
+                one, two = self.ranks.get(token[:k]), self.ranks.get(token[k:])
+                if one is not None and two is not None:
+                    pairs[one << 16 | two] = rank
+        self.pairs = np.array(sorted(pairs), np.uint32)
+        self.pair_rank = np.array([pairs[p] for p in self.pairs.tolist()], np.int32)
+
+    def looked_up(self, slices: list[bytes]) -> list[tuple[int, ...]]:
+        """Ids of each slice, from the cache or by merging the new ones together."""
+        found = list(map(self.cache.get, slices))
+        if None not in found:
+            return found
+        new = {s for s, f in zip(slices, found) if f is None}
+        fresh = {s: self.older[s] for s in new if s in self.older}
+        fresh.update((s, (self.ranks[s],)) for s in new if s in self.ranks)
+        left = [s for s in new if s not in fresh]
+        short = [s for s in left if len(s) <= LONG_SLICE]
+        fresh.update(zip(short, self.merged_short(short)))
+        if len(self.cache) + len(fresh) > CACHE:
             self.cache, self.older = {}, self.cache
-        self.cache[piece] = out
+        self.cache.update(fresh)
+        if len(short) < len(left):
+            fresh.update((s, self.merged_long(s)) for s in left if len(s) > LONG_SLICE)
+        return [fresh[s] if f is None else f for s, f in zip(slices, found)]
+
+    def pair_ranks(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """Rank of what two tokens make together; NO_RANK where it is none or one is missing (-1)."""
+        key = (one.astype(np.uint32) << np.uint32(16)) | (two.astype(np.uint32) & np.uint32(0xFFFF))
+        at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
+        return np.where((self.pairs[at] == key) & (one >= 0) & (two >= 0), self.pair_rank[at], NO_RANK)
+
+    def merged_short(self, slices: list[bytes]) -> list[tuple[int, ...]]:
+        """Merges of many slices at once, one pair of each in a round; rows are slices, padded to one width."""
+        sizes = np.fromiter(map(len, slices), np.int64, len(slices))
+        out: list[tuple[int, ...]] = [()] * len(slices)
+        for width in (8, 16, 32, LONG_SLICE):
+            rows = np.flatnonzero((sizes <= width) & (sizes > (width // 2 if width > 8 else 0)))
+            if not rows.size:
+                continue
+            raw = np.frombuffer(b"".join([slices[i].ljust(width, b"\0") for i in rows.tolist()]), np.uint8)
+            tokens = self.single[raw].reshape(-1, width)
+            columns = np.arange(width)
+            tokens[columns >= sizes[rows][:, None]] = -1
+            ranks = np.full(tokens.shape, NO_RANK, np.int32)
+            ranks[:, :-1] = self.pair_ranks(tokens[:, :-1], tokens[:, 1:])
+            going = np.arange(len(rows))
+            while going.size:
+                part = ranks[going]
+                at = part.argmin(1)
+                low = part[np.arange(len(going)), at]
+                more = low < NO_RANK
+                going, at, low = going[more], at[more], low[more]
+                if not going.size:
+                    break
+                part, mine, nth = part[more], tokens[going], np.arange(len(going))
+                # What comes after the pair moves one place to the left.
+                later = columns[:-1] > at[:, None]
+                mine[nth, at] = low
+                mine[:, :-1] = np.where(later, mine[:, 1:], mine[:, :-1])
+                mine[:, -1] = -1
+                part[:, :-1] = np.where(later, part[:, 1:], part[:, :-1])
+                part[:, -1] = NO_RANK
+                after = np.where(at + 1 < width, mine[nth, np.minimum(at + 1, width - 1)], -1)
+                part[nth, at] = self.pair_ranks(low, after)
+                inner = np.flatnonzero(at > 0)
+                part[inner, at[inner] - 1] = self.pair_ranks(mine[inner, at[inner] - 1], low[inner])
+                tokens[going], ranks[going] = mine, part
+            counts = (tokens >= 0).sum(1).tolist()
+            for i, row, n in zip(rows.tolist(), tokens.tolist(), counts):
+                out[i] = tuple(row[:n])
         return out
 
     def merged_long(self, piece: bytes) -> tuple[int, ...]:
@@ -248,10 +296,7 @@ class Merger:
         """Ids of all texts of a buffer, and where the ids of each text begin."""
         starts = slice_starts(data, offs)
         whole, at = data.tobytes(), starts.tolist()
-        slices = [whole[a:b] for a, b in zip(at, at[1:] + [len(whole)])]
-        found = list(map(self.cache.get, slices))
-        if None in found:
-            found = [self.merged(p) if f is None else f for p, f in zip(slices, found)]
+        found = self.looked_up([whole[a:b] for a, b in zip(at, at[1:] + [len(whole)])])
         counts = np.fromiter(map(len, found), np.int64, len(found))
         ids = np.fromiter(chain.from_iterable(found), np.int32, int(counts.sum()))
         before = np.concatenate([[0], np.cumsum(counts)])
