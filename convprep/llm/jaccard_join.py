@@ -9,8 +9,8 @@ that it shares others with.
 The nodes of a home make tiles by bands of size: only sets of one band or of
 the next one can be similar.  In a tile, signatures (bitmaps of hashed
 elements) are compared first: the number of bits in which two differ bounds
-their overlap from above.  What passes is decided by intersection of the
-sorted arrays.  A tile gives a spanning forest of its links, so groups of any
+their overlap from above.  Only the sets that may have a partner by that are
+fetched, and intersections of the sorted arrays decide.  A tile gives a spanning forest of its links, so groups of any
 size make no more rows than nodes.  Large tiles are cut into blocks, and each
 pair of blocks is a task of its own.
 """
@@ -134,47 +134,65 @@ def band_of(n: int, percent: int) -> int:
     return int(math.floor(math.log(n) / -math.log(percent / 100) + 1e-9))
 
 
+def bits_of(band: int, percent: int) -> int:
+    """Bits of a signature in a tile: a power of two, not below the largest size of its band."""
+    return max(64, 1 << math.ceil((band + 1) * math.log2(100 / percent)))
+
+
+def signature(s: np.ndarray, bits: int) -> np.ndarray:
+    """Bitmap of hashed elements."""
+    at = mix(s) & np.uint64(bits - 1)
+    out = np.zeros(bits // 64, np.uint64)
+    np.bitwise_or.at(out, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
+    return out
+
+
 def announced(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """(row, doc_id, n, node, prefix): size and identity of each document's set, and its rarest elements."""
+    """(row, doc_id, n, node, band, prefix, own_bits, guest_bits) of each document's set.
+
+    These are its size, identity, rarest elements, and signatures for the tiles
+    of its own band and of the next.
+    """
     frequency = docs.sparkSession.sparkContext.broadcast(sketch(docs, width))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, first, last, sets in sets_of(batches, 2, width):
             sizes = np.array([len(s) for s in sets], np.int64)
             nodes = np.zeros(len(sets), np.uint64)
-            parts, limits = [], [0]
+            bands = np.zeros(len(sets), np.int32)
+            parts, limits, signatures = [], [0], ([], [])
             for k, s in enumerate(sets):
                 if len(s):
                     nodes[k] = node_of(s)
+                    bands[k] = band_of(len(s), percent)
+                    for into, band in zip(signatures, (bands[k], bands[k] + 1)):
+                        into.append(signature(s, bits_of(int(band), percent)).tobytes())
                     order = np.lexsort((s, frequency.value[(s >> np.uint64(42)).astype(np.int64)]))
                     parts.append(s[order[: prefix_size(len(s), percent)]])
                     limits.append(limits[-1] + len(parts[-1]))
                 else:
                     limits.append(limits[-1])
+                    for into in signatures:
+                        into.append(b"")
             flat = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
             columns = [
                 *[c.slice(first, last - first) for c in batch.columns[:2]],
                 pa.array(sizes),
                 pa.array(signed(nodes)),
+                pa.array(bands),
                 ragged(signed(flat), np.array(limits), pa.int64()),
+                *[pa.array(x, pa.binary()) for x in signatures],
             ]
-            yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "n", "node", "prefix"])
+            names = ["row", "doc_id", "n", "node", "band", "prefix", "own_bits", "guest_bits"]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    kind = "row bigint, doc_id bigint, n bigint, node bigint, prefix array<bigint>"
+    kind = "row bigint, doc_id bigint, n bigint, node bigint, band int, prefix array<bigint>, own_bits binary, guest_bits binary"
     return docs.select("row", "doc_id", "text").mapInArrow(run, kind)
 
 
 # ---------------------------------------------------------------- tiles
 
 
-def signature(s: np.ndarray, bits: int) -> np.ndarray:
-    """Bitmap of hashed elements."""
-    out = np.zeros(bits // 64, np.uint64)
-    at = mix(s) & np.uint64(bits - 1)
-    np.bitwise_or.at(out, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
-    return out
-
-
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     both = len(np.intersect1d(a, b, assume_unique=True))
     return 100 * both >= percent * (len(a) + len(b) - both)
@@ -200,31 +218,41 @@ class Forest:
             self.parent = up
 
 
-def tile_links(sets: list[np.ndarray], own: np.ndarray, side: np.ndarray, at_home: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links that this tile decides, as pairs of places.
+def partners(i: int, sizes: np.ndarray, bitmaps: np.ndarray, own: np.ndarray, side: np.ndarray, at_home: np.ndarray, percent: int) -> np.ndarray:
+    """Later members that member i may be similar to, by sizes and by a bound of the overlap.
 
-    Pairs need a member of the tile's own band and one that is at home here.
-    ``side`` is 0 and 1 for the two blocks that meet, or 0 alone.
+    Pairs need a member of the tile's own band and one that is at home here;
+    where two blocks meet, one of each.
     """
-    n = len(sets)
+    rest = np.arange(i + 1, len(sizes))
+    small, large = np.minimum(sizes[i], sizes[rest]), np.maximum(sizes[i], sizes[rest])
+    may = (100 * small >= percent * large) & (own[i] | own[rest]) & (at_home[i] | at_home[rest])
+    if side.any():
+        may &= side[i] != side[rest]
+    rest = rest[may]
+    # The bits that differ are elements of one set only: they bound the overlap from above.
+    apart = np.bitwise_count(bitmaps[rest] ^ bitmaps[i]).sum(1, dtype=np.int64)
+    overlap = (sizes[i] + sizes[rest] - apart) // 2
+    return rest[100 * overlap >= percent * (sizes[i] + sizes[rest] - overlap)]
+
+
+def promising(sizes: np.ndarray, bitmaps: np.ndarray, own: np.ndarray, side: np.ndarray, at_home: np.ndarray, percent: int) -> np.ndarray:
+    """Which members of a tile have a partner."""
+    out = np.zeros(len(sizes), bool)
+    for i in range(len(sizes) - 1):
+        found = partners(i, sizes, bitmaps, own, side, at_home, percent)
+        if found.size:
+            out[i] = out[found] = True
+    return out
+
+
+def tile_links(sets: list[np.ndarray], own: np.ndarray, side: np.ndarray, at_home: np.ndarray, band: int, percent: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links that this tile decides, as pairs of places."""
     sizes = np.array([len(s) for s in sets], np.int64)
-    bits = max(64, 1 << int(2 * sizes.max() - 1).bit_length())
-    bitmaps = np.stack([signature(s, bits) for s in sets])
-    forest, links = Forest(n), []
-    two = side.any()
-    for i in range(n - 1):
-        rest = np.arange(i + 1, n)
-        small, large = np.minimum(sizes[i], sizes[rest]), np.maximum(sizes[i], sizes[rest])
-        may = (100 * small >= percent * large) & (own[i] | own[rest]) & (at_home[i] | at_home[rest])
-        if two:
-            may &= side[i] != side[rest]
-        rest = rest[may]
-        if not rest.size:
-            continue
-        # The bits that differ are elements of one set only: they bound the overlap from above.
-        apart = np.bitwise_count(bitmaps[rest] ^ bitmaps[i]).sum(1, dtype=np.int64)
-        overlap = (sizes[i] + sizes[rest] - apart) // 2
-        rest = rest[100 * overlap >= percent * (sizes[i] + sizes[rest] - overlap)]
+    bitmaps = np.stack([signature(s, bits_of(band, percent)) for s in sets])
+    forest, links = Forest(len(sets)), []
+    for i in range(len(sets) - 1):
+        rest = partners(i, sizes, bitmaps, own, side, at_home, percent)
         rest = rest[forest.roots()[rest] != forest.root(i)] if rest.size else rest
         for j in rest.tolist():
             a, b = forest.root(i), forest.root(j)
@@ -234,42 +262,76 @@ def tile_links(sets: list[np.ndarray], own: np.ndarray, side: np.ndarray, at_hom
     return links
 
 
+TILE = ["home", "band", "one", "two"]
+
+
+def members_of(batches: Iterator[pa.RecordBatch], payload) -> Iterator[tuple[tuple, list[tuple]]]:
+    """Tile and its members (side, own, at_home, node, payload) from rows sorted by tile."""
+    now, members = None, []
+    for batch in batches:
+        keys = list(zip(*[batch.column(k).to_pylist() for k in range(4)]))
+        rows = zip(*[batch.column(k).to_pylist() for k in range(4, 8)], payload(batch.column(8)))
+        for key, row in zip(keys, rows):
+            if key != now:
+                if len(members) > 1:
+                    yield now, members
+                now, members = key, []
+            members.append(row)
+    if len(members) > 1:
+        yield now, members
+
+
+def in_tiles(rows: DataFrame, payload: str) -> DataFrame:
+    return (
+        rows.select(*TILE, "side", "own", "at_home", "node", payload)
+        .repartition(*TILE)
+        .sortWithinPartitions(*TILE, "node")
+    )
+
+
+def promising_members(rows: DataFrame, percent: int) -> DataFrame:
+    """The tile rows whose signature (``sig``) lets them have a partner: tile and node."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, members in members_of(batches, lambda c: c.to_pylist()):
+            side, own, home, node, sig = zip(*members)
+            # A signature is led by the size of the set.
+            sizes = np.array([int.from_bytes(x[:8], "big") for x in sig], np.int64)
+            bitmaps = np.stack([np.frombuffer(x[8:], np.uint64) for x in sig])
+            found = promising(sizes, bitmaps, np.array(own), np.array(side), np.array(home), percent)
+            if found.any():
+                chosen = [n for n, ok in zip(node, found.tolist()) if ok]
+                columns = [pa.array([k] * len(chosen), t) for k, t in zip(key, (pa.int64(), pa.int32(), pa.int32(), pa.int32()))]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(chosen, pa.int64())], names=[*TILE, "node"])
+
+    return in_tiles(rows, "sig").mapInArrow(run, "home bigint, band int, one int, two int, node bigint")
+
+
 def links_of_tiles(rows: DataFrame, percent: int) -> DataFrame:
-    """(a, b) for (home, band, one, two, side, own, at_home, node, elements) rows sorted by tile."""
+    """(a, b) of the tile rows with their ``elements``."""
+
+    def arrays(lists: pa.ListArray) -> Iterator[np.ndarray]:
+        flat = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+        limits = offsets_of(lists)
+        return (flat[a:b].copy() for a, b in zip(limits[:-1], limits[1:]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, members = None, []
-
-        def finish() -> Iterator[pa.RecordBatch]:
-            if len(members) > 1:
-                nodes, side, own, home, sets = zip(*members)
-                found = tile_links(list(sets), np.array(own), np.array(side), np.array(home), percent)
-                if found:
-                    ends = [pa.array([nodes[p[k]] for p in found], pa.int64()) for k in (0, 1)]
-                    yield pa.RecordBatch.from_arrays(ends, names=["a", "b"])
-
-        for batch in batches:
-            keys = list(zip(*[batch.column(k).to_pylist() for k in range(4)]))
-            side, own, home, node = [batch.column(k).to_pylist() for k in range(4, 8)]
-            lists = batch.column(8)
-            flat = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-            limits = offsets_of(lists)
-            for k, key in enumerate(keys):
-                if key != now:
-                    yield from finish()
-                    now, members = key, []
-                members.append((node[k], side[k], own[k], home[k], flat[limits[k] : limits[k + 1]].copy()))
-        yield from finish()
-
-    return rows.mapInArrow(run, "a bigint, b bigint")
+        for key, members in members_of(batches, arrays):
+            side, own, home, node, sets = zip(*members)
+            found = tile_links(list(sets), np.array(own), np.array(side), np.array(home), key[1], percent)
+            if found:
+                ends = [pa.array([node[p[k]] for p in found], pa.int64()) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays(ends, names=["a", "b"])
+
+    return in_tiles(rows, "elements").mapInArrow(run, "a bigint, b bigint")
 
 
 def tiles(nodes: DataFrame, percent: int) -> DataFrame:
     """(home, band, one, two, side, own, at_home, node) rows of all tiles with a pair to decide.
 
-    ``nodes`` has a row (node, n, prefix) for each document.
+    ``nodes`` has a row (node, n, band, prefix) for each document.
     """
-    said = nodes.select("node", "n", F.explode("prefix").alias("element"))
+    said = nodes.select("node", "n", "band", F.explode("prefix").alias("element"))
     shared = said.groupBy("element").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high")
     meeting = stored(said.join(shared.select("element"), "element").distinct(), "meeting")
     popular = meeting.groupBy("element").agg(F.count("*").alias("nodes"))
@@ -281,16 +343,15 @@ def tiles(nodes: DataFrame, percent: int) -> DataFrame:
     visits = (
         settled.join(at, "element")
         .filter(F.col("other") >= F.col("home"))
-        .select("node", "n", F.col("other").alias("to"), (F.col("other") == F.col("home")).alias("at_home"))
+        .select("node", "n", F.col("band").alias("its"), F.col("other").alias("to"), (F.col("other") == F.col("home")).alias("at_home"))
         .distinct()
     )
-    band = F.floor(F.log("n") / F.lit(-math.log(percent / 100)) + 1e-9).cast("int")
+    bands = F.array(
+        F.struct(F.col("its").alias("band"), F.lit(True).alias("own")),
+        F.struct((F.col("its") + 1).alias("band"), F.lit(False).alias("own")),
+    )
     placed = visits.select(
-        F.col("to.element").alias("home"),
-        "node",
-        "n",
-        "at_home",
-        F.explode(F.array(F.struct(band.alias("band"), F.lit(True).alias("own")), F.struct((band + 1).alias("band"), F.lit(False).alias("own")))).alias("b"),
+        F.col("to.element").alias("home"), "node", "n", "at_home", F.explode(bands).alias("b")
     ).select("home", "node", "n", "at_home", "b.band", "b.own")
     placed = stored(placed, "placed")
     sizes = (
@@ -324,10 +385,16 @@ def tiles(nodes: DataFrame, percent: int) -> DataFrame:
 
 def links(docs: DataFrame, sets: DataFrame, width: int, percent: int) -> DataFrame:
     """(a, b) links between nodes; those of a tile are a spanning forest."""
-    spark = docs.sparkSession
-    placed = stored(tiles(sets.filter("n > 0").select("node", "n", "prefix"), percent), "tiles")
-    needed = placed.select("node").distinct()
+    placed = stored(tiles(sets.filter("n > 0").select("node", "n", "band", "prefix"), percent), "tiles")
+    size = F.unhex(F.lpad(F.hex("n"), 16, "0"))
+    known = sets.select("node", "own_bits", "guest_bits", size.alias("size")).join(
+        placed.select("node").distinct(), "node", "left_semi"
+    ).dropDuplicates(["node"])
+    sig = F.concat("size", F.when(F.col("own"), F.col("own_bits")).otherwise(F.col("guest_bits")))
+    passed = stored(promising_members(placed.join(known, "node").withColumn("sig", sig), percent), "promising")
+    placed = stored(placed.join(passed, [*TILE, "node"], "left_semi"), "members")
     # One text stands for each node whose set is needed.
+    needed = placed.select("node").distinct()
     chosen = stored(sets.select("node", "row").join(needed, "node").groupBy("node").agg(F.min("row").alias("row")), "chosen")
     if chosen.count() <= SMALL_LIST:
         chosen = F.broadcast(chosen)
@@ -341,16 +408,9 @@ def links(docs: DataFrame, sets: DataFrame, width: int, percent: int) -> DataFra
             yield pa.RecordBatch.from_arrays(columns, names=["node", "elements"])
 
     arrays = texts.mapInArrow(run, "node bigint, elements array<bigint>")
-    order = ["home", "band", "one", "two"]
     # A short list of tiles goes to the sets, so that these move only once.
     listed = F.broadcast(placed) if placed.count() <= SMALL_LIST else placed
-    rows = (
-        arrays.join(listed, "node")
-        .select(*order, "side", "own", "at_home", "node", "elements")
-        .repartition(*order)
-        .sortWithinPartitions(*order, "node")
-    )
-    return links_of_tiles(rows, percent)
+    return links_of_tiles(arrays.join(listed, "node"), percent)
 
 
 def components(edges: DataFrame) -> DataFrame:
