@@ -1,18 +1,20 @@
 """Exact similarity join of shingle sets, and the components of its links.
 
 Documents with the same set are one node.  Two sets that are similar enough
-share one of their rarest elements: the order is by how frequent an element is
-in the corpus (by a sketch of fixed size, which only decides the order), and a set announces itself under its first few.  Each node goes home
-to the announced element that most nodes share, and visits the homes of nodes
-that it shares others with.
+share some of their rarest elements: the order is by how frequent an element is
+in the corpus (by a sketch of fixed size, which only decides the order), and a
+set announces itself under its first few.  Each node goes home to the announced
+element that most nodes share, and visits the homes of nodes that it shares
+enough others with.
 
 The nodes of a home make tiles by bands of size: only sets of one band or of
 the next one can be similar.  In a tile, signatures (bitmaps of hashed
 elements) are compared first: the number of bits in which two differ bounds
 their overlap from above.  Only the sets that may have a partner by that are
-fetched, and intersections of the sorted arrays decide.  A tile gives a spanning forest of its links, so groups of any
-size make no more rows than nodes.  Large tiles are cut into blocks, and each
-pair of blocks is a task of its own.
+fetched, and intersections of the sorted arrays decide.  A tile gives a
+spanning forest of its links, so groups of any size make no more rows than
+nodes.  Large tiles are cut into blocks, and each pair of blocks is a task of
+its own.
 """
 
 from __future__ import annotations
@@ -124,9 +126,14 @@ def sketch(docs: DataFrame, width: int) -> np.ndarray:
     return out
 
 
+def shared_elements(percent: int) -> int:
+    """Elements that prefixes of similar sets share: different sets above two thirds have three in common at least."""
+    return 3 if percent > 66 else 1
+
+
 def prefix_size(n: int, percent: int) -> int:
-    """Elements of which similar sets share one: n less the smallest overlap, plus one."""
-    return n - -(-percent * n // 100) + 1
+    """Elements of which similar sets share ``shared_elements``: n less the smallest overlap, plus those."""
+    return min(n, n - -(-percent * n // 100) + shared_elements(percent))
 
 
 def band_of(n: int, percent: int) -> int:
@@ -338,14 +345,21 @@ def tiles(nodes: DataFrame, percent: int) -> DataFrame:
     ranked = meeting.join(popular, "element")
     homes = ranked.groupBy("node").agg(F.max(F.struct("nodes", "element")).alias("home"))
     settled = stored(meeting.join(homes, "node"), "settled")
-    # A node visits the homes, not below its own, of those that it shares an element with.
-    at = settled.select("element", F.col("home").alias("other")).distinct()
-    visits = (
+    # How many elements a node shares with the nodes of a home, its own or one that is not below it.
+    at = settled.groupBy("element", F.col("home").alias("other")).agg(F.count("*").alias("members"))
+    met = stored(
         settled.join(at, "element")
-        .filter(F.col("other") >= F.col("home"))
-        .select("node", "n", F.col("band").alias("its"), F.col("other").alias("to"), (F.col("other") == F.col("home")).alias("at_home"))
-        .distinct()
+        .filter((F.col("other") > F.col("home")) | ((F.col("other") == F.col("home")) & (F.col("members") > 1)))
+        .groupBy("node", "n", "band", "home", "other")
+        .agg(F.count("*").alias("shared"))
+        .filter(F.col("shared") >= shared_elements(percent)),
+        "met",
     )
+    row = ["node", "n", F.col("band").alias("its")]
+    away = met.filter("other <> home").select(*row, F.col("other").alias("to"), F.lit(False).alias("at_home"))
+    hosts = settled.join(away.select(F.col("to").alias("home")).distinct(), "home", "left_semi")
+    living = met.filter("other = home").select("node", "n", "band", "home").union(hosts.select("node", "n", "band", "home"))
+    visits = away.union(living.distinct().select(*row, F.col("home").alias("to"), F.lit(True).alias("at_home")))
     bands = F.array(
         F.struct(F.col("its").alias("band"), F.lit(True).alias("own")),
         F.struct((F.col("its") + 1).alias("band"), F.lit(False).alias("own")),
