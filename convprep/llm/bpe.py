@@ -25,10 +25,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from convprep.llm.common import buffer_of, offsets_of, pieces, ragged, table
+from convprep.llm.common import bounded_batches, buffer_of, offsets_of, pieces, ragged, table
 
 #: Merged slices kept by a worker in each of two generations; a full one becomes the older, which is then forgotten.
-CACHE = 150_000
+CACHE = 80_000
 #: Longer slices are merged with a heap and not kept.
 LONG_SLICE = 64
 #: Stands for pairs that make no token.
@@ -331,6 +331,7 @@ def encode(docs: DataFrame, ranks: bytes, text: str = "text") -> DataFrame:
     data.  Null and empty texts give empty lists.  Texts of any length are
     encoded whole, a column named ids or ends is replaced, repeated rows stay.
     """
+    bounded_batches(docs.sparkSession)
     others = [c for c in docs.columns if c not in (text, "ids", "ends")]
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
     chosen = docs.select(*[F.col(f"`{c}`") for c in others], F.col(text).alias("__text"))
@@ -359,6 +360,7 @@ def decode(tokens: DataFrame, ranks: bytes, ids: str = "ids") -> DataFrame:
     Where the offsets of ``encode`` are among the columns, they are held
     against the lengths of the tokens, and a difference is an error.
     """
+    bounded_batches(tokens.sparkSession)
     shared = tokens.sparkSession.sparkContext.broadcast(ranks)
     names = [c for c in tokens.columns if c != "decoded"]
     schema = tokens.select(*[F.col(f"`{c}`") for c in names]).schema.add("decoded", "binary")

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from convprep.llm.common import (
+    bounded_batches,
     buffer_of,
     free_shuffles,
     grams,
@@ -472,6 +473,7 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
     nothing, and its component is itself.  Repeated rows stay and share their
     component; an empty table gives an empty table.
     """
+    bounded_batches(docs.sparkSession)
     free_shuffles(docs.sparkSession)
     docs = docs.select(F.xxhash64("doc_id", "text").alias("row"), "doc_id", "text")
     sets = stored(announced(docs, width, percent), "sets")

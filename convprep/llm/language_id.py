@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from convprep.llm.common import buffer_of, held_out, lower_bytes, pieces, table
+from convprep.llm.common import bounded_batches, buffer_of, held_out, lower_bytes, pieces, table
 
 #: Bound of the labelled sample: documents of a language, characters of each, and languages, the most frequent first.
 SAMPLE_DOCS = 64
@@ -207,6 +207,7 @@ def identify(
     go to the first language by name.  Repeated rows get the same values;
     columns named like the added ones are replaced.
     """
+    bounded_batches(docs.sparkSession)
     training = docs.filter(~held_out(F.col(doc_id), 0)) if training is None else training
     parser = docs.sparkSession.sparkContext.broadcast(learn(training, doc_id, text, lang))
     added = ("lang_pred", "score", "phrase_bytes")
