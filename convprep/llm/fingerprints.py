@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from convprep.llm.common import mix, multipliers, table
+from convprep.llm.common import bounded_batches, mix, multipliers, table
 
 #: Characters of a gram and grams of a window; both are powers of two.
 GRAM = 16
@@ -172,6 +172,7 @@ def compared_with_next(docs: DataFrame) -> DataFrame:
     null ids first and equal ids by text; after the last comes the first.  The
     texts move once, to ranges of ids.
     """
+    bounded_batches(docs.sparkSession)
     sorted_rows = (
         buckets_with_next(docs)
         .repartition("bucket")
