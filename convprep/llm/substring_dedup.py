@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from convprep.llm.common import (
+    bounded_batches,
     buffer_of,
     free_shuffles,
     grams,
@@ -324,6 +325,7 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame,
     each other.  Texts of any length are read whole; an empty table gives an
     empty table.
     """
+    bounded_batches(docs.sparkSession)
     free_shuffles(docs.sparkSession)
     rows = docs.select("doc_id", "text").select(
         F.xxhash64("doc_id", "text").alias("row"), F.coalesce("doc_id", F.lit(LAST_ID)).alias("id"), "doc_id", "text"
