@@ -358,7 +358,8 @@ def tiles(nodes: DataFrame, percent: int) -> DataFrame:
     )
     row = ["node", "n", F.col("band").alias("its")]
     away = met.filter("other <> home").select(*row, F.col("other").alias("to"), F.lit(False).alias("at_home"))
-    hosts = settled.join(away.select(F.col("to").alias("home")).distinct(), "home", "left_semi")
+    residents = settled.select("node", "n", "band", "home").distinct()
+    hosts = residents.join(away.select(F.col("to").alias("home")).distinct(), "home", "left_semi")
     living = met.filter("other = home").select("node", "n", "band", "home").union(hosts.select("node", "n", "band", "home"))
     visits = away.union(living.distinct().select(*row, F.col("home").alias("to"), F.lit(True).alias("at_home")))
     bands = F.array(
