@@ -1,18 +1,23 @@
-"""Language-model scoring with a log-frequency Bloom filter.
+"""Language-model scoring with log-frequency Bloom filters.
 
-Counts of words are exact and come from all training texts.  A pair of words
-is held by the filter if it makes up one in ``UNITS`` training tokens or more;
-counts are in units of that share and quantised on a logarithmic scale of
+Counts of words and of pairs of words are exact and come from all training
+texts; every pair counts.  Counts are quantised on a logarithmic scale of
 ``STEPS`` steps for a doubling, and step k of a pair is stored as membership of
 (pair, 1) to (pair, k).  A count is read back by probing until a step is
-missing.  As the unit is a share of the corpus, there are at most ``UNITS``
-pairs and as many frequent words whatever the corpus, and the filter of
-``BITS`` bits and the table of frequent words can be sent to all workers.
+missing.
+
+Pairs that make up one in ``UNITS`` training tokens or more are counted in
+units of that share; there are at most ``UNITS`` of them and as many frequent
+words whatever the corpus, so their filter of ``BITS`` bits and the table of
+frequent words are sent to all workers.  All other pairs of frequent words are
+counted in ones and held by filters of hash shards, whose number follows the
+number of entries, at most ``ENTRIES`` a shard; the pairs of a text travel to
+their shards.  Pairs with a word too rare for the table are looked up by a
+join, as the rare words are.
 
 A pair that is held has the probability of its quantised count; any other
 falls back to the word's own probability, times what the pairs of its context
-leave (so the probabilities after a context sum to one).  Words too rare for
-the table of frequent words are looked up by a join.
+leave (so the probabilities after a context sum to one).
 """
 
 from __future__ import annotations
@@ -22,7 +27,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from convprep.llm.common import (
@@ -32,6 +38,7 @@ from convprep.llm.common import (
     held_out,
     lower_bytes,
     mix,
+    offsets_of,
     pieces,
     ragged,
     signed,
@@ -44,6 +51,12 @@ UNITS = 1 << 20
 STEPS = 4
 BITS = 1 << 26
 PROBES = 3
+#: Bits of the place of a frequent word in a key of two.
+PLACE_BITS = 21
+#: Least number of shards, about the most entries of one, and bits of a filter for each entry.
+SHARDS = 512
+ENTRIES = 1 << 20
+ENTRY_BITS = 64
 #: The token after the last word; no word has the hash of nothing.
 END = np.uint64(mix(np.array([7], np.uint64))[0])
 #: Distinct counts that a task holds before it passes them on.
@@ -121,13 +134,28 @@ class Words:
         return np.where(self.keys[at] == tokens, at, -1)
 
 
+def before_of(values: np.ndarray, begin: np.ndarray, end: int) -> np.ndarray:
+    """The value before each; an end before the first of a text."""
+    before = np.empty_like(values)
+    before[1:] = values[:-1]
+    before[begin[:-1]] = end
+    return before
+
+
+def codes_of(place: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+    """The place of frequent tokens; of others the hash, as a negative number."""
+    return np.where(place >= 0, place, signed(tokens | np.uint64(1 << 63)))
+
+
 def pairs_of(words: Words, tokens: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Key of each token with the one before it (an end before the first), and where both are frequent."""
     place = words.find(tokens)
-    before = np.empty_like(place)
-    before[1:] = place[:-1]
-    before[begin[:-1]] = words.find(np.array([END]))[0]
-    return (before << 20) | place, (before >= 0) & (place >= 0)
+    before = before_of(place, begin, words.find(np.array([END]))[0])
+    return (before << PLACE_BITS) | place, (before >= 0) & (place >= 0)
+
+
+def shard_of(pairs: np.ndarray, shards: int) -> np.ndarray:
+    return (mix(pairs.astype(np.uint64) ^ np.uint64(0xA0761D6478BD642F)) % np.uint64(shards)).astype(np.int64)
 
 
 def steps_of(n: np.ndarray, unit: float) -> np.ndarray:
@@ -135,12 +163,12 @@ def steps_of(n: np.ndarray, unit: float) -> np.ndarray:
     return np.floor(np.log2(np.maximum(n / unit, 0.5)) * STEPS + 1e-9).astype(np.int64) + 1
 
 
-def bits_of(pairs: np.ndarray, step: np.ndarray | int) -> Iterator[np.ndarray]:
-    """The bits of (pair, step) in the filter."""
+def bits_of(pairs: np.ndarray, step: np.ndarray | int, size: int = BITS) -> Iterator[np.ndarray]:
+    """The bits of (pair, step) in a filter of ``size`` bits, a power of two."""
     h = mix(pairs.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.asarray(step).astype(np.uint64))
     other = mix(h) | np.uint64(1)
     for k in range(PROBES):
-        yield (h + np.uint64(k) * other) & np.uint64(BITS - 1)
+        yield (h + np.uint64(k) * other) & np.uint64(size - 1)
 
 
 def filled_filter(pairs: DataFrame, unit: float) -> np.ndarray:
@@ -149,9 +177,7 @@ def filled_filter(pairs: DataFrame, unit: float) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             key = batch.column(0).to_numpy(zero_copy_only=False)
-            steps = np.maximum(steps_of(batch.column(1).to_numpy(zero_copy_only=False), unit), 0)
-            nth = np.arange(int(steps.sum())) - np.repeat(np.cumsum(steps) - steps, steps) + 1
-            bits = np.unique(np.concatenate([*bits_of(np.repeat(key, steps), nth)]))
+            bits = np.unique(np.concatenate([*bits_of(*entries_of(key, batch.column(1).to_numpy(zero_copy_only=False), unit))]))
             word, mask = signed(bits >> np.uint64(6)), signed(np.uint64(1) << (bits & np.uint64(63)))
             yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(mask)], names=["word", "mask"])
 
@@ -163,8 +189,30 @@ def filled_filter(pairs: DataFrame, unit: float) -> np.ndarray:
     return words.view(np.uint8)
 
 
+def entries_of(key: np.ndarray, n: np.ndarray, unit: float) -> tuple[np.ndarray, np.ndarray]:
+    """The pair and the step of every entry."""
+    steps = np.maximum(steps_of(n, unit), 0)
+    nth = np.arange(int(steps.sum())) - np.repeat(np.cumsum(steps) - steps, steps) + 1
+    return np.repeat(key, steps), nth
+
+
+def probed(held_bytes: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """Step of each pair in a filter, by probing until one is missing."""
+    out = np.zeros(len(pairs), np.int64)
+    left = np.arange(len(pairs))
+    step = 1
+    while left.size:
+        held = np.ones(len(left), bool)
+        for bit in bits_of(pairs[left], step, 8 * len(held_bytes)):
+            held &= (held_bytes[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+        left = left[held]
+        out[left] = step
+        step += 1
+    return out
+
+
 class Model:
-    """Frequent words, context weights and the filter; of bounded size."""
+    """Frequent words, context weights and the filter of frequent pairs; of bounded size."""
 
     def __init__(self, words: Words, total: int, distinct: int, weights: np.ndarray, filter_bytes: np.ndarray):
         self.words, self.total, self.distinct = words, total, distinct
@@ -175,50 +223,75 @@ class Model:
         self.filter = filter_bytes
 
     def steps(self, pairs: np.ndarray) -> np.ndarray:
-        """Step of each pair, by probing until one is missing."""
-        out = np.zeros(len(pairs), np.int64)
-        left = np.arange(len(pairs))
-        step = 1
-        while left.size:
-            held = np.ones(len(left), bool)
-            for bit in bits_of(pairs[left], step):
-                held &= (self.filter[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
-            left = left[held]
-            out[left] = step
-            step += 1
-        return out
+        """Step of each pair in the filter of frequent pairs."""
+        return probed(self.filter, pairs)
+
+    def gains(self, pairs: np.ndarray, log_seen: np.ndarray) -> np.ndarray:
+        """What a held pair adds to its word's own and its context's logarithms."""
+        before, place = pairs >> PLACE_BITS, pairs & ((1 << PLACE_BITS) - 1)
+        seen = np.minimum(log_seen - np.log10(self.words.counts[before]), 0.0)
+        return seen - self.log_weights[before] - (self.log_counts[place] - self.log_base)
 
     def scores(self, tokens: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, ...]:
-        """For each text: sums of log10 over frequent tokens, of what pairs and contexts add, and the rare tokens."""
+        """For each text: sums of log10 over frequent tokens, what frequent contexts and pairs add, how many are
+        frequent; then text and key of other pairs of frequent words, text and codes of pairs with a rare one, and
+        text and hash of rare tokens."""
         place = self.words.find(tokens)
         owner = np.repeat(np.arange(len(begin) - 1), np.diff(begin))
         texts = len(begin) - 1
         common = place >= 0
         base = np.bincount(owner[common], self.log_counts[place[common]], texts)
-        pairs, both = pairs_of(self.words, tokens, begin)
-        before = np.empty_like(place)
-        before[1:] = place[:-1]
-        before[begin[:-1]] = self.words.find(np.array([END]))[0]
+        end = self.words.find(np.array([END]))[0]
+        before = before_of(place, begin, end)
         added = np.where(before >= 0, self.log_weights[before] if len(self.log_weights) else 0.0, 0.0)
-        at = np.flatnonzero(both)
-        step = self.steps(pairs[at])
-        at, step = at[step > 0], step[step > 0]
-        seen = np.log10(self.unit) + (step - 1) / STEPS * math.log10(2) - np.log10(self.words.counts[before[at]])
-        added[at] = np.minimum(seen, 0.0) - (self.log_counts[place[at]] - self.log_base)
-        return base, np.bincount(owner, added, texts), np.bincount(owner[common], minlength=texts), owner[~common], tokens[~common]
+        at = np.flatnonzero(common & (before >= 0))
+        pairs = (before[at] << PLACE_BITS) | place[at]
+        step = self.steps(pairs)
+        held = step > 0
+        added[at[held]] += self.gains(pairs[held], np.log10(self.unit) + (step[held] - 1) / STEPS * math.log10(2))
+        codes = codes_of(place, tokens)
+        codes_before = before_of(codes, begin, end)
+        odd = np.flatnonzero((codes < 0) | (codes_before < 0)) if self.total else np.zeros(0, np.int64)
+        others = owner[at[~held]], pairs[~held]
+        rare_pairs = owner[odd], codes_before[odd], codes[odd]
+        return base, np.bincount(owner, added, texts), np.bincount(owner[common], minlength=texts), others, rare_pairs, owner[~common], tokens[~common]
+
+
+def log_seen(n: Column) -> Column:
+    """Logarithm of a count in ones, quantised."""
+    return F.floor(F.log2(n) * STEPS + 1e-9) / STEPS * math.log10(2)
+
+
+def with_counts(pairs: DataFrame, counts: DataFrame, side: str) -> DataFrame:
+    """Counts of the rare words of one side of (b, t, n, b_n, t_n); rare words are in few pairs, so no key is common."""
+    known = counts.select(F.col("code").alias(side), F.col("n").alias("_n"))
+    rare = pairs.filter(F.col(side) < 0).join(known, side).withColumn(f"{side}_n", F.col("_n")).drop("_n")
+    return pairs.filter(F.col(side) >= 0).unionByName(rare)
 
 
-def learn(training: DataFrame) -> tuple[Model, DataFrame]:
-    """The model of the column ``text``, and the stored counts (key, n) of all tokens."""
+class Learnt:
+    """The model, stored words too rare for it (key, n, log_weight), other pairs of its words (key, n) with the number
+    of their shards and the bits of a shard's filter, and pairs with rare words (b, t, gain)."""
+
+    def __init__(self, model: Model, words: DataFrame, pairs: DataFrame | None, shards: int, bits: int, rare_pairs: DataFrame | None):
+        self.model, self.words, self.pairs, self.shards, self.bits, self.rare_pairs = model, words, pairs, shards, bits, rare_pairs
+
+
+def learn(training: DataFrame) -> Learnt:
+    """The model of the column ``text``, from the counts of all its tokens and all its pairs."""
     spark = training.sparkSession
     unigrams = stored(word_counts(training), "unigrams")
     total, distinct = unigrams.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    # A token in UNITS or more: at most UNITS words.
-    frequent = unigrams.filter(F.col("n") * UNITS >= F.lit(total)).toArrow()
+    # A token in UNITS or more, and the end: at most UNITS words and one.
+    is_frequent = (F.col("n") * UNITS >= F.lit(total)) | (F.col("key") == F.lit(int(signed(np.array([END]))[0])))
+    frequent = unigrams.filter(is_frequent).toArrow()
     words = Words(frequent.column("key").to_numpy().view(np.uint64), frequent.column("n").to_numpy())
+    size = len(words.counts)
     if not total:
-        return Model(words, 0, 0, np.ones(0), np.zeros(BITS // 8, np.uint8)), unigrams
+        none = unigrams.withColumn("log_weight", F.lit(0.0))
+        return Learnt(Model(words, 0, 0, np.ones(0), np.zeros(BITS // 8, np.uint8)), none, None, 0, 0, None)
     shared = spark.sparkContext.broadcast(words)
+    unit, base = total / UNITS, total + 0.5 * (distinct + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def values() -> Iterator[np.ndarray]:
@@ -229,25 +302,188 @@ def learn(training: DataFrame) -> tuple[Model, DataFrame]:
 
         yield from counted(values())
 
-    all_pairs = training.select("text").mapInArrow(run, "key bigint, n bigint")
-    pairs = stored(
-        all_pairs.groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") * UNITS >= F.lit(total)), "pairs"
+    def run_rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = shared.value
+        end = int(words.find(np.array([END]))[0])
+        for batch in batches:
+            for _, _, data, offs in pieces(*buffer_of(batch.column(0))):
+                tokens, begin = tokens_of(data, offs)
+                t = codes_of(words.find(tokens), tokens)
+                b = before_of(t, begin, end)
+                odd = (b < 0) | (t < 0)
+                b, t = b[odd], t[odd]
+                counts = [np.where(c >= 0, words.counts[np.maximum(c, 0)], 0) for c in (b, t)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (b, t, *counts)], names=["b", "t", "b_n", "t_n"])
+
+    texts = training.select("text")
+    pairs = stored(texts.mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")), "pairs")
+    often = pairs.filter(F.col("n") * UNITS >= F.lit(total))
+    others = pairs.filter(F.col("n") * UNITS < F.lit(total))
+    bits = filled_filter(often, unit)
+
+    # What the pairs of each frequent context hold together, and what their second words would have alone.
+    def run_held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = shared.value.counts
+        taken, freed, entries = np.zeros(size), np.zeros(size), 0
+        for batch in batches:
+            key, n = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            before, place = key >> PLACE_BITS, key & ((1 << PLACE_BITS) - 1)
+            often = n * UNITS >= total
+            scale = np.where(often, unit, 1.0)
+            steps = steps_of(n, scale)
+            entries += int(steps[~often].sum())
+            taken += np.bincount(before, np.minimum(scale * 2.0 ** ((steps - 1) / STEPS) / counts[before], 1.0), size)
+            freed += np.bincount(before, (counts[place] + 0.5) / base, size)
+        at = np.flatnonzero(freed)
+        none = np.zeros(len(at), np.int64)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.append(x, y)) for x, y in ((at, -1), (taken[at], 0.0), (freed[at], 0.0), (none, entries))],
+            names=["b", "taken", "freed", "entries"],
+        )
+
+    sums = [F.sum(c).alias(c) for c in ("taken", "freed", "entries")]
+    # At most a row for each frequent word.
+    held = pairs.mapInArrow(run_held, "b bigint, taken double, freed double, entries bigint").groupBy("b").agg(*sums).toArrow()
+    b, taken, freed, entries = (held.column(k).to_numpy() for k in range(4))
+    inside = b >= 0
+    all_taken, all_freed = np.zeros(size), np.zeros(size)
+    all_taken[b[inside]], all_freed[b[inside]] = taken[inside], freed[inside]
+    entries = int(entries[~inside].sum())
+    shards = max(SHARDS, -(-entries // ENTRIES))
+    shard_bits = 1 << max(6, math.ceil(math.log2(max(1, entries * ENTRY_BITS / shards))))
+
+    rare_words = unigrams.filter(~is_frequent)
+    if size == distinct:
+        weights = np.maximum(1.0 - all_taken, 1e-4) / np.maximum(1.0 - all_freed, 1e-4)
+        model = Model(words, total, distinct, weights, bits)
+        return Learnt(model, rare_words.withColumn("log_weight", F.lit(0.0)), others, shards if entries else 0, shard_bits, None)
+
+    coded = rare_words.select(F.col("key").bitwiseOR(F.lit(-(2**63))).alias("code"), "n")
+    rare_pairs = texts.mapInArrow(run_rare, "b bigint, t bigint, b_n bigint, t_n bigint").groupBy("b", "t")
+    rare_pairs = rare_pairs.agg(F.count("*").alias("n"), F.max("b_n").alias("b_n"), F.max("t_n").alias("t_n"))
+    rare_pairs = stored(with_counts(with_counts(rare_pairs, coded, "b"), coded, "t"), "rare-pairs")
+    alone = (F.col("t_n") + 0.5) / F.lit(base)
+    share = F.least(F.pow(F.lit(10.0), log_seen(F.col("n"))) / F.col("b_n"), F.lit(1.0))
+    contexts = rare_pairs.groupBy("b").agg(F.sum(share).alias("taken"), F.sum(alone).alias("freed"))
+    more = contexts.filter("b >= 0").toArrow()
+    b = more.column("b").to_numpy()
+    all_taken[b] += more.column("taken").to_numpy()
+    all_freed[b] += more.column("freed").to_numpy()
+    weights = np.maximum(1.0 - all_taken, 1e-4) / np.maximum(1.0 - all_freed, 1e-4)
+    model = Model(words, total, distinct, weights, bits)
+
+    left = [F.greatest(1.0 - F.col(c), F.lit(1e-4)) for c in ("taken", "freed")]
+    weighed = contexts.filter("b < 0").select(F.col("b").alias("code"), F.log10(left[0] / left[1]).alias("log_weight"))
+    code = F.col("key").bitwiseOR(F.lit(-(2**63)))
+    rare_words = stored(
+        rare_words.withColumn("code", code).join(weighed, "code", "left").select("key", "code", "n", "log_weight"), "rare-words"
     )
-    unit = total / UNITS
-    bits = filled_filter(pairs, unit)
-    # What the pairs of each context hold together, and what their second words would have alone; at most UNITS rows.
-    held = pairs.toArrow()
-    key, n = held.column("key").to_numpy(), held.column("n").to_numpy()
-    before, place = key >> 20, key & (UNITS - 1)
-    share = np.minimum(unit * 2.0 ** ((steps_of(n, unit) - 1) / STEPS) / words.counts[before], 1.0)
-    alone = (words.counts[place] + 0.5) / (total + 0.5 * (distinct + 1))
-    size = len(words.counts)
-    taken, freed = np.bincount(before, share, size), np.bincount(before, alone, size)
-    weights = np.maximum(1.0 - taken, 1e-4) / np.maximum(1.0 - freed, 1e-4)
-    return Model(words, total, distinct, weights, bits), unigrams
+    log_weights = spark.sparkContext.broadcast(model.log_weights)
+
+    def run_weights(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            b = batch.column(0).to_numpy(zero_copy_only=False)
+            own = np.where(b >= 0, log_weights.value[np.maximum(b, 0)], 0.0)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own)], names=[*batch.schema.names, "w"])
+
+    seen = F.least(log_seen(F.col("n")) - F.log10("b_n"), F.lit(0.0)) - F.log10(alone)
+    gains = rare_pairs.select("b", "t", seen.alias("seen")).mapInArrow(run_weights, "b bigint, t bigint, seen double, w double")
+    rare_w = rare_words.select(F.col("code").alias("b"), F.coalesce("log_weight", F.lit(0.0)).alias("rare_w"))
+    gains = gains.filter("b >= 0").unionByName(gains.filter("b < 0").join(rare_w, "b").withColumn("w", F.col("rare_w")).drop("rare_w"))
+    gains = gains.select("b", "t", (F.col("seen") - F.col("w")).alias("gain"))
+    return Learnt(model, rare_words.drop("code"), others, shards if entries else 0, shard_bits, gains)
+
 
+# ---------------------------------------------------------------- scoring
 
 
+def gains_of_shards(learnt: Learnt, probes: DataFrame, shared) -> DataFrame:
+    """(row, gained) from the stored ``probes`` of pieces of texts: pairs and probes meet in their shards.
+
+    The filter of a shard is filled from its pairs, which come first; then its
+    probes stream through, a row for each piece of texts, and their sums go
+    back to the piece.
+    """
+    shards, size = learnt.shards, learnt.bits
+    kinds = "shard bigint, piece bigint, keys array<bigint>, more array<bigint>"
+
+    def run_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key, n = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            yield dealt(key, n, -1, shards)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        at, held = -1, np.zeros(size // 8, np.uint8)
+        for batch in batches:
+            out: list[tuple[int, np.ndarray, np.ndarray]] = []
+            limits = [offsets_of(batch.column(k)) for k in (2, 3)]
+            keys, more = (batch.column(k).flatten().to_numpy(zero_copy_only=False) for k in (2, 3))
+            for i, (shard, piece) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+                key, other = keys[limits[0][i] : limits[0][i + 1]], more[limits[1][i] : limits[1][i + 1]]
+                if shard != at:
+                    at = shard
+                    held[:] = 0
+                if piece < 0:
+                    for bit in bits_of(*entries_of(key, other, 1.0), size):
+                        np.bitwise_or.at(held, (bit >> np.uint64(3)).astype(np.int64), np.uint8(1) << (bit & np.uint64(7)).astype(np.uint8))
+                    continue
+                step = probed(held, key)
+                found = step > 0
+                if found.any():
+                    gain = model.gains(key[found], (step[found] - 1) / STEPS * math.log10(2))
+                    owner, inverse = np.unique(other[found], return_inverse=True)
+                    out.append((piece, owner, np.bincount(inverse, gain)))
+            if out:
+                limit = np.cumsum([0, *[len(o[1]) for o in out]])
+                columns = [
+                    pa.array([o[0] for o in out], pa.int64()),
+                    ragged(np.concatenate([o[1] for o in out]), limit, pa.int64()),
+                    ragged(np.concatenate([o[2] for o in out]), limit, pa.float64()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=["piece", "owners", "gains"])
+
+    def run_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def row(piece: int, sums: np.ndarray) -> pa.RecordBatch:
+            texts = np.flatnonzero(sums)
+            return pa.RecordBatch.from_arrays([pa.array(piece + texts), pa.array(sums[texts])], names=["row", "gained"])
+
+        at, sums = -1, np.zeros(0)
+        for batch in batches:
+            limit = offsets_of(batch.column(1))
+            owners, gains = (batch.column(k).flatten().to_numpy(zero_copy_only=False) for k in (1, 2))
+            for i, piece in enumerate(batch.column(0).to_pylist()):
+                if piece != at:
+                    if at >= 0:
+                        yield row(at, sums)
+                    at, sums = piece, np.zeros(0)
+                more = np.bincount(owners[limit[i] : limit[i + 1]], gains[limit[i] : limit[i + 1]], len(sums))
+                more[: len(sums)] += sums
+                sums = more
+        if at >= 0:
+            yield row(at, sums)
+
+    pairs = learnt.pairs.select("key", "n").mapInArrow(run_pairs, kinds)
+    meeting = pairs.unionByName(probes).repartition("shard").sortWithinPartitions("shard", "piece")
+    back = meeting.mapInArrow(run, "piece bigint, owners array<bigint>, gains array<double>")
+    return back.repartition("piece").sortWithinPartitions("piece").mapInArrow(run_back, "row bigint, gained double")
+
+
+def dealt(key: np.ndarray, other: np.ndarray, piece: int, shards: int) -> pa.RecordBatch:
+    """Rows (shard, piece, keys, more): the values of each shard."""
+    shard = shard_of(key, shards)
+    order = np.argsort(shard, kind="stable")
+    shard, key, other = shard[order], key[order], other[order]
+    heads = np.flatnonzero(np.diff(shard, prepend=-1))
+    limits = np.append(heads, len(shard))
+    columns = [
+        pa.array(shard[heads]),
+        pa.array(np.full(len(heads), piece, np.int64)),
+        ragged(key, limits, pa.int64()),
+        ragged(other.astype(np.int64), limits, pa.int64()),
+    ]
+    return pa.RecordBatch.from_arrays(columns, names=["shard", "piece", "keys", "more"])
+
 
 def score(docs: DataFrame, training: DataFrame) -> DataFrame:
     """(all columns of ``docs`` but the text, n_tokens, n_known, train_tokens, base_score, score).
@@ -259,59 +495,81 @@ def score(docs: DataFrame, training: DataFrame) -> DataFrame:
     equal scores; columns with the added names are replaced.
     """
     free_shuffles(docs.sparkSession)
-    model, unigrams = learn(training)
+    learnt = learn(training)
+    model, shards = learnt.model, learnt.shards
     added = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
     others = [c for c in docs.columns if c not in (*added, "text")]
     shared = docs.sparkSession.sparkContext.broadcast(model)
     row = F.struct(*[F.col(f"`{c}`") for c in others]).alias("docs_row")
     chosen = docs.select(row, "text")
-    parts = "n_tokens bigint, common double, added double, n_common bigint, rare array<bigint>, rare_n array<bigint>"
+    parts = (
+        "row bigint, n_tokens bigint, common double, added double, n_common bigint, rare array<bigint>, rare_n array<bigint>, "
+        "b array<bigint>, t array<bigint>, probes array<struct<shard:bigint,piece:bigint,keys:array<bigint>,more:array<bigint>>>"
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Rows are numbered in their task; they are stored once, so later stages see the same numbers.
+        first_row = TaskContext.get().partitionId() << 40
         for batch in batches:
             data, offs = buffer_of(batch.column(1))
             for first, last, part, at in pieces(data, offs):
                 tokens, begin = tokens_of(part, at)
-                base, more, n_common, owner, rare = shared.value.scores(tokens, begin)
+                base, more, n_common, (asker, asked), (odd, b, t), owner, rare = shared.value.scores(tokens, begin)
                 order = np.lexsort((rare, owner))
                 owner, rare = owner[order], rare[order]
                 fresh = np.ones(len(rare), bool)
                 fresh[1:] = (owner[1:] != owner[:-1]) | (rare[1:] != rare[:-1])
                 heads = np.flatnonzero(fresh)
                 times = np.diff(np.concatenate([heads, [len(rare)]]))
-                limits = np.searchsorted(owner[heads], np.arange(last - first + 1))
+                texts = last - first
+                limits = np.searchsorted(owner[heads], np.arange(texts + 1))
+                odd_limits = np.searchsorted(odd, np.arange(texts + 1))
+                # The probes of a piece are with its first text.
+                probes = dealt(asked, asker, first_row, shards) if shards else dealt(asked[:0], asker[:0], first_row, 1)
+                probe_limits = np.append(0, np.full(texts, probes.num_rows))
                 columns = [
-                    batch.column(0).slice(first, last - first),
+                    batch.column(0).slice(first, texts),
+                    pa.array(first_row + np.arange(texts)),
                     pa.array(np.diff(begin)),
                     pa.array(base),
                     pa.array(more),
                     pa.array(n_common.astype(np.int64)),
                     ragged(signed(rare[heads]), limits, pa.int64()),
                     ragged(times.astype(np.int64), limits, pa.int64()),
+                    ragged(b, odd_limits, pa.int64()),
+                    ragged(t, odd_limits, pa.int64()),
+                    pa.ListArray.from_arrays(pa.array(probe_limits, pa.int32()), probes.to_struct_array()),
                 ]
-                names = ["docs_row", "n_tokens", "common", "added", "n_common", "rare", "rare_n"]
+                names = ["docs_row", "row", "n_tokens", "common", "added", "n_common", "rare", "rare_n", "b", "t", "probes"]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
+                first_row += texts
 
     kind = chosen.schema["docs_row"].dataType.simpleString()
-    scored = stored(
-        chosen.mapInArrow(run, f"docs_row {kind}, {parts}").withColumn("row", F.monotonically_increasing_id()), "scored"
-    )
+    scored = stored(chosen.mapInArrow(run, f"docs_row {kind}, {parts}"), "scored")
     rare = scored.select("row", F.explode(F.arrays_zip("rare", "rare_n")).alias("t")).select(
         "row", F.col("t.rare").alias("key"), F.col("t.rare_n").alias("times")
     )
-    known = rare.join(unigrams, "key", "left")
+    known = rare.join(learnt.words, "key", "left")
     sums = known.groupBy("row").agg(
         F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("rare_log"),
         F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("rare_known"),
+        F.sum(F.col("times") * F.coalesce("log_weight", F.lit(0.0))).alias("gained"),
     )
+    gained = sums.select("row", "gained")
+    if learnt.rare_pairs is not None:
+        asked = scored.select("row", F.explode(F.arrays_zip("b", "t")).alias("p")).select("row", "p.b", "p.t")
+        gained = gained.unionByName(asked.join(learnt.rare_pairs, ["b", "t"]).select("row", F.col("gain").alias("gained")))
+    if shards:
+        gained = gained.unionByName(gains_of_shards(learnt, scored.select(F.inline("probes")), shared))
+    gained = gained.groupBy("row").agg(F.sum("gained").alias("gained"))
     base = F.col("common") + F.coalesce("rare_log", F.lit(0.0)) - F.col("n_tokens") * F.lit(model.log_base)
-    return scored.join(sums, "row", "left").select(
+    return scored.join(sums.drop("gained"), "row", "left").join(gained, "row", "left").select(
         "docs_row.*",
         "n_tokens",
         (F.col("n_common") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
         F.lit(int(model.total)).cast("long").alias("train_tokens"),
         base.alias("base_score"),
-        (base + F.col("added")).alias("score"),
+        (base + F.col("added") + F.coalesce("gained", F.lit(0.0))).alias("score"),
     )
 
 

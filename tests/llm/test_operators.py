@@ -165,6 +165,18 @@ def test_lm_scoring(spark, folder, rows_of_folder):
     assert better > 0.5 * len(found) or "sf0" not in folder
 
 
+@pytest.mark.parametrize("units, entries", [(1 << 20, 1 << 20), (300, 1000), (2, 1 << 20)])
+def test_lm_scoring_counts_all_pairs(spark, small, rows_of_folder, units, entries, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "UNITS", units)
+    monkeypatch.setattr(lm_scoring, "ENTRIES", entries)
+    docs = rows_of_folder(small)
+    scores = brute.pair_scores(docs, units, lm_scoring.STEPS)
+    found = QUERIES["op8_lm_scoring"](spark, small).collect()
+    equal = sum(r["score"] == pytest.approx(scores[r["doc_id"]], rel=1e-6) for r in found)
+    # A filter may take a pair for held that is not.
+    assert len(found) == len(docs) and equal >= 0.97 * len(docs)
+
+
 def test_filter_gives_the_steps_of_its_pairs(spark):
     import numpy as np
 
