@@ -21,11 +21,13 @@ from pyspark.sql import types as T
 from convprep.llm.common import bounded_batches, mix, multipliers, table
 
 #: Characters of a gram and grams of a window; both are powers of two.
-GRAM = 16
-WINDOW = 32
+GRAM = 8
+WINDOW = 8
 #: Bits of a position inside a block, and grams of a block; a hash has the other bits.
 PLACE_BITS = 24
 BLOCK = 1 << 20
+#: Characters of the texts whose results are passed on together.
+HELD_CHARS = 1 << 20
 #: Documents of a bucket of neighbours, about, and the most buckets; a bucket is streamed, so it may grow.
 BUCKET = 20_000
 BUCKETS = 4096
@@ -182,14 +184,18 @@ def compared_with_next(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before: tuple | None = None
         for batch in batches:
-            rows = []
+            rows, held = [], 0
             for bucket, own, doc_id, text in zip(*[batch.column(k) for k in range(4)]):
                 bucket, own, doc_id, text = bucket.as_py(), own.as_py(), doc_id.as_py(), text.as_py() or ""
                 points = points_of(text)
                 now = (bucket, doc_id, text, points, winnow(points))
                 if before is not None and before[0] == bucket:
                     rows.append(pair(before, now))
+                    held += len(before[3])
                 before = now if own else None
+                if held >= HELD_CHARS:
+                    yield columns_of(rows)
+                    rows, held = [], 0
             if rows:
                 yield columns_of(rows)
 

@@ -209,6 +209,15 @@ def test_fingerprints_do_not_depend_on_buckets(spark, odd, rows_of_folder, bucke
     assert rows(found, "doc_id", "n_chars", "edited_sha256") == Counter(brute.edited_texts(rows_of_folder(odd)))
 
 
+def test_half_of_a_short_text_is_found(spark, small):
+    texts = [r["text"] for r in spark.read.parquet(f"{small}/documents.parquet").orderBy("doc_id").collect()]
+    for size in (32, 48, 64, 90):
+        for text in [t[:size] for t in texts if len(t) >= size]:
+            half = size // 2
+            mine, edited = (fingerprints.winnow(fingerprints.points_of(t))[0] for t in (text, text[:-half] + "~" * half))
+            assert set(mine.tolist()) & set(edited.tolist()), text
+
+
 def test_winnowing(spark, small, monkeypatch):
     texts = ["", "a", "abcdefghijklmnop" * 30, "a" * 300]
     texts += [r["text"] for r in spark.read.parquet(f"{small}/documents.parquet").limit(3).collect()]
