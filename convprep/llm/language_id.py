@@ -18,12 +18,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from convprep.llm.common import bounded_batches, buffer_of, held_out, lower_bytes, pieces, table
+from convprep.llm.common import bounded_batches, buffer_of, held_out, lower_bytes, pieces, stored, table
 
-#: Bound of the labelled sample: documents of a language, characters of each, and languages, the most frequent first.
+#: Bound of the labelled sample of a language: documents, and characters of each.
 SAMPLE_DOCS = 64
 SAMPLE_CHARS = 400
-LANGUAGES = 64
+#: Bytes of the table of a group of languages; one language has at most 64 * (4 * 400 + 1) bytes of text, two states
+#: for each, and an entry of four bytes for each state and class, so it always fits.
+TABLE_BYTES = 1 << 28
+#: Classes of bytes at most: 26 letters, 128 bytes of other characters, the break, and all others.
+CLASSES = 156
 #: Bytes of a block.
 BLOCK = 512
 #: Texts whose phrases are shorter than this many bytes on average are in none of the languages.
@@ -133,22 +137,40 @@ class Parser:
         return out
 
 
-def learn(labelled: DataFrame, doc_id: str, text: str, lang: str) -> Parser:
-    """Automata of a bounded sample of the rows with text and label, chosen by a hash of the id."""
+def sampled(labelled: DataFrame, doc_id: str, text: str, lang: str) -> DataFrame:
+    """(lang, nth, part): a bounded sample of the rows with text and label of every language, chosen by a hash of the id."""
     rows = labelled.filter(F.col(text).isNotNull() & F.col(lang).isNotNull())
     rows = rows.select(
         F.col(lang).alias("lang"),
         F.xxhash64(doc_id).alias("draw"),
         F.substring(F.col(text), 1, SAMPLE_CHARS).alias("part"),
     )
-    frequent = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).select("lang")
     first = Window.partitionBy("lang").orderBy("draw", "part")
-    drawn = rows.withColumn("nth", F.row_number().over(first)).filter(F.col("nth") <= SAMPLE_DOCS)
-    sample: dict[str, list[str]] = {}
-    for row in drawn.join(F.broadcast(frequent), "lang").orderBy("lang", "nth").collect():
-        sample.setdefault(row["lang"], []).append(row["part"])
+    return rows.withColumn("nth", F.row_number().over(first)).filter(F.col("nth") <= SAMPLE_DOCS).drop("draw")
+
+
+def groups_of(sizes: list[tuple[str, int]]) -> list[tuple[str, str]]:
+    """First and last language, by name, of groups whose tables fit in ``TABLE_BYTES``; a row is a name and its bytes."""
+    groups: list[tuple[str, str]] = []
+    held = 0
+    for name, size in sorted(sizes):
+        need = 2 * size * CLASSES * 4
+        if groups and held + need <= TABLE_BYTES:
+            groups[-1] = (groups[-1][0], name)
+            held += need
+        else:
+            groups.append((name, name))
+            held = need
+    return groups
+
+
+def learn(sample: DataFrame) -> Parser:
+    """Automata of the languages of a sample."""
+    texts_of: dict[str, list[str]] = {}
+    for row in sample.orderBy("lang", "nth").collect():
+        texts_of.setdefault(row["lang"], []).append(row["part"])
     parts = {}
-    for name, texts in sample.items():
+    for name, texts in texts_of.items():
         data, offs = buffer_of(pa.array(texts, pa.string()))
         clean, at = normalised(data, offs)
         joined = b"\0".join(clean[a:b].tobytes() for a, b in zip(at[:-1], at[1:]))
@@ -170,25 +192,25 @@ def has_letter(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return out
 
 
-def predictions(parser: Parser, data: np.ndarray, offs: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Language, score and bytes for each phrase of every text of a buffer."""
-    letters = has_letter(data, offs)
+def lowest_costs(parser: Parser, data: np.ndarray, offs: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """Cheapest language of the parser, its cost, the next cost and bytes for each phrase of every text of a buffer."""
     clean, at = normalised(data, offs)
-    if not parser.languages:
-        return [UNKNOWN] * len(letters), np.zeros(len(letters)), np.zeros(len(letters))
     phrases = np.maximum(parser.phrases(clean, at), 1.0)
     cost = phrases * parser.cost
     best = cost.argmin(1)
     rows = np.arange(len(best))
-    lowest = cost[rows, best]
-    if len(parser.languages) > 1:
-        second = np.partition(cost, 1, axis=1)[:, 1]
-        score = 1.0 - lowest / second
-    else:
-        score = np.ones(len(best))
-    size = np.diff(at) / phrases[rows, best]
-    names = [parser.languages[b] if ok else UNKNOWN for b, ok in zip(best, letters)]
-    return names, np.where(letters, score, 0.0), np.where(letters, size, 0.0)
+    second = np.partition(cost, 1, axis=1)[:, 1] if len(parser.languages) > 1 else np.full(len(best), np.inf)
+    return [parser.languages[b] for b in best], cost[rows, best], second, np.diff(at) / phrases[rows, best]
+
+
+def predictions(parser: Parser, data: np.ndarray, offs: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Language, score and bytes for each phrase of every text of a buffer."""
+    letters = has_letter(data, offs)
+    if not parser.languages:
+        return [UNKNOWN] * len(letters), np.zeros(len(letters)), np.zeros(len(letters))
+    found, lowest, second, size = lowest_costs(parser, data, offs)
+    names = [name if ok else UNKNOWN for name, ok in zip(found, letters)]
+    return names, np.where(letters, 1.0 - lowest / second, 0.0), np.where(letters, size, 0.0)
 
 
 def identify(
@@ -201,18 +223,29 @@ def identify(
     """All columns of ``docs`` with lang_pred, score (0 to 1) and phrase_bytes.
 
     Automata are learnt from ``training``, by default the rows of ``docs`` that
-    are not held out.  A text that is null or has no letter of any script is
-    ``und`` with score 0, and so is every text if nothing can be learnt.  The
-    score is one minus the ratio of the lowest cost to the next.  Equal costs
-    go to the first language by name.  Repeated rows get the same values;
-    columns named like the added ones are replaced.
+    are not held out, for every label.  A text that is null or has no letter of
+    any script is ``und`` with score 0, and so is every text if nothing can be
+    learnt.  The score is one minus the ratio of the lowest cost to the next.
+    Equal costs go to the first language by name.  Repeated rows get the same
+    values; columns named like the added ones are replaced.
+
+    Languages are taken in groups of bounded size.  With more than one group
+    the texts are stored with a row number, parsed by one group after the other
+    and joined to the lowest costs.
     """
     bounded_batches(docs.sparkSession)
     training = docs.filter(~held_out(F.col(doc_id), 0)) if training is None else training
-    parser = docs.sparkSession.sparkContext.broadcast(learn(training, doc_id, text, lang))
+    sample = stored(sampled(training, doc_id, text, lang), "sample")
+    # One row for each label.
+    sizes = sample.groupBy("lang").agg(F.sum(F.octet_length("part") + 1).alias("size")).collect()
+    groups = groups_of([(r["lang"], r["size"]) for r in sizes])
     added = ("lang_pred", "score", "phrase_bytes")
     names = [c for c in docs.columns if c not in added]
-    schema = docs.select(*[F.col(f"`{c}`") for c in names]).schema
+    chosen = docs.select(*[F.col(f"`{c}`") for c in names])
+    if len(groups) > 1:
+        return in_groups(chosen, sample, groups, text)
+    parser = docs.sparkSession.sparkContext.broadcast(learn(sample))
+    schema = chosen.select("*").schema
     place = names.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,7 +263,46 @@ def identify(
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*names, *added])
 
     out = schema.add("lang_pred", "string").add("score", "double").add("phrase_bytes", "double")
-    return docs.select(*[F.col(f"`{c}`") for c in names]).mapInArrow(run, out)
+    return chosen.mapInArrow(run, out)
+
+
+def in_groups(docs: DataFrame, sample: DataFrame, groups: list[tuple[str, str]], text: str) -> DataFrame:
+    """``docs`` with the added columns, by one group of languages after the other."""
+    spark = docs.sparkSession
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("docs_row")
+    numbered = stored(docs.select(row).withColumn("row", F.monotonically_increasing_id()), "numbered")
+    costs = None
+    for first, last in groups:
+        learnt = learn(sample.filter(F.col("lang").between(first, last)))
+        if not learnt.languages:
+            continue
+        parser = spark.sparkContext.broadcast(learnt)
+
+        def run(batches: Iterator[pa.RecordBatch], parser=parser) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                data, offs = buffer_of(batch.column(1))
+                for a, b, part, at in pieces(data, offs):
+                    letters = pa.array(has_letter(part, at))
+                    columns = [batch.column(0).slice(a, b - a), *[pa.array(c) for c in lowest_costs(parser.value, part, at)]]
+                    columns = [c.filter(letters) for c in columns]
+                    yield pa.RecordBatch.from_arrays(columns, names=["row", "lang", "lowest", "second", "size"])
+
+        found = numbered.select("row", F.col("docs_row").getField(text).alias("text"))
+        found = stored(found.mapInArrow(run, "row bigint, lang string, lowest double, second double, size double"), "costs")
+        parser.unpersist()
+        costs = found if costs is None else costs.unionByName(found)
+    if costs is None:
+        best = numbered.select("row").limit(0).selectExpr("row", "'' AS lang_pred", "0D AS score", "0D AS phrase_bytes")
+    else:
+        best = costs.groupBy("row").agg(
+            F.min(F.struct("lowest", "lang", "size")).alias("best"),
+            F.array_sort(F.flatten(F.collect_list(F.array("lowest", "second")))).alias("all"),
+        )
+        score = (1.0 - F.col("best.lowest") / F.get("all", F.lit(1))).alias("score")
+        best = best.select("row", F.col("best.lang").alias("lang_pred"), score, F.col("best.size").alias("phrase_bytes"))
+    zero = [F.coalesce(c, F.lit(0.0)).alias(c) for c in ("score", "phrase_bytes")]
+    pred = F.coalesce("lang_pred", F.lit(UNKNOWN)).alias("lang_pred")
+    return numbered.join(best, "row", "left").select("docs_row.*", pred, *zero)
 
 
 def in_known_language(rows: DataFrame) -> DataFrame:

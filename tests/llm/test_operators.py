@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import random
 import zlib
 from collections import Counter
 
@@ -58,6 +59,27 @@ def test_language_id(spark, folder, rows_of_folder):
         assert right >= 0.97 * total > 0
 
 
+def labelled_scripts(spark):
+    """Seventy labels with letters of their own, rarer and rarer."""
+    rows, rng = [], random.Random(3)
+    for k in range(70):
+        letters = [chr(0x4E00 + 64 * k + i) for i in range(40)]
+        rows += [(1000 * k + n, "".join(rng.choices(letters, k=60)), f"l{k:02}") for n in range(75 - k)]
+    return spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+
+
+def test_every_label_is_learnt(spark):
+    found = language_id.identify(labelled_scripts(spark)).collect()
+    assert [(r["lang"], r["lang_pred"]) for r in found if r["lang_pred"] != r["lang"]] == []
+
+
+def test_languages_in_groups(spark, folder, monkeypatch):
+    docs = spark.read.parquet(f"{folder}/documents.parquet").drop("lang_pred")
+    whole = rows(language_id.identify(docs), "doc_id", "lang_pred", "score", "phrase_bytes")
+    monkeypatch.setattr(language_id, "TABLE_BYTES", 1)
+    assert rows(language_id.identify(docs), "doc_id", "lang_pred", "score", "phrase_bytes") == whole
+
+
 def test_phrases_are_longest_matches():
     parser = language_id.Parser({"x": b"abcabd\0ab"})
     for text in (b"abcabdab", b"abdabc", b"zz", b"", b"abcabcabcabd\0abz"):
