@@ -209,11 +209,11 @@ def main_text(page: str | None) -> str:
         return ""
     lines = page_lines(page)
     marked = any(line.article and not line.excluded for line in lines)
-    if marked:
-        lines = [line for line in lines if line.article]
+    # Excluded lines are no part of the sequence, so they part no article.
+    lines = [line for line in lines if not line.excluded and (line.article or not marked)]
     lengths = line_lengths(lines)
     if marked:
-        lengths = np.array([0 if line.excluded else max(1, n, len(line.text) if line.linked < len(line.text) else 0) for line, n in zip(lines, lengths)], np.int64)
+        lengths = np.array([max(1, n, len(line.text) if line.linked < len(line.text) else 0) for line, n in zip(lines, lengths)], np.int64)
     return " ".join(line.text for line, keep in zip(lines, kept_lines(lengths, marked)) if keep)
 
 

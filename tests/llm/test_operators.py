@@ -12,7 +12,7 @@ import pytest
 import tiktoken
 
 from checking import connect, spark_rows, sql_rows
-from convprep.llm import bpe, fingerprints, jaccard_join, language_id, lm_scoring, mixing, sharding, substring_dedup
+from convprep.llm import bpe, fingerprints, html_text, jaccard_join, language_id, lm_scoring, mixing, sharding, substring_dedup
 from convprep.llm.queries import ORACLES, QUERIES
 
 
@@ -141,6 +141,18 @@ def test_html_text(spark, small, odd):
     assert rows(QUERIES["op4_html_text"](spark, odd), "page_id", "text") == Counter({(1, ""): 1, (2, ""): 2, (None, "a&b"): 1})
 
 
+def test_excluded_lines_do_not_part_an_article():
+    body = "".join(f"<p>{'A sentence of the article that is long enough to surge. ' * 8}{k}</p>" for k in range(3))
+    advert = "<aside><p>Buy</p><p>this</p><p>now</p></aside>"
+    text = html_text.main_text(f"<html><body>{body}{advert}<p>A short end.</p></body></html>")
+    assert text.endswith("A short end.") and "Buy" not in text
+
+
+def test_linked_lines_of_a_marked_article_stay():
+    page = "<html><body><article><h1><a href='x'>Title</a></h1><p>Text of it.</p><p><a href='y'>Source</a></p></article></body></html>"
+    assert html_text.main_text(page) == "Title Text of it. Source"
+
+
 def test_sharding(spark, folder, rows_of_folder):
     docs = rows_of_folder(folder)
     found = QUERIES["op5_sharding"](spark, folder).collect()
