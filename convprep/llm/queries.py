@@ -2,7 +2,21 @@
 
 from __future__ import annotations
 
-from convprep.llm import bpe, exact_dedup, fingerprints, html_text, jaccard_join, language_id, lm_scoring, mixing, sharding, substring_dedup
+from convprep.llm import (
+    bpe,
+    centroid_clusters,
+    exact_dedup,
+    fingerprints,
+    html_text,
+    jaccard_join,
+    language_id,
+    license_scan,
+    lm_scoring,
+    mixing,
+    sharding,
+    spelling_variants,
+    substring_dedup,
+)
 
 QUERIES = {
     "op10_mixing": mixing.op10_mixing,
@@ -15,9 +29,13 @@ QUERIES = {
     "op2_language_id": language_id.op2_language_id,
     "op3_bpe": bpe.op3_bpe,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+    "op11_license_scan": license_scan.op11_license_scan,
+    "op12_spelling_variants": spelling_variants.op12_spelling_variants,
+    "op13_centroid_clusters": centroid_clusters.op13_centroid_clusters,
 }
 
 ORACLES = {
     "op10_mixing": mixing.OP10_SQL,
     "op6_exact_dedup": exact_dedup.OP6_SQL,
+    "op13_centroid_clusters": centroid_clusters.OP13_SQL,
 }

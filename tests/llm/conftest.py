@@ -43,6 +43,8 @@ def odd(spark, small, tmp_path_factory):
     extra.repartition(3).write.parquet(f"{out}/documents.parquet")
     pages = [(1, "u", None), (2, None, ""), (None, "u", "<p>a&amp;b</p>"), (2, None, "")]
     spark.createDataFrame(pages, "page_id bigint, url string, html string").write.parquet(f"{out}/pages.parquet")
+    vectors = [(1, [0.5] * 64), (1, [0.5] * 64), (2, None), (None, [0.25] * 64), (3, [1.0])]
+    spark.createDataFrame(vectors, "vec_id bigint, embedding array<float>").write.parquet(f"{out}/embeddings.parquet")
     return out
 
 
@@ -51,6 +53,7 @@ def empty(spark, tmp_path_factory):
     out = str(tmp_path_factory.mktemp("empty"))
     spark.createDataFrame([], SCHEMA).write.parquet(f"{out}/documents.parquet")
     spark.createDataFrame([], "page_id bigint, url string, html string").write.parquet(f"{out}/pages.parquet")
+    spark.createDataFrame([], "vec_id bigint, embedding array<float>").write.parquet(f"{out}/embeddings.parquet")
     return out
 
 
