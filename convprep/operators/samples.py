@@ -33,6 +33,36 @@ def rejected_turns(turned: DataFrame, budget: int) -> DataFrame:
     )
 
 
+#: Turns that are folded together; folds over arrays copy what they have, so longer ones go in two levels.
+FOLDED = 64
+
+
+def local_sums(costs: Column) -> Column:
+    """Prefix sums of every ``FOLDED`` costs, each beginning at 0."""
+    parts = F.sequence(F.lit(0), F.greatest(F.size(costs) - 1, F.lit(0)).bitwiseAND(F.lit(-FOLDED)), F.lit(FOLDED))
+    return F.transform(
+        parts,
+        lambda at: F.aggregate(
+            F.slice(costs, at + 1, F.lit(FOLDED)),
+            F.array(F.lit(0)),
+            lambda a, c: F.concat(a, F.array(F.element_at(a, -1) + c)),
+        ),
+    )
+
+
+def prefix_sums(local: Column) -> Column:
+    """0 and the sums of the first 1, 2, ... costs, from their ``local_sums``; linear in the turns but for few copies."""
+    before = F.aggregate(
+        local, F.array(F.lit(0)), lambda a, part: F.concat(a, F.array(F.element_at(a, -1) + F.element_at(part, -1)))
+    )
+    whole = F.zip_with(
+        local,
+        F.slice(before, F.lit(1), F.size(local)),
+        lambda part, at: F.transform(F.slice(part, F.lit(2), F.size(part)), lambda v: v + at),
+    )
+    return F.concat(F.array(F.lit(0)), F.flatten(whole))
+
+
 def start_pointers(
     pre: Column, base: Column, budget: int, credit: Column, own_from: Column, carried: Column
 ) -> Column:
@@ -40,22 +70,37 @@ def start_pointers(
 
     ``pre`` are prefix sums of the turn costs.  The start never moves back, so
     one fold carries it, beginning at ``carried`` (negative when that turn lies
-    before the segment).  ``credit`` is what the stateful rule counts off per
-    dropped turn on top of its cost; 0 gives contexts that never exceed the
-    budget.
+    before the segment), and finds the next by halving, as the sums rise.
+    ``credit`` is what the stateful rule counts off per dropped turn on top of
+    its cost; 0 gives contexts that never exceed the budget.
     """
     n = F.size(pre) - 1
+    halvings = F.sequence(F.lit(1), F.ceil(F.log2(n + 2)).cast("int"))
+
+    def halved(span: Column, wanted: Column) -> Column:
+        middle = F.shiftright(span["low"] + span["high"], 1)
+        enough = F.get(pre, middle) + middle * credit >= wanted
+        return F.struct(
+            F.when(enough, span["low"]).otherwise(F.least(middle + 1, span["high"])).alias("low"),
+            F.when(enough, middle).otherwise(span["high"]).alias("high"),
+        )
 
     def next_start(starts: Column, k: Column) -> Column:
         held = F.element_at(starts, -1)
-        free = F.filter(
-            F.sequence(F.greatest(held, F.lit(0)), k),
-            lambda s: base + F.get(pre, k + 1) - F.get(pre, s) - (s - held) * credit <= budget,
-        )
-        return F.concat(starts, F.array(F.get(free, F.lit(0))))
+        wanted = base + F.get(pre, k + 1) + held * credit - budget
+        span = F.struct(F.greatest(held, F.lit(0)).alias("low"), k.alias("high"))
+        found = F.aggregate(halvings, span, lambda s, _: halved(s, wanted), lambda s: s["low"])
+        return F.concat(starts, F.array(found))
+
+    def next_part(parts: Column, first: Column) -> Column:
+        own = F.sequence(first, F.least(first + (FOLDED - 1), n - 1))
+        last = F.slice(F.element_at(parts, -1), -1, 1)
+        return F.concat(parts, F.array(F.aggregate(own, last, next_start)))
 
-    folded = F.aggregate(F.sequence(own_from, n - 1), F.array(carried), next_start)
-    return F.when(n > own_from, F.slice(folded, 2, n)).otherwise(F.array().cast("array<int>"))
+    parts = F.aggregate(F.sequence(own_from, n - 1, F.lit(FOLDED)), F.array(F.array(carried)), next_part)
+    # Each part begins with the start that it was carried.
+    starts = F.transform(F.slice(parts, F.lit(2), F.size(pre)), lambda p: F.slice(p, F.lit(2), F.size(p)))
+    return F.when(n > own_from, F.flatten(starts)).otherwise(F.array().cast("array<int>"))
 
 
 def segment_samples(
@@ -76,15 +121,12 @@ def segment_samples(
     p = profile_columns(profile)
     base = F.col("base")
     credit = F.lit(0) if mode == EXACT else base_cost(p, counter, F.lit(""))
-    pre = F.aggregate(
-        F.transform("turns", lambda t: t["cost"].cast("int")),
-        F.array(F.lit(0)),
-        lambda a, c: F.concat(a, F.array(F.element_at(a, -1) + c)),
-    )
     # Each column below is used at least twice above it, so Catalyst keeps the
     # projections apart instead of inlining them into the lambdas.
     folded = (
-        segments.withColumn("_pre", pre)
+        segments.withColumn("_costs", F.transform("turns", lambda t: t["cost"].cast("int")))
+        .withColumn("_local", local_sums(F.col("_costs")))
+        .withColumn("_pre", prefix_sums(F.col("_local")))
         .withColumn("_credit", credit)
         .withColumn(
             "_starts",

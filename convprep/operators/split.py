@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from convprep.operators.running import rank_cutoff
+from convprep.plans.session import stored
 
 TRAIN, EVAL = "train", "eval"
 
@@ -33,16 +34,38 @@ def split_exact(chats: DataFrame, eval_fraction: float, key: str = "chat_id", se
     return chats.withColumn("split", F.when(order <= cutoff.scalar(), EVAL).otherwise(TRAIN))
 
 
+#: Relative error of the quantile sketch is one over this.
+ACCURACY = 10_000
+
+
 def split_ordered(rows: DataFrame, train_ratio: float, order: str) -> DataFrame:
     """Add ``split``: the first ``floor(n * train_ratio)`` rows are ``train``, the rest ``eval``.
 
-    ``order`` is a unique integer column; its four 16-bit parts locate the
-    cut-off whatever the distribution of the values.
+    ``order`` is a unique integer column of any distribution.  Two scans of it
+    give the cut-off: a quantile sketch brackets it, then the rows below the
+    bracket are counted while the few inside it are written; their ranks are
+    exact.  Should the sketch miss, all rows are ranked.
     """
     value = F.col(order).cast("long")
-    digits = [F.shiftright(value, 48)] + [
-        F.shiftright(value, bits).bitwiseAND(F.lit(65535)) for bits in (32, 16, 0)
-    ]
     size = _both_sides(F.floor(F.col("n") * F.lit(float(train_ratio))))
-    cutoff = rank_cutoff(rows, digits, value, size)
+    margin = 4 / ACCURACY
+    shares = [max(train_ratio - margin, 0.0), min(train_ratio + margin, 1.0)]
+    sketch = rows.agg(F.count(F.lit(1)).alias("n"), F.percentile_approx(value, shares, ACCURACY).alias("q"))
+    found = sketch.select(size.alias("k"), "q").first()
+    low, high = found["q"]
+    below = Observation()
+    counted = rows.select(value.alias("_value")).observe(below, F.count_if(F.col("_value") < low).alias("n"))
+    inside = stored(counted.filter(F.col("_value").between(low, high)), "bracket")
+    rank = found["k"] - below.get["n"]
+    value_inside = F.col("_value")
+    if 1 <= rank <= inside.count():
+        cutoff = rank_cutoff(inside, _digits(value_inside), value_inside, F.lit(rank))
+    else:
+        cutoff = rank_cutoff(rows, _digits(value), value, size)
     return rows.withColumn("split", F.when(value <= cutoff.scalar(), TRAIN).otherwise(EVAL))
+
+
+def _digits(value: Column) -> list[Column]:
+    """The four 16-bit parts of a long."""
+    lower = [F.shiftright(value, bits).bitwiseAND(F.lit(65535)) for bits in (32, 16, 0)]
+    return [F.shiftright(value, 48), *lower]

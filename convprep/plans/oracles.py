@@ -283,6 +283,28 @@ _PACKED = f""", u AS (SELECT {_SLOT} AS slot, chat_id, turn, unnest(list_concat(
     SELECT shard, place // 256 AS block, count(*) AS n_ids, string_agg(id::VARCHAR, ' ' ORDER BY place) AS ids
     FROM o GROUP BY shard, block"""
 
+
+
+def _dictionary(select: str) -> str:
+    """``dw``: words of the samples; ``dv``: their dictionary; ``i`` and ``y`` as in ``_token_ids``."""
+    controls = "[" + ", ".join(f"'{t}'" for t in CONTROL_TOKENS) + "]"
+    n = len(CONTROL_TOKENS)
+    return (
+        _conversation_samples(SECTIONED, 512)
+        + f""", dl AS (SELECT chat_id, turn, regexp_extract_all({_spaced(_SEAM)}, '{WORD}') AS words FROM x),
+        dw AS (SELECT chat_id, turn, unnest(words) AS token, generate_subscripts(words, 1) AS nth FROM dl),
+        dc AS (SELECT token, count(*) AS n FROM dw GROUP BY token),
+        dv AS (SELECT token, n, row_number() OVER (ORDER BY substr(md5(token), 1, 4), token) + {n} - 1 AS id
+            FROM dc WHERE NOT list_contains({controls}, token)
+            UNION ALL SELECT token, n, list_position({controls}, token) - 1 FROM dc WHERE list_contains({controls}, token)),
+        i AS (SELECT chat_id, turn, list_concat(list_concat([0::BIGINT], list(id ORDER BY nth)), [2::BIGINT]) AS full_ids
+            FROM dw JOIN dv USING (token) GROUP BY chat_id, turn),
+        y AS (SELECT chat_id, turn, full_ids[1:(SELECT min(c) FROM (SELECT unnest([512, 1024, 2048, 4096, 8192,
+        16384]) AS c) WHERE c > (SELECT max(len(full_ids)) FROM i))] AS ids FROM i)\n"""
+        + select
+    )
+
+
 # Conversations under the digest of what they say, written as JSON.
 _BY_DIGEST = f"""SELECT sha256(said) AS chat_id, pos, role, content FROM ({MESSAGES}) JOIN (
     SELECT chat_id, '{{"messages":[' || string_agg('{{"role":' || to_json(role) || ',"content":' || to_json(content)
@@ -305,6 +327,10 @@ _TWO_SIDES = _with(
     *_samples(PLAIN, 1024, "SELECT chat_id FROM f2", tag="2"),
 )
 
+_LABELS = f""", lb AS (SELECT *, list_position(list_reverse(ids), {_MARKER}) AS back FROM y)
+    SELECT chat_id, turn, array_to_string(list_transform(range(1, len(ids) + 1),
+    lambda i: CASE WHEN back > 0 AND i > len(ids) + 1 - back THEN ids[i] ELSE -100 END), ' ') AS labels FROM lb"""
+
 ORACLES: dict[str, str] = {
     "normalize_roles": f"SELECT conv_id, turn, {ROLE} AS role, text FROM conversations",
     "pc_to_chat": PAIR_MESSAGES,
@@ -452,4 +478,10 @@ ORACLES: dict[str, str] = {
     lambda i: CASE WHEN back > 0 AND i > len(ids) + 1 - back THEN ids[i] ELSE -100 END), ' ') AS labels FROM l"""
     ),
     "packed_blocks": _token_ids(_PACKED),
+    "vocabulary": _dictionary("SELECT token, n, id FROM dv"),
+    "dictionary_ids": _dictionary(
+        "SELECT chat_id, turn, len(ids) AS n_ids, array_to_string(ids, ' ') AS ids FROM y"
+    ),
+    "dictionary_labels": _dictionary(_LABELS),
+    "dictionary_blocks": _dictionary(_PACKED),
 }

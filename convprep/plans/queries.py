@@ -18,6 +18,7 @@ from convprep.functions.messages import (
 from convprep.functions.rendering import base_cost, render_messages, strip_begin, template_text, training_text
 from convprep.functions.tokens import WordCounter, length_bucket, rendered_tokens
 from convprep.operators.chats import BLOCK, chat_table, message_table, messages_of, pairs_to_chats
+from convprep.operators import dictionary
 from convprep.operators.dedupe import cast_declared, chat_facts, dedupe_chats, dedupe_rows, first_chats
 from convprep.operators.inference import batch_generate, extract_replies, request_prompts
 from convprep.operators.lengths import choose_length, sample_tokens
@@ -536,6 +537,45 @@ def packed_blocks(spark, folder):
     )
 
 
+def _dictionary_samples(spark, folder) -> tuple[DataFrame, DataFrame]:
+    """Stored tokens of the samples, and their stored dictionary."""
+    samples = training_samples(_messages(spark, folder), SECTIONED, 512)
+    tokens = stored(dictionary.tokenized(samples, training_text(F.col("prompt"), F.col("completion"))), "tokens")
+    return tokens, stored(dictionary.vocabulary(tokens), "words")
+
+
+def vocabulary(spark, folder):
+    return _dictionary_samples(spark, folder)[1]
+
+
+def _dictionary_cut(spark, folder) -> DataFrame:
+    tokens, words = _dictionary_samples(spark, folder)
+    length = tokens.agg(length_bucket(F.max(F.size("tokens")) + 2)).scalar()
+    ids = dictionary.dictionary_ids(tokens, words)
+    return ids.select("chat_id", "turn", with_special(F.col("ids"), limit=length).alias("ids"))
+
+
+def dictionary_ids_query(spark, folder):
+    return _dictionary_cut(spark, folder).select(
+        "chat_id", "turn", F.size("ids").cast("long").alias("n_ids"), F.array_join("ids", " ").alias("ids")
+    )
+
+
+def dictionary_labels(spark, folder):
+    marker = CONTROL_TOKENS.index(SECTIONED.last_prompt_token)
+    rows = _dictionary_cut(spark, folder).withColumn("labels", label_mask(F.col("ids"), marker))
+    return rows.select("chat_id", "turn", F.array_join("labels", " ").alias("labels"))
+
+
+def dictionary_blocks(spark, folder):
+    tokens, words = _dictionary_samples(spark, folder)
+    ids = dictionary.dictionary_ids(tokens, words).withColumn("ids", with_special(F.col("ids")))
+    blocks = pack(stored(ids.withColumn("n_ids", F.size("ids")), "token-ids"), 256, shards=8)
+    return blocks.select(
+        "shard", "block", F.size("ids").cast("long").alias("n_ids"), F.array_join("ids", " ").alias("ids")
+    )
+
+
 QUERIES: dict[str, Query] = {
     "normalize_roles": normalize_roles,
     "pc_to_chat": pc_to_chat,
@@ -587,4 +627,8 @@ QUERIES: dict[str, Query] = {
     "token_ids": token_ids,
     "label_mask": label_mask_query,
     "packed_blocks": packed_blocks,
+    "vocabulary": vocabulary,
+    "dictionary_ids": dictionary_ids_query,
+    "dictionary_labels": dictionary_labels,
+    "dictionary_blocks": dictionary_blocks,
 }

@@ -177,3 +177,15 @@ def test_training_set_splits_chats_not_turns(chats, random_chats):
     assert set(sides) <= set(firsts.values())
     long = training_set(table, 0.25, PLAIN, 60, block=4)
     assert sorted(map(tuple, long.select(*rows[0].asDict()).collect())) == sorted(map(tuple, rows))
+
+
+@pytest.mark.parametrize("mode", [EXACT, REFERENCE])
+@pytest.mark.parametrize("n", [1, 63, 64, 65, 700])
+def test_pointers_of_many_turns(spark, mode, n):
+    """The halving search over sums in two levels, against a plain walk."""
+    rng = random.Random(n)
+    words = [(rng.randrange(1, 12), rng.randrange(1, 12)) for _ in range(n)]
+    chat = [m for a, b in words for m in (("User", "a " * a), ("Chatbot", "b " * b))]
+    rows = spark.createDataFrame([(0, chat)], "chat_id long, messages array<struct<role:string,content:string>>")
+    got = chat_samples(rows, PLAIN, 90, mode).select("turn", "first_turn", "n_tokens").orderBy("turn").collect()
+    assert [tuple(r) for r in got] == contexts("plain", chat, 90, mode)

@@ -79,3 +79,25 @@ def test_guards(spark, chats):
         require_rows(table.filter("chat_id < 0"), "no chat can be trained on")
     assert require_rows(table, "x") is table
     assert preview(table, ("chat_id",)).count() == 1
+
+
+def test_the_cutoff_takes_two_scans(spark):
+    rows = spark.range(20_000)
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    watched = rows.mapInArrow(count, "id long")
+    split = split_ordered(watched, 0.8, "id")
+    assert seen.value == 2 * 20_000
+    assert split.filter("split = 'train'").count() == 16_000
+
+
+def test_a_cutoff_outside_the_bracket_is_found(spark, monkeypatch):
+    monkeypatch.setattr("convprep.operators.split.ACCURACY", 2)
+    rows = spark.createDataFrame([(k**3 - 500,) for k in range(200)], "k long")
+    train = {r.k for r in split_ordered(rows, 0.3, "k").filter("split = 'train'").collect()}
+    assert train == {k**3 - 500 for k in range(60)}
