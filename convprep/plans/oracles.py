@@ -454,6 +454,8 @@ ORACLES: dict[str, str] = {
     "jsonl_round_trip": f"SELECT pos, role, content FROM ({MESSAGES})",
     "pc_jsonl_round_trip": f"SELECT prompt, completion FROM ({PAIRS})",
     "pair_csv_round_trip": f"SELECT prompt, completion FROM ({PAIRS})",
+    "csv_split_ranges": f"""SELECT prompt, completion || chr(10) || '"quoted",' || chr(13) || chr(10) || '"" end'
+    AS completion FROM ({PAIRS})""",
     "split_parquet_round_trip": _set(MESSAGES, 512)
     + f"""SELECT prompt, completion, {_SEAM} AS text,
     CASE split WHEN 'eval' THEN 'test' ELSE split END AS split FROM x JOIN sp USING (chat_id)""",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from convprep.functions.rendering import training_text
@@ -22,24 +22,18 @@ def clean_rows(read: DataFrame) -> DataFrame:
 def numbered(rows: DataFrame) -> DataFrame:
     """Add ``place``, an integer in the order of files and of records in them.
 
-    Files are numbered in their order, a table of one row per file; inside a
-    file the reader's row numbers rise already.
+    Each input split gets a range of its own, as wide as its row numbers; one
+    row for each split goes through the window that puts them in order.
     """
-    files = rows.select("source.file").distinct()
-    # A rank without a window over all files: how many names are smaller.
-    names = sorted(r["file"] for r in files.toLocalIterator())
-    places = rows.sparkSession.createDataFrame(list(enumerate(names)), "_nth long, _file string")
-    low = rows.groupBy("source.file").agg(F.min("source.row").alias("_low"), F.max("source.row").alias("_high"))
-    sized = low.join(F.broadcast(places), F.col("file") == F.col("_file"))
-    # Row numbers of two files may overlap in no order of names, so each file gets a range of its own.
-    widths = sorted((r["_nth"], r["_low"], r["_high"]) for r in sized.toLocalIterator())
-    offsets, at = [], 0
-    for nth, first, last in widths:
-        offsets.append((names[nth], at - first))
-        at += last - first + 1
-    shift = rows.sparkSession.createDataFrame(offsets, "_file string, _shift long")
-    joined = rows.join(F.broadcast(shift), F.col("source.file") == F.col("_file"))
-    return joined.withColumn("place", F.col("source.row") + F.col("_shift")).drop("_file", "_shift")
+    split = [F.col("source.file").alias("_file"), F.col("source.start").alias("_start")]
+    widths = rows.groupBy(*split).agg(
+        F.min("source.row").alias("_low"), (F.max("source.row") - F.min("source.row") + 1).alias("_wide")
+    )
+    before = Window.orderBy("_file", "_start").rowsBetween(Window.unboundedPreceding, -1)
+    at = F.coalesce(F.sum("_wide").over(before), F.lit(0))
+    shifts = widths.select("_file", "_start", (at - F.col("_low")).alias("_shift"))
+    same = (F.col("source.file") == F.col("_file")) & (F.col("source.start") == F.col("_start"))
+    return rows.join(shifts, same).withColumn("place", F.col("source.row") + F.col("_shift")).drop("_file", "_start", "_shift")
 
 
 def training_rows(

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from convprep.functions.messages import MESSAGES_DDL, pair_messages
+from convprep.sources.csv_records import csv_records, file_lines, without_headers
 
 WHITESPACE = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0"
 
@@ -22,6 +23,9 @@ JSON_OPTIONS = {"maxStringLen": str(2**31 - 1)}
 
 CSV_OPTIONS = {"quote": '"', "escape": '"', "multiLine": True, "emptyValue": "", "nullValue": "\u0000"}
 
+# The same for single records.
+FIELD_OPTIONS = {k: str(v).lower() if isinstance(v, bool) else v for k, v in CSV_OPTIONS.items()}
+
 
 def quote_numbers(line: Column, keys: list[str]) -> Column:
     """Turn number values of ``keys`` into strings with the same spelling."""
@@ -38,22 +42,6 @@ def skeleton(line: Column) -> Column:
     return F.regexp_replace(plain, r'([:\[,]\s*)"[^"]*"(?!\s*:)', '$1""')
 
 
-def file_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of text files with ``source STRUCT<file, start, row>``, which orders them as in the files.
-
-    ``start`` is where the input split begins and ``row`` rises within a split,
-    so the order needs no pass over the data.
-    """
-    return spark.read.text(path).select(
-        F.struct(
-            F.col("_metadata.file_path").alias("file"),
-            F.col("_metadata.file_block_start").alias("start"),
-            F.monotonically_increasing_id().alias("row"),
-        ).alias("source"),
-        "value",
-    )
-
-
 def line_numbers(lines: DataFrame, wanted: DataFrame) -> DataFrame:
     """Add the 1-based ``line`` of its file to each row of ``wanted``.
 
@@ -165,81 +153,60 @@ def read_pair_csv(spark: SparkSession, path: str, strict: bool = False) -> DataF
     """Prompt-completion CSV without header: ``source, prompt, completion, problem, value``.
 
     Columns past the second are ignored; a row with a single column is a
-    problem.  Quoted fields may hold line ends, so one file is one task: use
-    many part files.
+    problem, as is one with bytes that are not UTF-8.  A file of any size is
+    read by many tasks, also where quoted fields hold line ends.
     """
-    raw = (
-        spark.read.options(**CSV_OPTIONS)
-        .option("encoding", "ISO-8859-1")
-        .csv(path, schema="prompt string, completion string, _record string", columnNameOfCorruptRecord="_record")
-    )
+    records = csv_records(spark, path)
     # Field one, quoted or not, then a comma.
-    two_fields = F.col("_record").rlike(r'^(?:"(?:[^"]|"")*"|[^,]*),')
-    rows = raw.select(
-        F.struct(
-            F.col("_metadata.file_path").alias("file"),
-            F.col("_metadata.file_block_start").alias("start"),
-            F.monotonically_increasing_id().alias("row"),
-        ).alias("source"),
-        _decoded("prompt"),
-        _decoded("completion"),
-        _decoded("_record").alias("value"),
-        (F.col("_record").isNotNull() & F.col("completion").isNull() & ~two_fields).alias("_short"),
-        (_bad_bytes("prompt") | _bad_bytes("completion")).alias("_bad"),
+    two_fields = F.col("value").rlike(r'^(?:"(?:[^"]|"")*+"|[^,]*),')
+    problem = F.when(~F.is_valid_utf8("value"), "not_utf8").when(
+        F.col("_pair.completion").isNull() & ~two_fields, "missing_column"
     )
-    problem = F.when(F.col("_bad"), "not_utf8").when(F.col("_short"), "missing_column")
-    rows = rows.withColumn("problem", problem)
+    fields = F.from_csv("value", "prompt string, completion string", FIELD_OPTIONS)
+    rows = records.withColumn("_pair", fields).withColumn("problem", problem)
     good = F.col("problem").isNull()
     return _finish(
         rows.select(
             "source",
-            F.when(good, F.coalesce("prompt", F.lit(""))).alias("prompt"),
-            F.when(good, F.coalesce("completion", F.lit(""))).alias("completion"),
+            F.when(good, F.coalesce("_pair.prompt", F.lit(""))).alias("prompt"),
+            F.when(good, F.coalesce("_pair.completion", F.lit(""))).alias("completion"),
             "problem",
-            "value",
+            F.when(~good, F.col("value")).alias("value"),
         ),
         strict,
+        file_lines(spark, path, "\n") if strict else None,
     )
 
 
-def _bytes(name: str) -> Column:
-    """Bytes of a field read as ISO-8859-1, which maps each byte to one character."""
-    return F.encode(F.col(f"`{name}`"), "ISO-8859-1").cast("string")
-
-
-def _decoded(name: str) -> Column:
-    return F.try_validate_utf8(_bytes(name)).alias(name)
-
-
-def _bad_bytes(name: str) -> Column:
-    return F.coalesce(~F.is_valid_utf8(_bytes(name)), F.lit(False))
-
-
 def read_prepared_csv(
-    spark: SparkSession, path: str, declared: tuple[str, ...] = ("prompt", "completion")
+    spark: SparkSession, path: str, declared: tuple[str, ...] = ("prompt", "completion"), strict: bool = False
 ) -> DataFrame:
     """Prepared CSV with header: ``source``, the declared columns that exist, ``problem`` and ``value``.
 
     A record with bytes that are not UTF-8 is a problem as a whole; its columns
     are NULL and ``value`` has its bytes, written as CSV.  Types are never
-    inferred, so ``007`` and ``1.50`` stay as they are.
+    inferred, so ``007`` and ``1.50`` stay as they are.  Columns are named by
+    the header of the first file; a file of any size is read by many tasks.
     """
-    raw = spark.read.options(**CSV_OPTIONS).option("encoding", "ISO-8859-1").csv(path, header=True)
-    bad = F.lit(False)
-    for name in raw.columns:
-        bad = bad | _bad_bytes(name)
-    present = [name for name in declared if name in raw.columns]
-    record = F.encode(F.to_csv(F.struct(*[F.col(f"`{name}`") for name in raw.columns]), {"quoteAll": "true", "escape": '"'}), "ISO-8859-1")
-    return raw.select(
-        F.struct(
-            F.col("_metadata.file_path").alias("file"),
-            F.col("_metadata.file_block_start").alias("start"),
-            F.monotonically_increasing_id().alias("row"),
-        ).alias("source"),
-        *[F.when(~bad, F.coalesce(_decoded(name), F.lit(""))).alias(name) for name in present],
-        F.when(bad, "not_utf8").alias("problem"),
-        F.when(bad, record).alias("value"),
+    named = spark.read.options(**CSV_OPTIONS).csv(path, header=True).columns
+    columns = ", ".join(f"c{k} string" for k in range(len(named)))
+    records = without_headers(csv_records(spark, path))
+    good = F.is_valid_utf8("value")
+    parsed = records.withColumn("_row", F.from_csv("value", columns, FIELD_OPTIONS))
+    # ISO-8859-1 maps each byte to one character and back.
+    fields = F.from_csv(F.decode(F.col("value").cast("binary"), "ISO-8859-1"), columns, FIELD_OPTIONS)
+    kept = F.encode(F.to_csv(fields, {"quoteAll": "true", "escape": '"'}), "ISO-8859-1")
+    rows = parsed.select(
+        "source",
+        *[
+            F.when(good, F.coalesce(F.col("_row")[f"c{named.index(name)}"], F.lit(""))).alias(name)
+            for name in declared
+            if name in named
+        ],
+        F.when(~good, "not_utf8").alias("problem"),
+        F.when(~good, kept).alias("value"),
     )
+    return _finish(rows, strict, file_lines(spark, path, "\n") if strict else None)
 
 
 def accepted(rows: DataFrame) -> DataFrame:
