@@ -58,29 +58,57 @@ def long_samples(
     ``extra`` names chat-level columns of ``blocked`` to carry along.
     """
     counter, extra = counter or WordCounter(), extra or []
-    p = profile_columns(profile)
-    empty = blocked.sparkSession.range(1).select(base_cost(p, counter, F.lit(""))).first()[0]
+    empty = empty_base(blocked, profile, counter)
     window = context_window(budget, profile, mode, empty)
-
-    numbered = message_turns(message_costs(blocked, profile, counter), block)
-    pieces = turn_facts(numbered, ["chat_id", "turn", "block"])
+    numbered, pieces = numbered_turns(blocked, profile, counter, block)
     facts = combine_turn_facts(pieces)
-    firsts = preamble_rows(blocked).select("chat_id", *extra, "preamble")
-    heads = (
-        chat_validity(facts)
-        .filter("valid")
-        .join(firsts, "chat_id")
-        .select("chat_id", *extra, "preamble", base_cost(p, counter, F.col("preamble")).alias("base"))
+    heads = chat_heads(facts, blocked, profile, counter, extra)
+    kept = kept_turns(facts, heads, budget, window, block)
+    placed = kept.select("chat_id", "turn", "rank", "segment", F.col("cost").alias("turn_cost"))
+    turns = turn_texts(numbered, pieces, placed, profile).select(
+        "chat_id",
+        "segment",
+        "rank",
+        F.struct("turn", "ask", "reply", "completion", F.col("turn_cost").cast("int").alias("cost")).alias("_turn"),
     )
+    segments = with_carried(turn_segments(turns), kept, budget, empty, mode)
+    full = with_chat_facts(segments, heads, "_into")
+    return segment_samples(full, profile, budget, mode, counter, extra)
+
+
+def empty_base(messages: DataFrame, profile: Profile, counter) -> int:
+    """Tokens of a prompt without preamble and turns."""
+    base = base_cost(profile_columns(profile), counter, F.lit(""))
+    return messages.sparkSession.range(1).select(base).first()[0]
+
+
+def numbered_turns(blocked: DataFrame, profile: Profile, counter, block: int) -> tuple[DataFrame, DataFrame]:
+    """Messages with their turn and cost, and the facts of each part of a turn that lies in a block."""
+    numbered = message_turns(message_costs(blocked, profile, counter), block)
+    return numbered, turn_facts(numbered, ["chat_id", "turn", "block"])
+
+
+def chat_heads(facts: DataFrame, messages: DataFrame, profile: Profile, counter, extra: list[str]) -> DataFrame:
+    """``chat_id, preamble, base`` of the valid chats."""
+    firsts = preamble_rows(messages).select("chat_id", *extra, "preamble")
+    base = base_cost(profile_columns(profile), counter, F.col("preamble"))
+    valid = chat_validity(facts).filter("valid")
+    return valid.join(firsts, "chat_id").select("chat_id", *extra, "preamble", base.alias("base"))
+
 
+def kept_turns(facts: DataFrame, heads: DataFrame, budget: int, window: int, block: int) -> DataFrame:
+    """The turns that make a sample, with the tokens and turns before them and their segment."""
     ended = facts.filter(F.col("end_pos").isNotNull() & (F.col("cost") > 0))
     kept = with_chat_facts(ended.select("chat_id", "turn", "cost"), heads.select("chat_id", "base"), "turn")
     kept = kept.filter(F.col("base") + F.col("cost") <= budget).withColumn("_one", F.lit(1).cast("long"))
     kept = running_total(kept, ["chat_id"], "turn", "cost", "pre", block)
     kept = running_total(kept, ["chat_id"], "turn", "_one", "rank", block)
-    kept = kept.withColumn("segment", F.expr(f"(pre + cost - 1) div {window}")).drop("_one")
+    return kept.withColumn("segment", F.expr(f"(pre + cost - 1) div {window}")).drop("_one")
 
-    placed = kept.select("chat_id", "turn", "rank", "segment", F.col("cost").alias("turn_cost"))
+
+def turn_texts(numbered: DataFrame, pieces: DataFrame, placed: DataFrame, profile: Profile) -> DataFrame:
+    """The columns of ``placed``, turns by ``chat_id, turn``, with their texts ``ask, reply, completion``."""
+    p = profile_columns(profile)
     routes = pieces.select("chat_id", "turn", "block").join(placed, ["chat_id", "turn"])
     reply = F.col("role") == CHATBOT
     shown = numbered.filter((F.col("content") != "") | reply).join(routes, ["chat_id", "turn", "block"])
@@ -91,22 +119,23 @@ def long_samples(
         )
     )
     last = F.element_at("_texts", -1)
-    turns = shown.groupBy("chat_id", "turn", "rank", "segment", "turn_cost").agg(texts.alias("_texts"))
-    turns = turns.select(
-        "chat_id",
-        "segment",
-        "rank",
-        F.struct(
-            "turn",
+    return (
+        shown.groupBy(*placed.columns)
+        .agg(texts.alias("_texts"))
+        .select(
+            *placed.columns,
             F.array_join(F.transform(F.slice("_texts", 1, F.size("_texts") - 1), lambda x: x["text"]), "").alias("ask"),
             last["text"].alias("reply"),
             last["content"].alias("completion"),
-            F.col("turn_cost").cast("int").alias("cost"),
-        ).alias("_turn"),
+        )
     )
+
+
+def turn_segments(turns: DataFrame) -> DataFrame:
+    """``_turn`` structs gathered by segment, each with the turns of the segment before as context."""
     copies = turns.withColumn("_into", F.explode(F.array(F.col("segment"), F.col("segment") + 1)))
     own = F.col("segment") == F.col("_into")
-    segments = (
+    return (
         copies.groupBy("chat_id", "_into")
         .agg(
             F.array_sort(F.collect_list("_turn")).alias("turns"),
@@ -116,13 +145,13 @@ def long_samples(
         )
         .filter(F.col("_own") > 0)
     )
-    if mode == EXACT:
-        segments = segments.withColumn("carried", F.lit(0))
-    else:
-        entries = carried_starts(kept, budget, empty).withColumnRenamed("segment", "_into")
-        segments = segments.join(entries, ["chat_id", "_into"]).withColumn(
-            "carried", (F.col("entry") - F.col("_first")).cast("int")
-        )
-    full = with_chat_facts(segments, heads, "_into")
-    return segment_samples(full, profile, budget, mode, counter, extra)
 
+
+def with_carried(segments: DataFrame, kept: DataFrame, budget: int, empty: int, mode: str) -> DataFrame:
+    """Add ``carried``, the start that the stateful rule carries into each segment."""
+    if mode == EXACT:
+        return segments.withColumn("carried", F.lit(0))
+    entries = carried_starts(kept, budget, empty).withColumnRenamed("segment", "_into")
+    return segments.join(entries, ["chat_id", "_into"]).withColumn(
+        "carried", (F.col("entry") - F.col("_first")).cast("int")
+    )

@@ -480,6 +480,13 @@ ORACLES: dict[str, str] = {
     lambda i: CASE WHEN back > 0 AND i > len(ids) + 1 - back THEN ids[i] ELSE -100 END), ' ') AS labels FROM l"""
     ),
     "packed_blocks": _token_ids(_PACKED),
+    "compact_samples": "SELECT 'exact' AS mode, * FROM ("
+    + _conversation_samples(MARKED, 250)
+    + "SELECT chat_id, turn, first_turn, n_tokens FROM x) UNION ALL SELECT 'reference', * FROM ("
+    + _conversation_samples(MARKED, 250, "reference")
+    + "SELECT chat_id, turn, first_turn, n_tokens FROM x)",
+    "compact_rendered": _conversation_samples(SECTIONED, 512) + "SELECT * FROM x",
+    "incremental_dedupe": _with(("m", TWICE), *_valid("m"), *_unique("m")) + "SELECT chat_id, n_messages FROM f",
     "vocabulary": _dictionary("SELECT token, n, id FROM dv"),
     "dictionary_ids": _dictionary(
         "SELECT chat_id, turn, len(ids) AS n_ids, array_to_string(ids, ' ') AS ids FROM y"

@@ -19,12 +19,14 @@ from convprep.functions.rendering import base_cost, render_messages, strip_begin
 from convprep.functions.tokens import WordCounter, length_bucket, rendered_tokens
 from convprep.operators.chats import BLOCK, chat_table, message_table, messages_of, pairs_to_chats
 from convprep.operators import dictionary
+from convprep.operators.compact import compact_samples, rendered
 from convprep.operators.dedupe import cast_declared, chat_facts, dedupe_chats, dedupe_rows, first_chats
 from convprep.operators.inference import batch_generate, extract_replies, request_prompts
 from convprep.operators.lengths import choose_length, sample_tokens
 from convprep.operators.report import funnel, preview, split_sizes
 from convprep.operators.running import block_of
 from convprep.operators.samples import EXACT, REFERENCE
+from convprep.operators.seen import SeenChats
 from convprep.operators.split import split_exact, split_ordered
 from convprep.operators.tensors import label_mask, pack, with_special, word_ids
 from convprep.operators.turns import message_costs, message_turns, preamble_rows, turn_facts, turn_verdicts
@@ -548,6 +550,33 @@ def packed_blocks(spark, folder):
     )
 
 
+def compact_samples_query(spark, folder):
+    """The samples as intervals of turns, in both modes."""
+    both = None
+    for mode in (EXACT, REFERENCE):
+        rows = compact_samples(_messages(spark, folder), MARKED, 250, mode).withColumn("mode", F.lit(mode))
+        both = rows if both is None else both.unionByName(rows)
+    return both.select("mode", "chat_id", "turn", "first_turn", "n_tokens")
+
+
+def compact_rendered(spark, folder):
+    messages = _messages(spark, folder)
+    return rendered(messages, stored(compact_samples(messages, SECTIONED, 512), "compact"), SECTIONED)
+
+
+def incremental_dedupe(spark, folder):
+    """A batch of some of the chats, then one of the others and of copies of all."""
+    facts = stored(chat_facts(_twice(_messages(spark, folder))), "facts")
+    first = (F.col("chat_id") < COPY) & (F.pmod(F.xxhash64("chat_id"), F.lit(2)) == 0)
+    seen, kept = SeenChats(spark, scratch_path(spark, "seen"), expected=1 << 16, buckets=8), None
+    for batch in (facts.filter(first), facts.filter(~first)):
+        new = stored(seen.unseen(batch), "unseen")
+        seen.add(new)
+        kept = new if kept is None else kept.unionByName(new)
+    seen.close()
+    return kept.select("chat_id", "n_messages")
+
+
 def _dictionary_samples(spark, folder) -> tuple[DataFrame, DataFrame]:
     """Stored tokens of the samples, and their stored dictionary."""
     samples = training_samples(_messages(spark, folder), SECTIONED, 512)
@@ -639,6 +668,9 @@ QUERIES: dict[str, Query] = {
     "token_ids": token_ids,
     "label_mask": label_mask_query,
     "packed_blocks": packed_blocks,
+    "compact_samples": compact_samples_query,
+    "compact_rendered": compact_rendered,
+    "incremental_dedupe": incremental_dedupe,
     "vocabulary": vocabulary,
     "dictionary_ids": dictionary_ids_query,
     "dictionary_labels": dictionary_labels,
