@@ -3,7 +3,9 @@
 Markup is stripped in one pass over the page.  Elements that end a line cut
 the rest into lines; lines inside elements whose meaning is not article text
 (menus, forms, scripts and the like, by tag, role, or name of class or id)
-count as no text.  The lengths of the others, less what is in links, are summed
+count as no text.  Names, forms and page headers are judged when the page is
+read: an element that holds the article's mark, or most of the text without
+being a list of comments, excludes nothing.  The lengths of the others, less what is in links, are summed
 over sliding windows of ``WINDOW`` lines.  Where the sums surge above the
 threshold the text begins, where they dive to nothing it ends, and what lies
 between is kept.  A page that marks its article has the distribution
@@ -33,33 +35,60 @@ LINKED = 0.5
 
 # Tags by their meaning in pages.
 NO_CONTENT = {"script", "style", "noscript", "template", "iframe", "object", "svg", "math", "canvas", "video", "audio", "head", "title", "textarea", "select", "option", "datalist"}
-NOT_ARTICLE = {"nav", "footer", "aside", "form", "button", "dialog", "menu", "fieldset", "label"}
+NOT_ARTICLE = {"nav", "footer", "aside", "button", "dialog", "menu", "label"}
+# These may be wrapped around a whole page.
+WRAPPERS = {"form", "fieldset"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "input", "ins", "kbd", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
 ARTICLE_TAGS = {"article", "main"}
 RAW_TEXT = {"script", "style", "textarea", "title", "noscript", "iframe", "template", "svg", "math"}
 NOT_ARTICLE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "menu", "menubar", "form"}
+# Parts of a class or id, between hyphens and underscores.
 NOT_ARTICLE_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|popup|modal|newsletter|subscribe|"
+    r"(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|popup|modal|newsletter|subscribe|"
     r"nav|navbar|navigation|menu|breadcrumbs?|sidebar|footer|masthead|topbar|toolbar|pagination|pager|related|recommend\w*|"
-    r"share|sharing|social|comments?|disqus|replies|respond|login|signup|search|widget)(?:$|[\s_-])",
+    r"share|sharing|social|login|signup|search|widget)",
     re.I,
 )
-ARTICLE_NAMES = re.compile(r"(?:^|[\s_-])(?:article|post|entry|story|content|main)(?:[\s_-](?:body|content|text))?(?:$|[\s_-])", re.I)
+COMMENT_NAMES = re.compile(r"(?:comments?|commentlist|disqus|replies|respond)", re.I)
+# Names with these parts tell what a page has or how it looks, not what the element is.
+STATE_NAMES = {"has", "no", "not", "non", "with", "without", "is", "are", "hide", "show", "open", "opened", "closed", "enabled", "disabled", "active", "count", "allowed"}
 # The elements that a start tag of the first kind ends, if one of them is open.
 CLOSES = {"p": {"p"}, "li": {"li"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}}
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.S)
+_VALUE = re.compile(r"=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.S)
+_PARTS = re.compile(r"[-_]+")
 _WHITE = re.compile(r"\s+")
 
 
+def meaning(names: str) -> str:
+    """What the classes and the id of an element say: ``comments``, ``other`` (no article) or nothing.
+
+    Each name counts as a whole: one of its parts has to be a known word, and none may tell a state.
+    """
+    found = ""
+    for name in names.split():
+        parts = [p for p in _PARTS.split(name) if p]
+        if any(p.lower() in STATE_NAMES for p in parts):
+            continue
+        if any(COMMENT_NAMES.fullmatch(p) for p in parts):
+            return "comments"
+        if any(NOT_ARTICLE_NAMES.fullmatch(p) for p in parts):
+            found = "other"
+    return found
+
+
 @dataclass
 class Line:
     text: str
     linked: int
     article: bool
     excluded: bool
+    #: Elements around it that are no article unless the page shows otherwise.
+    doubtful: tuple[int, ...] = ()
 
 
 class Lines:
@@ -69,9 +98,13 @@ class Lines:
         self.lines: list[Line] = []
         self.parts: list[str] = []
         self.linked = 0
-        #: Tag, whether it excludes its content, whether it marks an article.
-        self.open: list[tuple[str, bool, bool]] = []
+        #: Tag, whether it excludes its content, whether it marks an article, its number if it is doubtful.
+        self.open: list[tuple[str, bool, bool, int | None]] = []
         self.excluded = self.articles = self.anchors = 0
+        #: Numbers of the doubtful elements that are open, which of all are comments, and those around each mark.
+        self.doubtful: list[int] = []
+        self.comments: list[bool] = []
+        self.marks: list[tuple[int, ...]] = []
 
     def text(self, raw: str) -> None:
         if raw:
@@ -84,17 +117,26 @@ class Lines:
         if self.parts:
             text = _WHITE.sub(" ", "".join(self.parts)).strip()
             if text:
-                self.lines.append(Line(text, self.linked, self.articles > 0, self.excluded > 0))
+                self.lines.append(Line(text, self.linked, self.articles > 0, self.excluded > 0, tuple(self.doubtful)))
             self.parts, self.linked = [], 0
 
-    def push(self, tag: str, excludes: bool, marks: bool) -> None:
-        self.open.append((tag, excludes, marks))
+    def push(self, tag: str, excludes: bool, marks: bool, doubt: str) -> None:
+        number = None
+        if doubt:
+            number = len(self.comments)
+            self.comments.append(doubt == "comments")
+            self.doubtful.append(number)
+        if marks:
+            self.marks.append(tuple(self.doubtful))
+        self.open.append((tag, excludes, marks, number))
         self.excluded += excludes
         self.articles += marks
         self.anchors += tag == "a"
 
     def pop(self) -> None:
-        tag, excludes, marks = self.open.pop()
+        tag, excludes, marks, number = self.open.pop()
+        if number is not None:
+            self.doubtful.remove(number)
         self.excluded -= excludes
         self.articles -= marks
         self.anchors -= tag == "a"
@@ -114,19 +156,17 @@ class Lines:
         if closed:
             return
         excludes, marks = tag in NO_CONTENT or tag in NOT_ARTICLE, tag in ARTICLE_TAGS
-        if tag == "header" and not self.articles:
-            excludes = True
-        named = ""
+        doubt = "other" if tag in WRAPPERS or tag == "header" and not self.articles else ""
         if attributes and not attributes.isspace():
             given = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)}
-            named = f"{given.get('class', '')} {given.get('id', '')}".strip()
-            hidden = "hidden" in attributes.lower().split() or given.get("aria-hidden", "").lower() == "true"
+            hidden = "hidden" in _VALUE.sub(" ", attributes).lower().split() or given.get("aria-hidden", "").lower() == "true"
             excludes |= hidden or given.get("role", "").lower() in NOT_ARTICLE_ROLES
             marks |= given.get("role", "").lower() in ("main", "article") or given.get("itemprop", "").lower() == "articlebody"
-        if named and tag not in ("html", "body") and tag not in ARTICLE_TAGS:
-            excludes |= bool(NOT_ARTICLE_NAMES.search(named))
-        # A cut-off inline mark-up never hides text; articles inside a list of comments do not mark.
-        self.push(tag, excludes and tag not in ("b", "i", "em", "strong", "br"), marks and not self.excluded and not excludes)
+            if tag not in ("html", "body", "main", "br") and tag not in HEADINGS:
+                doubt = meaning(f"{given.get('class', '')} {given.get('id', '')}") or doubt
+        # Cut-off inline mark-up never hides text.
+        inline = tag in ("b", "i", "em", "strong", "br")
+        self.push(tag, excludes and not inline, marks and not self.excluded and not excludes, "" if inline else doubt)
 
     def end(self, tag: str) -> None:
         if tag not in INLINE:
@@ -165,7 +205,26 @@ def page_lines(page: str) -> list[Line]:
             stop = re.compile(f"</{re.escape(tag)}\\s*>", re.I).search(page, at)
             at = len(page) if stop is None else stop.start()
     out.end_line()
-    return out.lines
+    return judged(out)
+
+
+def judged(page: Lines) -> list[Line]:
+    """The lines, with those excluded that lie in a doubtful element which is no article after all."""
+    seen = [line for line in page.lines if not line.excluded]
+    total = sum(len(line.text) for line in seen)
+    held = [0] * len(page.comments)
+    for line in seen:
+        for number in line.doubtful:
+            held[number] += len(line.text)
+    cleared = {n for n, chars in enumerate(held) if 2 * chars > total and not page.comments[n]}
+    if not any(set(around) <= cleared for around in page.marks):
+        # No mark is free of doubt, so those count that are in no list of comments.
+        for around in page.marks:
+            if not any(page.comments[n] for n in around):
+                cleared.update(around)
+    for line in page.lines:
+        line.excluded = line.excluded or not set(line.doubtful) <= cleared
+    return page.lines
 
 
 def line_lengths(lines: list[Line]) -> np.ndarray:
@@ -183,6 +242,7 @@ def kept_lines(lengths: np.ndarray, marked: bool) -> np.ndarray:
     Window i begins at line i.  Text begins at the first line with text of a
     window above the threshold that is followed by one with text, and goes on
     until a whole window is empty.  Inside a marked article any text surges.
+    A single line without text of its own between two lines with text is kept.
     """
     n = len(lengths)
     keep = np.zeros(n, bool)
@@ -191,6 +251,22 @@ def kept_lines(lengths: np.ndarray, marked: bool) -> np.ndarray:
     sums = np.convolve(lengths, np.ones(WINDOW, np.int64))[WINDOW - 1 :]
     threshold = 0 if marked else min(SURGE_SHARE * sums.max(), SURGE_CHARS)
     i = 0
+    while i < n:
+        if sums[i] > threshold:
+            dive = i
+            while dive < n and sums[dive] > 0:
+                dive += 1
+            full = lengths[i:dive] > 0
+            keep[i:dive] = full
+            # A line of links between two lines of text belongs to them.
+            keep[i + 1 : dive - 1] |= full[:-2] & full[2:]
+            i = dive
+        else:
+            i += 1
+    return keep
+    sums = np.convolve(lengths, np.ones(WINDOW, np.int64))[WINDOW - 1 :]
+    threshold = 0 if marked else min(SURGE_SHARE * sums.max(), SURGE_CHARS)
+    i = 0
     while i < n:
         if sums[i] > threshold:
             dive = i

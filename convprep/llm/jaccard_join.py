@@ -464,28 +464,36 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of each row of ``docs`` (doc_id, text).
+    """(doc_id, n_shingles, component_id, row, stays) of each row of ``docs`` (doc_id, text).
 
     Words are runs of other bytes than white space with A-Z in lower case; a
     set holds the distinct sequences of ``width`` words, or the whole sequence
     of a shorter text.  Two documents link if their sets' intersection is at
     least ``percent`` of the union.  ``component_id`` is the smallest id that
     links reach.  A text without words, or null, has size 0 and links with
-    nothing, and its component is itself.  Repeated rows stay and share their
-    component; an empty table gives an empty table.
+    nothing, and its component is itself.  Repeated rows share their component;
+    an empty table gives an empty table.  Texts of any length are read whole.
+
+    ``stays`` holds for one row of each component, of the rows with the smallest
+    id that with the smallest ``row`` (a hash of id and text), and for rows
+    without an id or without words.
     """
     bounded_batches(docs.sparkSession)
     free_shuffles(docs.sparkSession)
     docs = docs.select(F.xxhash64("doc_id", "text").alias("row"), "doc_id", "text")
     sets = stored(announced(docs, width, percent), "sets")
     edges = stored(links(docs, sets, width, percent), "links")
-    grouped = sets.select("doc_id", "n", "node").join(components(edges), "node", "left")
+    grouped = sets.select("doc_id", "row", "n", "node").join(components(edges), "node", "left")
     grouped = grouped.withColumn("group", F.coalesce("root", "node"))
-    least = grouped.filter("n > 0").groupBy("group").agg(F.min("doc_id").alias("least"))
+    named = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "row"))
+    least = grouped.filter("n > 0").groupBy("group").agg(F.min(named).alias("least"))
+    alone = F.col("doc_id").isNull() | (F.col("n") == 0)
     return grouped.join(least, "group", "left").select(
         "doc_id",
         F.col("n").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"),
+        F.when(F.col("n") > 0, F.col("least.doc_id")).otherwise(F.col("doc_id")).alias("component_id"),
+        "row",
+        (alone | (F.col("row") == F.col("least.row"))).alias("stays"),
     )
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from convprep.llm.common import bounded_batches, buffer_of, held_out, lower_bytes, pieces, stored, table
 
-#: Bound of the labelled sample of a language: documents, and characters of each.
+#: Bound of the labelled sample of a language: documents, and characters of each, taken from any place in it.
 SAMPLE_DOCS = 64
 SAMPLE_CHARS = 400
 #: Bytes of the table of a group of languages; one language has at most 64 * (4 * 400 + 1) bytes of text, two states
@@ -30,8 +30,8 @@ TABLE_BYTES = 1 << 28
 CLASSES = 156
 #: Bytes of a block.
 BLOCK = 512
-#: Texts whose phrases are shorter than this many bytes on average are in none of the languages.
-SHORTEST_PHRASE = 1.5
+#: Texts with a smaller share of letters in the samples' scripts are in none of the languages.
+KNOWN_LETTERS = 0.5
 UNKNOWN = "und"
 
 _BREAK = np.uint32(1 << 31)
@@ -140,10 +140,12 @@ class Parser:
 def sampled(labelled: DataFrame, doc_id: str, text: str, lang: str) -> DataFrame:
     """(lang, nth, part): a bounded sample of the rows with text and label of every language, chosen by a hash of the id."""
     rows = labelled.filter(F.col(text).isNotNull() & F.col(lang).isNotNull())
+    starts = F.greatest(F.length(text) - SAMPLE_CHARS, F.lit(0)) + 1
+    start = F.pmod(F.xxhash64(F.lit("start"), F.col(doc_id)), starts) + 1
     rows = rows.select(
         F.col(lang).alias("lang"),
         F.xxhash64(doc_id).alias("draw"),
-        F.substring(F.col(text), 1, SAMPLE_CHARS).alias("part"),
+        F.substring(F.col(text), start.cast("int"), F.lit(SAMPLE_CHARS)).alias("part"),
     )
     first = Window.partitionBy("lang").orderBy("draw", "part")
     return rows.withColumn("nth", F.row_number().over(first)).filter(F.col("nth") <= SAMPLE_DOCS).drop("draw")
@@ -219,6 +221,7 @@ def identify(
     doc_id: str = "doc_id",
     text: str = "text",
     lang: str = "lang",
+    sample: DataFrame | None = None,
 ) -> DataFrame:
     """All columns of ``docs`` with lang_pred, score (0 to 1) and phrase_bytes.
 
@@ -234,8 +237,9 @@ def identify(
     and joined to the lowest costs.
     """
     bounded_batches(docs.sparkSession)
-    training = docs.filter(~held_out(F.col(doc_id), 0)) if training is None else training
-    sample = stored(sampled(training, doc_id, text, lang), "sample")
+    if sample is None:
+        training = docs.filter(~held_out(F.col(doc_id), 0)) if training is None else training
+        sample = stored(sampled(training, doc_id, text, lang), "sample")
     # One row for each label.
     sizes = sample.groupBy("lang").agg(F.sum(F.octet_length("part") + 1).alias("size")).collect()
     groups = groups_of([(r["lang"], r["size"]) for r in sizes])
@@ -305,9 +309,31 @@ def in_groups(docs: DataFrame, sample: DataFrame, groups: list[tuple[str, str]],
     return numbered.join(best, "row", "left").select("docs_row.*", pred, *zero)
 
 
-def in_known_language(rows: DataFrame) -> DataFrame:
-    """Rows of ``identify`` whose text has letters and matches some language better than by single letters."""
-    return rows.filter((F.col("lang_pred") != UNKNOWN) & (F.col("phrase_bytes") >= SHORTEST_PHRASE))
+def known_letters(sample: DataFrame) -> str:
+    """A pattern of the letters in the blocks of 128 code points that a sample has letters of; bounded as the blocks are."""
+    letters = F.explode(F.regexp_extract_all("part", F.lit(r"\p{L}"), F.lit(0))).alias("letter")
+    blocks = sample.select(letters).select(F.shiftright(F.ascii("letter"), 7).alias("block")).distinct().collect()
+    ranges = "".join(f"\\x{{{b << 7:x}}}-\\x{{{(b << 7) + 127:x}}}" for b in sorted(r["block"] for r in blocks))
+    return rf"[\p{{L}}&&[{ranges}]]" if ranges else r"[^\x{0}-\x{10ffff}]"
+
+
+def in_known_language(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang"
+) -> DataFrame:
+    """The rows of ``docs`` that are in one of its languages, with the columns of ``identify``.
+
+    A text is in none of them if it has no letters, or if less than the share
+    ``KNOWN_LETTERS`` of its letters are of a script (a block of code points)
+    that the labelled sample of any language has letters of.  The rule is the same for a text of one letter and a long one.
+    Without a labelled row every text goes.
+    """
+    training = docs.filter(~held_out(F.col(doc_id), 0))
+    sample = stored(sampled(training, doc_id, text, lang), "sample")
+    letters = F.regexp_count(F.col(text), F.lit(r"\p{L}"))
+    known = F.regexp_count(F.col(text), F.lit(known_letters(sample)))
+    known = docs.filter((letters > 0) & (known >= KNOWN_LETTERS * letters))
+    found = identify(known, None, doc_id, text, lang, sample)
+    return found.filter(F.col("lang_pred") != UNKNOWN)
 
 
 def op2_language_id(spark: SparkSession, folder: str) -> DataFrame:

@@ -153,6 +153,49 @@ def test_linked_lines_of_a_marked_article_stay():
     assert html_text.main_text(page) == "Title Text of it. Source"
 
 
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ('<body><div class="site has-sidebar"><article><p>One.</p></article><div class="sidebar"><p>Side</p></div></div>', "One."),
+        ('<body class="modal-open"><div class="content-area no-sidebar"><p>Text one of it.</p><p>Two.</p></div>', "Text one of it. Two."),
+        ('<div id="page" class="widget"><main><p>Main text.</p></main></div><div class="widget"><p>Side</p></div>', "Main text."),
+        ('<form id="aspnet"><div class="menu"><p>Home</p></div><div><p>A long text in a form around the page.</p></div></form>', "A long text in a form around the page."),
+        ('<article><section data-title="The hidden life"><p>Told.</p></section><p hidden>no</p><p hidden="">no</p></article>', "Told."),
+        ('<article><h2 class="related">Related work</h2><p>Body.</p><div class="related-posts"><p>Other</p></div></article>', "Related work Body."),
+        ('<div><p>A first sentence of text.</p><p><a href="x">A line that is a link</a></p><p>A second sentence.</p></div>', "A first sentence of text. A line that is a link A second sentence."),
+        ('<article><p>Short.</p></article><div id="comments"><article class="comment"><p>' + "A long comment. " * 30 + "</p></article></div>", "Short."),
+        ('<div class="post"><p>The post itself is here.</p></div><div class="comments"><article class="comment"><p>' + "A comment. " * 30 + "</p></article></div>", "The post itself is here."),
+    ],
+)
+def test_doubtful_elements_are_judged_by_the_page(page, text):
+    assert html_text.main_text(page) == text
+
+
+def generated_page(rng):
+    """A page that knows its article: containers with names that tell a state, marked and unmarked."""
+    words = "stone river light under cold morning they walked slowly toward another village".split()
+    sentence = lambda n: " ".join(rng.choices(words, k=n)).capitalize() + "."
+    blocks = [sentence(rng.randrange(12, 60)) for _ in range(rng.randrange(2, 7))]
+    marked = rng.random() < 0.5
+    state = rng.choice(["has-sidebar", "no-sidebar", "with-widget", "modal-open", "page wrap", "search-enabled"])
+    body = "".join(f"<{t}>{b}</{t}>" for t, b in zip(rng.choices(["p", "li", "blockquote", "h3"], k=len(blocks)), blocks))
+    body = f"<article>{body}</article>" if marked else f'<div class="{rng.choice(["text", "post-body", "entry"])}">{body}</div>'
+    menu = "".join(f"<li><a href=/{k}>{rng.choice(words)}</a></li>" for k in range(6))
+    side = rng.choice(["sidebar", "related-posts", "widget-area", "newsletter-signup", "ad-box"])
+    after = rng.choice(['<section id="comments"><p>{}</p></section>', '<div class="comment-list"><div><p>{}</p></div></div>']).format(sentence(90))
+    page = f"""<html><head><title>x</title></head><body class="{state}"><div class="site {state}"><header><h1>Site</h1><ul>{menu}</ul></header>
+    <nav><ul>{menu}</ul></nav><div id="main" class="{state}">{body}</div><div class="{side}"><p>{sentence(8)}</p></div>{after}</div>
+    <form><label>{sentence(3)}</label></form><footer><p>{sentence(10)}</p></footer></body></html>"""
+    return page, " ".join(blocks)
+
+
+def test_pages_that_know_their_article():
+    rng = random.Random(17)
+    for _ in range(400):
+        page, text = generated_page(rng)
+        assert html_text.main_text(page) == text, page
+
+
 def test_sharding(spark, folder, rows_of_folder):
     docs = rows_of_folder(folder)
     found = QUERIES["op5_sharding"](spark, folder).collect()

@@ -62,10 +62,24 @@ def test_run_on_nothing(spark, empty):
 
 def test_unknown_language_is_rejected(spark):
     rows = [(k, "the cat sat on the mat and looked at the dog " * 4, "en") for k in range(10)]
-    rows.append((99, "жщъ" * 30, None))
-    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
-    kept = language_id.in_known_language(language_id.identify(docs, docs))
-    assert {r["doc_id"] for r in kept.collect()} == set(range(10))
+    rows += [(99, "жщъ" * 30, None), (98, "ж", None), (97, "жщ a", None), (96, "12 !", None), (95, None, None)]
+    # The length of a text decides nothing.
+    short = [(100, "A", None), (101, "I", None), (102, "at", None), (103, "O h", None), (104, "a ж", None), (104, "THE 9", None)]
+    docs = spark.createDataFrame(rows + short, "doc_id bigint, text string, lang string")
+    kept = language_id.in_known_language(docs)
+    assert {r["doc_id"] for r in kept.collect()} == set(range(10)) | {100, 101, 102, 103, 104}
+    assert kept.filter("doc_id = 104").count() == 2
+
+
+def test_near_copies_go_by_row(spark):
+    """A document stays though its namesake is a copy; of near copies that share an id one stays."""
+    near = " ".join(f"w{k}" for k in range(200))
+    rows = [(1, near), (2, near + " x"), (2, "something else that is a text of its own"), (3, near + " y"), (1, near + " z"), (None, near + " q"), (4, None), (4, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s") for i, t in rows], "doc_id bigint, text string, lang string, source string")
+    kept = [(r["doc_id"], r["text"]) for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()]
+    assert (2, "something else that is a text of its own") in kept and (None, near + " q") in kept
+    assert sorted(map(repr, (k for k in kept if k[0] in (2, 3, 4)))) == sorted(map(repr, [rows[2], (4, None), (4, "")]))
+    assert len([k for k in kept if k[0] == 1]) == 1
 
 
 def test_no_local_checkpoints():
