@@ -34,9 +34,9 @@ def set_aside(docs: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFra
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without letters, or in none of the languages of the labelled ones, go."""
+    """Documents without letters, or with more than half of them in scripts that no labelled document has, go."""
     rows, back = set_aside(docs)
-    return back(language_id.in_known_language(language_id.identify(rows)))
+    return back(language_id.in_known_language(rows))
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,16 +46,17 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five words, similarity 0.8) the document with the smallest id stays.
+    """Of each group of near copies (five words, similarity 0.8) one document, of those with the smallest id, stays.
 
-    Rows without an id have no name in a group and stay; rows that share an id
-    go if one of them does.
+    Rows without an id have no name in a group and stay.  Rows are told apart
+    by id and text, so a row that shares its id with a copy stays.
     """
     groups = jaccard_join.near_groups(docs)
-    dropped = stored(groups.filter("doc_id <> component_id").select("doc_id").distinct(), "near")
+    dropped = stored(groups.filter(~F.col("stays")).select("doc_id", F.col("row").alias("__row")).distinct(), "near")
     if dropped.count() <= jaccard_join.SMALL_LIST:
         dropped = F.broadcast(dropped)
-    return docs.join(dropped, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    keyed = docs.withColumn("__row", F.xxhash64("doc_id", "text"))
+    return keyed.join(dropped, ["doc_id", "__row"], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
