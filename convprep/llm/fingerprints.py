@@ -28,9 +28,9 @@ PLACE_BITS = 24
 BLOCK = 1 << 20
 #: Characters of the texts whose results are passed on together.
 HELD_CHARS = 1 << 20
-#: Documents of a bucket of neighbours, about, and the most buckets; a bucket is streamed, so it may grow.
-BUCKET = 20_000
-BUCKETS = 4096
+#: Bytes of texts in a range of neighbours, about, and the most ranges; a range is streamed, so it may grow.
+RANGE_BYTES = 32 << 20
+RANGES = 65_536
 
 _PLACES = np.uint64((1 << PLACE_BITS) - 1)
 
@@ -118,16 +118,21 @@ def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
 # ---------------------------------------------------------------- a document and the next
 
 
-def buckets_with_next(docs: DataFrame) -> DataFrame:
-    """(bucket, own, doc_id, text): ranges of ids, each with the first document of the next range.
+def ranges_of(docs: DataFrame) -> int:
+    """Number of ranges: enough for all cores, and for the bytes of the texts."""
+    rows, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    busy = 2 * docs.sparkSession.sparkContext.defaultParallelism
+    return max(1, min(max(busy, -(-size // RANGE_BYTES)), rows, RANGES))
 
-    Splitters come from the ids' quantiles; their number follows the number of
-    rows, up to ``BUCKETS``, and a row finds its range in two steps.  After the last range comes the first one.  All rows with a range's
+
+def buckets_with_next(docs: DataFrame, parts: int) -> DataFrame:
+    """(bucket, own, doc_id, text): ``parts`` ranges of ids at most, each with the first document of the next range.
+
+    Splitters come from the ids' quantiles, and a row finds its range in two
+    steps.  After the last range comes the first one.  All rows with a range's
     smallest id are lent to the range before, which takes the first of them.
     """
     ids = docs.select("doc_id")
-    n = ids.count()
-    parts = min(max(1, n // BUCKET), BUCKETS)
     steps = [k / parts for k in range(1, parts)]
     cuts = sorted(set(ids.approxQuantile("doc_id", steps, 0.1 / parts))) if steps else []
     bucket = F.lit(0)
@@ -175,9 +180,11 @@ def compared_with_next(docs: DataFrame) -> DataFrame:
     texts move once, to ranges of ids.
     """
     bounded_batches(docs.sparkSession)
+    parts = ranges_of(docs)
+    # One partition a range.
     sorted_rows = (
-        buckets_with_next(docs)
-        .repartition("bucket")
+        buckets_with_next(docs, parts)
+        .repartitionById(parts, "bucket")
         .sortWithinPartitions("bucket", F.desc("own"), F.asc_nulls_first("doc_id"), F.asc_nulls_first("text"))
     )
 

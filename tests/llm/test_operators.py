@@ -279,13 +279,63 @@ def test_fingerprints(spark, folder, rows_of_folder):
             assert same.setdefault(d[1] or "", prints[d[0]]) == prints[d[0]]
 
 
-@pytest.mark.parametrize("bucket", [3, 20_000])
-def test_fingerprints_do_not_depend_on_buckets(spark, odd, rows_of_folder, bucket, monkeypatch):
-    monkeypatch.setattr(fingerprints, "BUCKET", bucket)
+@pytest.mark.parametrize("size", [3, 1 << 30])
+def test_fingerprints_do_not_depend_on_ranges(spark, odd, rows_of_folder, size, monkeypatch):
+    monkeypatch.setattr(fingerprints, "RANGE_BYTES", size)
     found = QUERIES["op9_fingerprints"](spark, odd)
     assert rows(found, "doc_id", "n_chars", "edited_sha256") == Counter(brute.edited_texts(rows_of_folder(odd)))
 
 
+def scrambled(x):
+    for _ in range(2):
+        x ^= x >> 32
+        x = x * 0xD6E8FEB86659FD93 % 2**64
+    return x ^ x >> 32
+
+
+def plain_winnow(text):
+    """Fingerprints of a text in plain numbers: {(hash, position)}."""
+    gram, window, bits = fingerprints.GRAM, fingerprints.WINDOW, fingerprints.PLACE_BITS
+    factors = lambda n, seed: [scrambled((k + seed * 0x9E3779B97F4A7C15) % 2**64) | 1 for k in range(1, n + 1)]
+    points = [scrambled(ord(c) + 1) for c in text]
+    if not points:
+        return []
+    if len(points) < gram:
+        h = [scrambled(sum(p * f for p, f in zip(points, factors(len(points), 5))) % 2**64)]
+    else:
+        one, two, four = factors(3, 3)
+        value = lambda g: sum(p * (one if not k & 1 else 1) * (two if not k & 2 else 1) * (four if not k & 4 else 1) for k, p in enumerate(g))
+        h = [scrambled(value(points[k : k + gram]) % 2**64) for k in range(len(points) - gram + 1)]
+    h = [x >> bits for x in h]
+    width, out = min(window, len(h)), []
+    for k in range(len(h) - width + 1):
+        low = min(h[k : k + width])
+        at = max(i for i in range(k, k + width) if h[i] == low)
+        if (at, low) not in out[-1:]:
+            out.append((at, low))
+    return out
+
+
+def alike(a, b):
+    a, b = ({h for _, h in x} for x in (a, b))
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def test_fingerprints_by_brute_force(spark, folder, rows_of_folder):
+    docs = [d for d in rows_of_folder(folder) if len(d[1] or "") < 3000]
+    table = spark.createDataFrame([(d[0], d[1]) for d in docs], "doc_id bigint, text string")
+    order = sorted(docs, key=lambda d: (d[0] is not None, d[0] or 0, d[1] is not None, d[1] or ""))
+    text = lambda prints: " ".join(f"{p}:{h:010x}" for p, h in prints)
+    expected = Counter()
+    for k, d in enumerate(order):
+        mine, after = d[1] or "", order[(k + 1) % len(order)][1] or ""
+        half = len(mine) // 2
+        own, changed, other = (plain_winnow(t) for t in (mine, mine[: len(mine) - half] + after[:half], after))
+        expected[(d[0], text(own), text(changed), alike(own, changed), alike(own, other))] += 1
+    found = fingerprints.compared_with_next(table)
+    assert rows(found, "doc_id", "fingerprint", "edited_fingerprint", "near_edited", "near_next") == expected
+
+
 def test_half_of_a_short_text_is_found(spark, small):
     texts = [r["text"] for r in spark.read.parquet(f"{small}/documents.parquet").orderBy("doc_id").collect()]
     for size in (32, 48, 64, 90):
