@@ -12,6 +12,7 @@ together, one byte a step, by lookups in a table.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -309,12 +310,32 @@ def in_groups(docs: DataFrame, sample: DataFrame, groups: list[tuple[str, str]],
     return numbered.join(best, "row", "left").select("docs_row.*", pred, *zero)
 
 
-def known_letters(sample: DataFrame) -> str:
-    """A pattern of the letters in the blocks of 128 code points that a sample has letters of; bounded as the blocks are."""
+def known_blocks(sample: DataFrame) -> list[int]:
+    """The blocks of 128 code points that a sample has letters of; bounded as the blocks are."""
     letters = F.explode(F.regexp_extract_all("part", F.lit(r"\p{L}"), F.lit(0))).alias("letter")
-    blocks = sample.select(letters).select(F.shiftright(F.ascii("letter"), 7).alias("block")).distinct().collect()
-    ranges = "".join(f"\\x{{{b << 7:x}}}-\\x{{{(b << 7) + 127:x}}}" for b in sorted(r["block"] for r in blocks))
-    return rf"[\p{{L}}&&[{ranges}]]" if ranges else r"[^\x{0}-\x{10ffff}]"
+    blocks = sample.select(letters).select(F.shiftright(F.ascii("letter"), 7).alias("block")).distinct()
+    return sorted(r["block"] for r in blocks.collect())
+
+
+@cache
+def letters() -> np.ndarray:
+    """Whether each code point is a letter."""
+    return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
+
+
+def letter_counts(data: np.ndarray, offs: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Letters of each text of a buffer, and those in known blocks."""
+    padded = np.concatenate([data, np.zeros(3, np.uint8)])
+    at = np.flatnonzero((data < 0x80) | (data >= 0xC0))
+    first, *rest = (padded[at + k].astype(np.int32) for k in range(4))
+    two = (first & 31) << 6 | rest[0] & 63
+    three = (first & 15) << 12 | (rest[0] & 63) << 6 | rest[1] & 63
+    four = (first & 7) << 18 | (rest[0] & 63) << 12 | (rest[1] & 63) << 6 | rest[2] & 63
+    points = np.where(first < 0x80, first, np.where(first < 0xE0, two, np.where(first < 0xF0, three, np.minimum(four, 0x10FFFF))))
+    letter = letters()[points]
+    limits = np.searchsorted(at, offs)
+    sums = [np.concatenate([[0], np.cumsum(x)])[limits] for x in (letter, letter & known[points >> 7])]
+    return np.diff(sums[0]), np.diff(sums[1])
 
 
 def in_known_language(
@@ -329,10 +350,20 @@ def in_known_language(
     """
     training = docs.filter(~held_out(F.col(doc_id), 0))
     sample = stored(sampled(training, doc_id, text, lang), "sample")
-    letters = F.regexp_count(F.col(text), F.lit(r"\p{L}"))
-    known = F.regexp_count(F.col(text), F.lit(known_letters(sample)))
-    known = docs.filter((letters > 0) & (known >= KNOWN_LETTERS * letters))
-    found = identify(known, None, doc_id, text, lang, sample)
+    known = np.zeros(0x110000 >> 7, bool)
+    known[known_blocks(sample)] = True
+    place = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, last, part, at in pieces(*buffer_of(batch.column(place))):
+                all_letters, of_known = letter_counts(part, at, known)
+                mask = (all_letters > 0) & (of_known >= KNOWN_LETTERS * all_letters)
+                yield batch.slice(first, last - first).filter(pa.array(mask))
+
+    bounded_batches(docs.sparkSession)
+    readable = docs.mapInArrow(run, docs.schema)
+    found = identify(readable, None, doc_id, text, lang, sample)
     return found.filter(F.col("lang_pred") != UNKNOWN)
 
 
