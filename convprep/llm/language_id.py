@@ -11,7 +11,7 @@ together, one byte a step, by lookups in a table.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
@@ -34,6 +34,8 @@ BLOCK = 512
 #: Texts with a smaller share of letters in the samples' scripts are in none of the languages.
 KNOWN_LETTERS = 0.5
 UNKNOWN = "und"
+#: Which texts of a buffer can be judged.
+Readable = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
 _BREAK = np.uint32(1 << 31)
 
@@ -206,9 +208,11 @@ def lowest_costs(parser: Parser, data: np.ndarray, offs: np.ndarray) -> tuple[li
     return [parser.languages[b] for b in best], cost[rows, best], second, np.diff(at) / phrases[rows, best]
 
 
-def predictions(parser: Parser, data: np.ndarray, offs: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
+def predictions(
+    parser: Parser, data: np.ndarray, offs: np.ndarray, readable: Readable = has_letter
+) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Language, score and bytes for each phrase of every text of a buffer."""
-    letters = has_letter(data, offs)
+    letters = readable(data, offs)
     if not parser.languages:
         return [UNKNOWN] * len(letters), np.zeros(len(letters)), np.zeros(len(letters))
     found, lowest, second, size = lowest_costs(parser, data, offs)
@@ -223,13 +227,14 @@ def identify(
     text: str = "text",
     lang: str = "lang",
     sample: DataFrame | None = None,
+    readable: Readable = has_letter,
 ) -> DataFrame:
     """All columns of ``docs`` with lang_pred, score (0 to 1) and phrase_bytes.
 
     Automata are learnt from ``training``, by default the rows of ``docs`` that
     are not held out, for every label.  A text that is null or has no letter of
-    any script is ``und`` with score 0, and so is every text if nothing can be
-    learnt.  The score is one minus the ratio of the lowest cost to the next.
+    any script (or that is not ``readable``) is ``und`` with score 0, and so is
+    every text if nothing can be learnt.  The score is one minus the ratio of the lowest cost to the next.
     Equal costs go to the first language by name.  Repeated rows get the same
     values; columns named like the added ones are replaced.
 
@@ -248,7 +253,7 @@ def identify(
     names = [c for c in docs.columns if c not in added]
     chosen = docs.select(*[F.col(f"`{c}`") for c in names])
     if len(groups) > 1:
-        return in_groups(chosen, sample, groups, text)
+        return in_groups(chosen, sample, groups, text, readable)
     parser = docs.sparkSession.sparkContext.broadcast(learn(sample))
     schema = chosen.select("*").schema
     place = names.index(text)
@@ -258,7 +263,7 @@ def identify(
             data, offs = buffer_of(batch.column(place))
             found: tuple[list, list, list] = ([], [], [])
             for _, _, part, at in pieces(data, offs):
-                for into, values in zip(found, predictions(parser.value, part, at)):
+                for into, values in zip(found, predictions(parser.value, part, at, readable)):
                     into.extend(values)
             columns = [
                 pa.array(found[0], pa.string()),
@@ -271,7 +276,9 @@ def identify(
     return chosen.mapInArrow(run, out)
 
 
-def in_groups(docs: DataFrame, sample: DataFrame, groups: list[tuple[str, str]], text: str) -> DataFrame:
+def in_groups(
+    docs: DataFrame, sample: DataFrame, groups: list[tuple[str, str]], text: str, readable: Readable = has_letter
+) -> DataFrame:
     """``docs`` with the added columns, by one group of languages after the other."""
     spark = docs.sparkSession
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("docs_row")
@@ -287,7 +294,7 @@ def in_groups(docs: DataFrame, sample: DataFrame, groups: list[tuple[str, str]],
             for batch in batches:
                 data, offs = buffer_of(batch.column(1))
                 for a, b, part, at in pieces(data, offs):
-                    letters = pa.array(has_letter(part, at))
+                    letters = pa.array(readable(part, at))
                     columns = [batch.column(0).slice(a, b - a), *[pa.array(c) for c in lowest_costs(parser.value, part, at)]]
                     columns = [c.filter(letters) for c in columns]
                     yield pa.RecordBatch.from_arrays(columns, names=["row", "lang", "lowest", "second", "size"])
@@ -352,18 +359,12 @@ def in_known_language(
     sample = stored(sampled(training, doc_id, text, lang), "sample")
     known = np.zeros(0x110000 >> 7, bool)
     known[known_blocks(sample)] = True
-    place = docs.columns.index(text)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for first, last, part, at in pieces(*buffer_of(batch.column(place))):
-                all_letters, of_known = letter_counts(part, at, known)
-                mask = (all_letters > 0) & (of_known >= KNOWN_LETTERS * all_letters)
-                yield batch.slice(first, last - first).filter(pa.array(mask))
+    def readable(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
+        all_letters, of_known = letter_counts(data, offs, known)
+        return (all_letters > 0) & (of_known >= KNOWN_LETTERS * all_letters)
 
-    bounded_batches(docs.sparkSession)
-    readable = docs.mapInArrow(run, docs.schema)
-    found = identify(readable, None, doc_id, text, lang, sample)
+    found = identify(docs, None, doc_id, text, lang, sample, readable)
     return found.filter(F.col("lang_pred") != UNKNOWN)
 
 
