@@ -1,23 +1,23 @@
 """Language-model scoring with log-frequency Bloom filters.
 
 Counts of words and of pairs of words are exact and come from all training
-texts; every pair counts.  Counts are quantised on a logarithmic scale of
-``STEPS`` steps for a doubling, and step k of a pair is stored as membership of
-(pair, 1) to (pair, k).  A count is read back by probing until a step is
+texts; every pair counts.  Counts of pairs are quantised on a logarithmic scale
+of ``STEPS`` steps for a doubling, and step k of a pair is stored as membership
+of (pair, 1) to (pair, k).  A count is read back by probing until a step is
 missing.
 
-Pairs that make up one in ``UNITS`` training tokens or more are counted in
-units of that share; there are at most ``UNITS`` of them and as many frequent
-words whatever the corpus, so their filter of ``BITS`` bits and the table of
-frequent words are sent to all workers.  All other pairs of frequent words are
-counted in ones and held by filters of hash shards, whose number follows the
-number of entries, at most ``ENTRIES`` a shard; the pairs of a text travel to
-their shards.  Pairs with a word too rare for the table are looked up by a
-join, as the rare words are.
-
-A pair that is held has the probability of its quantised count; any other
-falls back to the word's own probability, times what the pairs of its context
-leave (so the probabilities after a context sum to one).
+The filter of all pairs grows with the corpus, so it is cut into hash shards.
+The number of shards follows the training tokens, so that about ``ENTRIES``
+entries at most are in one; the filter of a shard is filled where the probes of
+its pairs arrive.  Pairs of which a single one makes up one in ``HOT`` training
+tokens would be a burden to one shard; there are at most ``HOT`` of them, and
+their filter is sent to all workers.  Words that make up one in ``UNITS`` tokens
+are at most ``UNITS`` and are sent to all workers too; the exact counts of all
+others meet the texts in the shards.  Where a count is held changes no result.
+
+The probability of a word t after b is (n(b, t) + PRIOR * p(t)) / (n(b) + PRIOR)
+with the quantised count of the pair and the base probability p, so the
+logarithm of a text is a sum of terms of single words and of the pairs held.
 """
 
 from __future__ import annotations
@@ -28,10 +28,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from convprep.llm.common import (
+    bounded_batches,
     buffer_of,
     free_shuffles,
     hash_spans,
@@ -48,19 +49,27 @@ from convprep.llm.common import (
 )
 
 UNITS = 1 << 20
+HOT = 1 << 14
 STEPS = 4
-BITS = 1 << 26
+#: Weight of the base probability, in tokens.
+PRIOR = 64.0
 PROBES = 3
-#: Bits of the place of a frequent word in a key of two.
+#: Bits of the place of a frequent word in a key of two, and of the word before it in such a key.
 PLACE_BITS = 21
+BEFORE_BITS = 42
 #: Least number of shards, about the most entries of one, and bits of a filter for each entry.
-SHARDS = 512
-ENTRIES = 1 << 20
+SHARDS = 48
+ENTRIES = 1 << 23
 ENTRY_BITS = 64
+LOW = np.uint64(0xFFFFFFFF)
+#: Bytes of text that send their probes together.
+PART = 1 << 22
 #: The token after the last word; no word has the hash of nothing.
 END = np.uint64(mix(np.array([7], np.uint64))[0])
 #: Distinct counts that a task holds before it passes them on.
-HELD = 1 << 20
+HELD = 1 << 21
+#: What a shard gets first, instead of a piece of texts: rows of rare words, rows of pairs.
+WORDS_FIRST, THEN_PAIRS = -2, -1
 
 
 # ---------------------------------------------------------------- tokens
@@ -82,15 +91,11 @@ def summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray
     return key, np.bincount(inverse, np.concatenate(counts)).astype(np.int64)
 
 
-def counted(batches: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, n) of the values, summed over a task as far as memory is bounded."""
+def counted(batches: Iterator[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Distinct values and their counts, summed over a task as far as memory is bounded."""
     keys: list[np.ndarray] = []
     counts: list[np.ndarray] = []
     held = 0
-
-    def row(key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(signed(key)), pa.array(n)], names=["key", "n"])
-
     for values in batches:
         key, n = np.unique(values, return_counts=True)
         keys.append(key)
@@ -100,25 +105,23 @@ def counted(batches: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
             key, n = summed(keys, counts)
             keys, counts, held = [key], [n], len(key)
             if held >= HELD // 2:
-                yield row(key, n)
+                yield key, n
                 keys, counts, held = [], [], 0
     if keys:
-        yield row(*summed(keys, counts))
+        yield summed(keys, counts)
 
 
-def word_counts(texts: DataFrame) -> DataFrame:
-    """(key, n): hash and number of every token of the column ``text``."""
+def key_counts(texts: DataFrame, keys_of) -> DataFrame:
+    """(key, n): number of all keys that ``keys_of`` finds among the tokens of the column ``text``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = (p for batch in batches for p in pieces(*buffer_of(batch.column(0))))
-        yield from counted(tokens_of(data, offs)[0] for _, _, data, offs in parts)
+        for key, n in counted(keys_of(*tokens_of(data, offs)) for _, _, data, offs in parts):
+            yield pa.RecordBatch.from_arrays([pa.array(signed(key)), pa.array(n)], names=["key", "n"])
 
     return texts.select("text").mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
 
 
-# ---------------------------------------------------------------- the model
-
-
 class Words:
     """The frequent words: sorted hashes and counts."""
 
@@ -134,7 +137,7 @@ class Words:
         return np.where(self.keys[at] == tokens, at, -1)
 
 
-def before_of(values: np.ndarray, begin: np.ndarray, end: int) -> np.ndarray:
+def before_of(values: np.ndarray, begin: np.ndarray, end) -> np.ndarray:
     """The value before each; an end before the first of a text."""
     before = np.empty_like(values)
     before[1:] = values[:-1]
@@ -142,58 +145,69 @@ def before_of(values: np.ndarray, begin: np.ndarray, end: int) -> np.ndarray:
     return before
 
 
-def codes_of(place: np.ndarray, tokens: np.ndarray) -> np.ndarray:
-    """The place of frequent tokens; of others the hash, as a negative number."""
-    return np.where(place >= 0, place, signed(tokens | np.uint64(1 << 63)))
+def rare_codes(tokens: np.ndarray) -> np.ndarray:
+    """The upper half of the keys of pairs whose second word is this; it decides their shard, which is the word's too."""
+    return (mix(tokens) >> np.uint64(33) | np.uint64(1 << 31)) << np.uint64(32)
 
 
-def pairs_of(words: Words, tokens: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Key of each token with the one before it (an end before the first), and where both are frequent."""
+def rare_keys(before: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+    """Keys of pairs whose second word is rare, from the hashes of both; above all other keys."""
+    return rare_codes(tokens) | mix(tokens ^ mix(before & LOW)) & LOW
+
+
+def pairs_of(words: Words, tokens: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Key of each token with the one before it (an end before the first), the token's place and the hash before it.
+
+    Where both words are frequent the key is of their places; where the first
+    is rare it is of its hash and a place; where the second is rare, of both hashes.
+    """
     place = words.find(tokens)
-    before = before_of(place, begin, words.find(np.array([END]))[0])
-    return (before << PLACE_BITS) | place, (before >= 0) & (place >= 0)
+    before, hashed = before_of(place, begin, words.find(np.array([END]))[0]), before_of(tokens, begin, END)
+    code = np.where(before >= 0, before.astype(np.uint64), hashed >> np.uint64(64 - BEFORE_BITS + 1) | np.uint64(1 << (BEFORE_BITS - 1)))
+    keys = code << np.uint64(PLACE_BITS) | np.maximum(place, 0).astype(np.uint64)
+    rare = place < 0
+    keys[rare] = rare_keys(hashed[rare], tokens[rare])
+    return keys, place, hashed
 
 
-def shard_of(pairs: np.ndarray, shards: int) -> np.ndarray:
-    return (mix(pairs.astype(np.uint64) ^ np.uint64(0xA0761D6478BD642F)) % np.uint64(shards)).astype(np.int64)
+def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
+    keys = np.where(keys >> np.uint64(63), keys & ~LOW, keys)
+    return (mix(keys ^ np.uint64(0xA0761D6478BD642F)) % np.uint64(shards)).astype(np.int64)
 
 
-def steps_of(n: np.ndarray, unit: float) -> np.ndarray:
-    """Quantised count: 0 below a unit, then one more for each part of a doubling."""
-    return np.floor(np.log2(np.maximum(n / unit, 0.5)) * STEPS + 1e-9).astype(np.int64) + 1
+# ---------------------------------------------------------------- filters
 
 
-def bits_of(pairs: np.ndarray, step: np.ndarray | int, size: int = BITS) -> Iterator[np.ndarray]:
-    """The bits of (pair, step) in a filter of ``size`` bits, a power of two."""
-    h = mix(pairs.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.asarray(step).astype(np.uint64))
-    other = mix(h) | np.uint64(1)
-    for k in range(PROBES):
-        yield (h + np.uint64(k) * other) & np.uint64(size - 1)
+def steps_of(n: np.ndarray) -> np.ndarray:
+    """Quantised count: one, then one more for each part of a doubling."""
+    return np.floor(np.log2(n) * STEPS + 1e-9).astype(np.int64) + 1
 
 
-def filled_filter(pairs: DataFrame, unit: float) -> np.ndarray:
-    """The filter of (key, n) rows, as bytes; set in tasks and joined by OR."""
+def counts_of(step: np.ndarray) -> np.ndarray:
+    return 2.0 ** ((step - 1) / STEPS)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            key = batch.column(0).to_numpy(zero_copy_only=False)
-            bits = np.unique(np.concatenate([*bits_of(*entries_of(key, batch.column(1).to_numpy(zero_copy_only=False), unit))]))
-            word, mask = signed(bits >> np.uint64(6)), signed(np.uint64(1) << (bits & np.uint64(63)))
-            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(mask)], names=["word", "mask"])
 
-    masks = pairs.select("key", "n").mapInArrow(run, "word bigint, mask bigint")
-    # At most BITS / 64 rows.
-    rows = masks.groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
-    words = np.zeros(BITS // 64, np.int64)
-    words[rows.column("word").to_numpy()] = rows.column("mask").to_numpy()
-    return words.view(np.uint8)
+def bits_of(pairs: np.ndarray, step: np.ndarray | int, size: int) -> Iterator[np.ndarray]:
+    """The bits of (pair, step) in a filter of ``size`` bits, a power of two."""
+    h = mix(pairs * np.uint64(0x9E3779B97F4A7C15) + np.asarray(step).astype(np.uint64))
+    other = mix(h) | np.uint64(1)
+    for k in range(PROBES):
+        yield (h + np.uint64(k) * other) & np.uint64(size - 1)
 
 
-def entries_of(key: np.ndarray, n: np.ndarray, unit: float) -> tuple[np.ndarray, np.ndarray]:
-    """The pair and the step of every entry."""
-    steps = np.maximum(steps_of(n, unit), 0)
-    nth = np.arange(int(steps.sum())) - np.repeat(np.cumsum(steps) - steps, steps) + 1
-    return np.repeat(key, steps), nth
+def filled(pairs: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The filter of distinct pairs and their counts, as bytes; its size follows the entries."""
+    steps = steps_of(n)
+    size = 1 << max(6, math.ceil(math.log2(max(1, int(steps.sum()) * ENTRY_BITS))))
+    held = np.zeros(size // 8, np.uint8)
+    step = 1
+    while len(pairs):
+        for bit in bits_of(pairs, step, size):
+            np.bitwise_or.at(held, (bit >> np.uint64(3)).astype(np.int64), np.uint8(1) << (bit & np.uint64(7)).astype(np.uint8))
+        step += 1
+        left = steps >= step
+        pairs, steps = pairs[left], steps[left]
+    return held
 
 
 def probed(held_bytes: np.ndarray, pairs: np.ndarray) -> np.ndarray:
@@ -211,278 +225,182 @@ def probed(held_bytes: np.ndarray, pairs: np.ndarray) -> np.ndarray:
     return out
 
 
+# ---------------------------------------------------------------- the model
+
+
 class Model:
-    """Frequent words, context weights and the filter of frequent pairs; of bounded size."""
-
-    def __init__(self, words: Words, total: int, distinct: int, weights: np.ndarray, filter_bytes: np.ndarray):
-        self.words, self.total, self.distinct = words, total, distinct
-        self.unit = total / UNITS
-        self.log_base = math.log10(total + 0.5 * (distinct + 1))
-        self.log_weights = np.log10(weights)
-        self.log_counts = np.log10(words.counts + 0.5)
-        self.filter = filter_bytes
-
-    def steps(self, pairs: np.ndarray) -> np.ndarray:
-        """Step of each pair in the filter of frequent pairs."""
-        return probed(self.filter, pairs)
-
-    def gains(self, pairs: np.ndarray, log_seen: np.ndarray) -> np.ndarray:
-        """What a held pair adds to its word's own and its context's logarithms."""
-        before, place = pairs >> PLACE_BITS, pairs & ((1 << PLACE_BITS) - 1)
-        seen = np.minimum(log_seen - np.log10(self.words.counts[before]), 0.0)
-        return seen - self.log_weights[before] - (self.log_counts[place] - self.log_base)
-
-    def scores(self, tokens: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, ...]:
-        """For each text: sums of log10 over frequent tokens, what frequent contexts and pairs add, how many are
-        frequent; then text and key of other pairs of frequent words, text and codes of pairs with a rare one, and
-        text and hash of rare tokens."""
-        place = self.words.find(tokens)
-        owner = np.repeat(np.arange(len(begin) - 1), np.diff(begin))
-        texts = len(begin) - 1
-        common = place >= 0
-        base = np.bincount(owner[common], self.log_counts[place[common]], texts)
-        end = self.words.find(np.array([END]))[0]
-        before = before_of(place, begin, end)
-        added = np.where(before >= 0, self.log_weights[before] if len(self.log_weights) else 0.0, 0.0)
-        at = np.flatnonzero(common & (before >= 0))
-        pairs = (before[at] << PLACE_BITS) | place[at]
-        step = self.steps(pairs)
-        held = step > 0
-        added[at[held]] += self.gains(pairs[held], np.log10(self.unit) + (step[held] - 1) / STEPS * math.log10(2))
-        codes = codes_of(place, tokens)
-        codes_before = before_of(codes, begin, end)
-        odd = np.flatnonzero((codes < 0) | (codes_before < 0)) if self.total else np.zeros(0, np.int64)
-        others = owner[at[~held]], pairs[~held]
-        rare_pairs = owner[odd], codes_before[odd], codes[odd]
-        return base, np.bincount(owner, added, texts), np.bincount(owner[common], minlength=texts), others, rare_pairs, owner[~common], tokens[~common]
-
-
-def log_seen(n: Column) -> Column:
-    """Logarithm of a count in ones, quantised."""
-    return F.floor(F.log2(n) * STEPS + 1e-9) / STEPS * math.log10(2)
-
-
-def with_counts(pairs: DataFrame, counts: DataFrame, side: str) -> DataFrame:
-    """Counts of the rare words of one side of (b, t, n, b_n, t_n); rare words are in few pairs, so no key is common."""
-    known = counts.select(F.col("code").alias(side), F.col("n").alias("_n"))
-    rare = pairs.filter(F.col(side) < 0).join(known, side).withColumn(f"{side}_n", F.col("_n")).drop("_n")
-    return pairs.filter(F.col(side) >= 0).unionByName(rare)
-
-
-class Learnt:
-    """The model, stored words too rare for it (key, n, log_weight), other pairs of its words (key, n) with the number
-    of their shards and the bits of a shard's filter, and pairs with rare words (b, t, gain)."""
-
-    def __init__(self, model: Model, words: DataFrame, pairs: DataFrame | None, shards: int, bits: int, rare_pairs: DataFrame | None):
-        self.model, self.words, self.pairs, self.shards, self.bits, self.rare_pairs = model, words, pairs, shards, bits, rare_pairs
-
-
-def learn(training: DataFrame) -> Learnt:
-    """The model of the column ``text``, from the counts of all its tokens and all its pairs."""
-    spark = training.sparkSession
-    unigrams = stored(word_counts(training), "unigrams")
+    """Frequent words, the filter of hot pairs, and what the shards need; of bounded size."""
+
+    def __init__(self, words: Words, total: int, distinct: int, hot: np.ndarray):
+        self.words, self.total, self.distinct, self.hot = words, total, distinct, hot
+        self.hot_share = HOT
+        self.mass = total + 0.5 * (distinct + 1)
+        self.log_base = math.log10(self.mass)
+        # Entries are at most 2.5 for each token of a pair.
+        self.shards = max(SHARDS, -(-5 * total // (2 * ENTRIES)))
+
+    def gains(self, step: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """What a pair that is held adds to the logarithm of its second word, which has the count ``n``."""
+        return np.log10(1.0 + counts_of(step) * self.mass / (PRIOR * (n + 0.5)))
+
+    def is_hot(self, n: np.ndarray) -> np.ndarray:
+        return n * self.hot_share >= self.total
+
+
+def context_logs(n: np.ndarray) -> np.ndarray:
+    """What a word of this count adds, as a context, to the logarithm of the next word."""
+    return np.log10(PRIOR / (n + PRIOR))
+
+
+def learn(training: DataFrame) -> tuple[Model, DataFrame]:
+    """The model of the column ``text``, and the stored counts (key, n) of words too rare for it."""
+    unigrams = stored(key_counts(training, lambda tokens, begin: tokens), "unigrams")
     total, distinct = unigrams.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     # A token in UNITS or more, and the end: at most UNITS words and one.
     is_frequent = (F.col("n") * UNITS >= F.lit(total)) | (F.col("key") == F.lit(int(signed(np.array([END]))[0])))
     frequent = unigrams.filter(is_frequent).toArrow()
     words = Words(frequent.column("key").to_numpy().view(np.uint64), frequent.column("n").to_numpy())
-    size = len(words.counts)
-    if not total:
-        none = unigrams.withColumn("log_weight", F.lit(0.0))
-        return Learnt(Model(words, 0, 0, np.ones(0), np.zeros(BITS // 8, np.uint8)), none, None, 0, 0, None)
-    shared = spark.sparkContext.broadcast(words)
-    unit, base = total / UNITS, total + 0.5 * (distinct + 1)
+    model = Model(words, total, distinct, np.zeros(8, np.uint8))
+    if total:
+        shared = training.sparkSession.sparkContext.broadcast(model)
+
+        def of_hot_words(tokens: np.ndarray, begin: np.ndarray) -> np.ndarray:
+            words = shared.value.words
+            hot = np.append(shared.value.is_hot(words.counts), False)
+            keys, place, _ = pairs_of(words, tokens, begin)
+            both = hot[place] & hot[before_of(place, begin, words.find(np.array([END]))[0])]
+            return keys[both]
+
+        hot = key_counts(training, of_hot_words).filter(F.col("n") * HOT >= F.lit(total)).toArrow()
+        model.hot = filled(hot.column("key").to_numpy().view(np.uint64), hot.column("n").to_numpy())
+    return model, unigrams.filter(~is_frequent)
+
+
+# ---------------------------------------------------------------- shards
+
+#: Bytes of a value in the columns near, far, rare and prev.
+WIDTHS = 6, 8, 8, 4
+#: Pairs of frequent words in six bytes each, other keys in eight; then rare words and the hash before each; the text
+#: in its piece and the count of every one of them, in this order.
+SHARD_ROW = "shard int, piece bigint, near binary, far binary, rare binary, prev binary, who array<int>, n array<bigint>"
+
+
+def binary_column(values: np.ndarray, limits: np.ndarray, width: int) -> pa.Array:
+    """The lower ``width`` bytes of the values between limits, as binaries."""
+    data = np.ascontiguousarray(np.ascontiguousarray(values).view(np.uint8).reshape(-1, 8)[:, :width])
+    offsets = (limits * width).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(limits) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
+
+def values_of(data: np.ndarray, width: int) -> np.ndarray:
+    """The values of a part of a binary column."""
+    out = np.zeros((len(data) // width, 8), np.uint8)
+    out[:, :width] = data.reshape(-1, width)
+    return out.view(np.uint64).ravel()
+
+
+def dealt(
+    shards: int, piece: int, keys: np.ndarray, rare: np.ndarray, prev: np.ndarray, who: np.ndarray, n: np.ndarray
+) -> dict[str, pa.Array]:
+    """Columns of ``SHARD_ROW``: the keys of pairs and then the rare words, each in its shard."""
+    at = np.concatenate([shard_of(keys, shards), shard_of(rare_codes(rare), shards)])
+    kind = np.concatenate([(keys >> np.uint64(BEFORE_BITS) != 0).astype(np.int8), np.full(len(rare), 2, np.int8)])
+    order = np.lexsort((kind, at))
+    values = np.concatenate([keys, rare])[order]
+    before = np.concatenate([np.zeros(len(keys), np.uint64), prev])[order]
+    at, kind = at[order], kind[order]
+    found, heads = np.unique(at, return_index=True)
+
+    def column(of: int, values: np.ndarray, width: int) -> pa.Array:
+        limits = np.append(0, np.searchsorted(at[kind == of], found, side="right"))
+        return binary_column(values[kind == of], limits, width)
+
+    ends = np.append(heads, len(at))
+    return {
+        "shard": pa.array(found.astype(np.int32)),
+        "piece": pa.array(np.full(len(found), piece, np.int64)),
+        "near": column(0, values, WIDTHS[0]),
+        "far": column(1, values, WIDTHS[1]),
+        "rare": column(2, values, WIDTHS[2]),
+        "prev": column(2, before, WIDTHS[3]),
+        "who": ragged(who[order].astype(np.int32), ends, pa.int32()),
+        "n": ragged(n[order].astype(np.int64), ends, pa.int64()),
+    }
+
+
+def dealt_words(words: DataFrame, shards: int) -> DataFrame:
+    """The counts of rare words, dealt to their shards."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def values() -> Iterator[np.ndarray]:
-            for batch in batches:
-                for _, _, data, offs in pieces(*buffer_of(batch.column(0))):
-                    pairs, both = pairs_of(shared.value, *tokens_of(data, offs))
-                    yield pairs[both]
-
-        yield from counted(values())
-
-    def run_rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = shared.value
-        end = int(words.find(np.array([END]))[0])
-        for batch in batches:
-            for _, _, data, offs in pieces(*buffer_of(batch.column(0))):
-                tokens, begin = tokens_of(data, offs)
-                t = codes_of(words.find(tokens), tokens)
-                b = before_of(t, begin, end)
-                odd = (b < 0) | (t < 0)
-                b, t = b[odd], t[odd]
-                counts = [np.where(c >= 0, words.counts[np.maximum(c, 0)], 0) for c in (b, t)]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (b, t, *counts)], names=["b", "t", "b_n", "t_n"])
-
-    texts = training.select("text")
-    pairs = stored(texts.mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")), "pairs")
-    often = pairs.filter(F.col("n") * UNITS >= F.lit(total))
-    others = pairs.filter(F.col("n") * UNITS < F.lit(total))
-    bits = filled_filter(often, unit)
-
-    # What the pairs of each frequent context hold together, and what their second words would have alone.
-    def run_held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = shared.value.counts
-        taken, freed, entries = np.zeros(size), np.zeros(size), 0
+        none = np.zeros(0, np.uint64)
         for batch in batches:
             key, n = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-            before, place = key >> PLACE_BITS, key & ((1 << PLACE_BITS) - 1)
-            often = n * UNITS >= total
-            scale = np.where(often, unit, 1.0)
-            steps = steps_of(n, scale)
-            entries += int(steps[~often].sum())
-            taken += np.bincount(before, np.minimum(scale * 2.0 ** ((steps - 1) / STEPS) / counts[before], 1.0), size)
-            freed += np.bincount(before, (counts[place] + 0.5) / base, size)
-        at = np.flatnonzero(freed)
-        none = np.zeros(len(at), np.int64)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.append(x, y)) for x, y in ((at, -1), (taken[at], 0.0), (freed[at], 0.0), (none, entries))],
-            names=["b", "taken", "freed", "entries"],
-        )
-
-    sums = [F.sum(c).alias(c) for c in ("taken", "freed", "entries")]
-    # At most a row for each frequent word.
-    held = pairs.mapInArrow(run_held, "b bigint, taken double, freed double, entries bigint").groupBy("b").agg(*sums).toArrow()
-    b, taken, freed, entries = (held.column(k).to_numpy() for k in range(4))
-    inside = b >= 0
-    all_taken, all_freed = np.zeros(size), np.zeros(size)
-    all_taken[b[inside]], all_freed[b[inside]] = taken[inside], freed[inside]
-    entries = int(entries[~inside].sum())
-    shards = max(SHARDS, -(-entries // ENTRIES))
-    shard_bits = 1 << max(6, math.ceil(math.log2(max(1, entries * ENTRY_BITS / shards))))
-
-    rare_words = unigrams.filter(~is_frequent)
-    if size == distinct:
-        weights = np.maximum(1.0 - all_taken, 1e-4) / np.maximum(1.0 - all_freed, 1e-4)
-        model = Model(words, total, distinct, weights, bits)
-        return Learnt(model, rare_words.withColumn("log_weight", F.lit(0.0)), others, shards if entries else 0, shard_bits, None)
-
-    coded = rare_words.select(F.col("key").bitwiseOR(F.lit(-(2**63))).alias("code"), "n")
-    rare_pairs = texts.mapInArrow(run_rare, "b bigint, t bigint, b_n bigint, t_n bigint").groupBy("b", "t")
-    rare_pairs = rare_pairs.agg(F.count("*").alias("n"), F.max("b_n").alias("b_n"), F.max("t_n").alias("t_n"))
-    rare_pairs = stored(with_counts(with_counts(rare_pairs, coded, "b"), coded, "t"), "rare-pairs")
-    alone = (F.col("t_n") + 0.5) / F.lit(base)
-    share = F.least(F.pow(F.lit(10.0), log_seen(F.col("n"))) / F.col("b_n"), F.lit(1.0))
-    contexts = rare_pairs.groupBy("b").agg(F.sum(share).alias("taken"), F.sum(alone).alias("freed"))
-    more = contexts.filter("b >= 0").toArrow()
-    b = more.column("b").to_numpy()
-    all_taken[b] += more.column("taken").to_numpy()
-    all_freed[b] += more.column("freed").to_numpy()
-    weights = np.maximum(1.0 - all_taken, 1e-4) / np.maximum(1.0 - all_freed, 1e-4)
-    model = Model(words, total, distinct, weights, bits)
-
-    left = [F.greatest(1.0 - F.col(c), F.lit(1e-4)) for c in ("taken", "freed")]
-    weighed = contexts.filter("b < 0").select(F.col("b").alias("code"), F.log10(left[0] / left[1]).alias("log_weight"))
-    code = F.col("key").bitwiseOR(F.lit(-(2**63)))
-    rare_words = stored(
-        rare_words.withColumn("code", code).join(weighed, "code", "left").select("key", "code", "n", "log_weight"), "rare-words"
-    )
-    log_weights = spark.sparkContext.broadcast(model.log_weights)
-
-    def run_weights(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            b = batch.column(0).to_numpy(zero_copy_only=False)
-            own = np.where(b >= 0, log_weights.value[np.maximum(b, 0)], 0.0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own)], names=[*batch.schema.names, "w"])
-
-    seen = F.least(log_seen(F.col("n")) - F.log10("b_n"), F.lit(0.0)) - F.log10(alone)
-    gains = rare_pairs.select("b", "t", seen.alias("seen")).mapInArrow(run_weights, "b bigint, t bigint, seen double, w double")
-    rare_w = rare_words.select(F.col("code").alias("b"), F.coalesce("log_weight", F.lit(0.0)).alias("rare_w"))
-    gains = gains.filter("b >= 0").unionByName(gains.filter("b < 0").join(rare_w, "b").withColumn("w", F.col("rare_w")).drop("rare_w"))
-    gains = gains.select("b", "t", (F.col("seen") - F.col("w")).alias("gain"))
-    return Learnt(model, rare_words.drop("code"), others, shards if entries else 0, shard_bits, gains)
-
-
-# ---------------------------------------------------------------- scoring
+            key = np.ascontiguousarray(key).view(np.uint64)
+            zeros = np.zeros(len(key), np.uint64)
+            yield pa.RecordBatch.from_pydict(dealt(shards, WORDS_FIRST, none, key, zeros, zeros, n))
 
+    return words.select("key", "n").mapInArrow(run, SHARD_ROW)
 
-def gains_of_shards(learnt: Learnt, probes: DataFrame, shared) -> DataFrame:
-    """(row, gained) from the stored ``probes`` of pieces of texts: pairs and probes meet in their shards.
 
-    The filter of a shard is filled from its pairs, which come first; then its
-    probes stream through, a row for each piece of texts, and their sums go
-    back to the piece.
-    """
-    shards, size = learnt.shards, learnt.bits
-    kinds = "shard bigint, piece bigint, keys array<bigint>, more array<bigint>"
-
-    def run_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            key, n = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-            yield dealt(key, n, -1, shards)
+def dealt_pairs(training: DataFrame, shared) -> DataFrame:
+    """The counts of all pairs of each task but the hot ones, dealt to their shards."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        at, held = -1, np.zeros(size // 8, np.uint8)
-        for batch in batches:
-            out: list[tuple[int, np.ndarray, np.ndarray]] = []
-            limits = [offsets_of(batch.column(k)) for k in (2, 3)]
-            keys, more = (batch.column(k).flatten().to_numpy(zero_copy_only=False) for k in (2, 3))
-            for i, (shard, piece) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
-                key, other = keys[limits[0][i] : limits[0][i + 1]], more[limits[1][i] : limits[1][i + 1]]
-                if shard != at:
-                    at = shard
-                    held[:] = 0
-                if piece < 0:
-                    for bit in bits_of(*entries_of(key, other, 1.0), size):
-                        np.bitwise_or.at(held, (bit >> np.uint64(3)).astype(np.int64), np.uint8(1) << (bit & np.uint64(7)).astype(np.uint8))
-                    continue
-                step = probed(held, key)
-                found = step > 0
-                if found.any():
-                    gain = model.gains(key[found], (step[found] - 1) / STEPS * math.log10(2))
-                    owner, inverse = np.unique(other[found], return_inverse=True)
-                    out.append((piece, owner, np.bincount(inverse, gain)))
-            if out:
-                limit = np.cumsum([0, *[len(o[1]) for o in out]])
-                columns = [
-                    pa.array([o[0] for o in out], pa.int64()),
-                    ragged(np.concatenate([o[1] for o in out]), limit, pa.int64()),
-                    ragged(np.concatenate([o[2] for o in out]), limit, pa.float64()),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, names=["piece", "owners", "gains"])
+        none = np.zeros(0, np.uint64)
 
-    def run_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def row(piece: int, sums: np.ndarray) -> pa.RecordBatch:
-            texts = np.flatnonzero(sums)
-            return pa.RecordBatch.from_arrays([pa.array(piece + texts), pa.array(sums[texts])], names=["row", "gained"])
+        def values() -> Iterator[np.ndarray]:
+            for batch in batches:
+                for _, _, data, offs in pieces(*buffer_of(batch.column(0))):
+                    tokens, begin = tokens_of(data, offs)
+                    keys = pairs_of(model.words, tokens, begin)[0]
+                    yield keys[probed(model.hot, keys) == 0]
+
+        for key, n in counted(values()):
+            yield pa.RecordBatch.from_pydict(dealt(model.shards, THEN_PAIRS, key, none, none, np.zeros(len(key)), n))
+
+    return training.select("text").mapInArrow(run, SHARD_ROW)
+
+
+class Shard:
+    """What a shard holds: exact counts of its rare words, and the filter of its pairs."""
+
+    def __init__(self, model: Model):
+        self.model = model
+        self.words: list[tuple[np.ndarray, np.ndarray]] = []
+        self.pairs: list[tuple[np.ndarray, np.ndarray]] = []
+        self.filter: np.ndarray | None = None
+
+    def close(self) -> None:
+        """Sum what was learnt."""
+        none = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        sides = [list(zip(*side)) if side else none for side in (self.words, self.pairs)]
+        self.rare = Words(*summed(list(sides[0][0]), list(sides[0][1])))
+        self.rare_counts = np.append(self.rare.counts, 0)
+        pairs = summed(list(sides[1][0]), list(sides[1][1]))
+        self.words, self.pairs = [], []
+        self.filter = filled(*pairs)
+
+    def sums(self, keys: np.ndarray, rare: np.ndarray, prev: np.ndarray, who: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Texts of a piece, what pairs and contexts add to each, logarithms and number of its rare words that are known."""
+        model = self.model
+        counts = self.rare_counts[self.rare.find(rare)]
+        step = probed(self.filter, np.concatenate([keys, rare_keys(prev, rare)]))
+        second = np.concatenate([model.words.counts[(keys & np.uint64((1 << PLACE_BITS) - 1)).astype(np.int64)], counts])
+        added = np.where(step > 0, model.gains(np.maximum(step, 1), second), 0.0)
+        added[len(keys) :] += context_logs(counts)
+        texts, inverse = np.unique(who, return_inverse=True)
+        own = inverse[len(keys) :], n[len(keys) :]
+        size = len(texts)
+        return (
+            texts,
+            np.bincount(inverse, added * n, size),
+            np.bincount(own[0], np.log10(counts + 0.5) * own[1], size),
+            np.bincount(own[0], (counts > 0) * own[1], size).astype(np.int64),
+        )
 
-        at, sums = -1, np.zeros(0)
-        for batch in batches:
-            limit = offsets_of(batch.column(1))
-            owners, gains = (batch.column(k).flatten().to_numpy(zero_copy_only=False) for k in (1, 2))
-            for i, piece in enumerate(batch.column(0).to_pylist()):
-                if piece != at:
-                    if at >= 0:
-                        yield row(at, sums)
-                    at, sums = piece, np.zeros(0)
-                more = np.bincount(owners[limit[i] : limit[i + 1]], gains[limit[i] : limit[i + 1]], len(sums))
-                more[: len(sums)] += sums
-                sums = more
-        if at >= 0:
-            yield row(at, sums)
-
-    pairs = learnt.pairs.select("key", "n").mapInArrow(run_pairs, kinds)
-    meeting = pairs.unionByName(probes).repartition("shard").sortWithinPartitions("shard", "piece")
-    back = meeting.mapInArrow(run, "piece bigint, owners array<bigint>, gains array<double>")
-    return back.repartition("piece").sortWithinPartitions("piece").mapInArrow(run_back, "row bigint, gained double")
-
-
-def dealt(key: np.ndarray, other: np.ndarray, piece: int, shards: int) -> pa.RecordBatch:
-    """Rows (shard, piece, keys, more): the values of each shard."""
-    shard = shard_of(key, shards)
-    order = np.argsort(shard, kind="stable")
-    shard, key, other = shard[order], key[order], other[order]
-    heads = np.flatnonzero(np.diff(shard, prepend=-1))
-    limits = np.append(heads, len(shard))
-    columns = [
-        pa.array(shard[heads]),
-        pa.array(np.full(len(heads), piece, np.int64)),
-        ragged(key, limits, pa.int64()),
-        ragged(other.astype(np.int64), limits, pa.int64()),
-    ]
-    return pa.RecordBatch.from_arrays(columns, names=["shard", "piece", "keys", "more"])
+
+# ---------------------------------------------------------------- scoring
 
 
 def score(docs: DataFrame, training: DataFrame) -> DataFrame:
@@ -492,85 +410,172 @@ def score(docs: DataFrame, training: DataFrame) -> DataFrame:
     token, the end.  ``base_score`` comes from exact counts of single tokens,
     ``score`` from the model.  Without training texts every token has
     probability one.  Texts of any length are scored whole.  Repeated rows get
-    equal scores; columns with the added names are replaced.
+    equal scores; columns with the added names are replaced.  The rows of
+    ``docs`` must come in the same order when a lost task is run again, as those
+    of files do.
+
+    Texts are read once.  A piece of texts sends its probes to the shards, and
+    the rows with what can be summed without them along; both meet again by piece.
     """
-    free_shuffles(docs.sparkSession)
-    learnt = learn(training)
-    model, shards = learnt.model, learnt.shards
+    spark = docs.sparkSession
+    free_shuffles(spark)
+    bounded_batches(spark)
+    model, rare_words = learn(training)
     added = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
     others = [c for c in docs.columns if c not in (*added, "text")]
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = spark.sparkContext.broadcast(model)
     row = F.struct(*[F.col(f"`{c}`") for c in others]).alias("docs_row")
     chosen = docs.select(row, "text")
-    parts = (
-        "row bigint, n_tokens bigint, common double, added double, n_common bigint, rare array<bigint>, rare_n array<bigint>, "
-        "b array<bigint>, t array<bigint>, probes array<struct<shard:bigint,piece:bigint,keys:array<bigint>,more:array<bigint>>>"
-    )
+    kind = chosen.schema["docs_row"].dataType.simpleString()
+    home = f"home array<struct<docs_row:{kind},n_tokens:bigint,n_known:bigint,base:double,more:double>>"
+    kinds = {"texts": pa.int32(), "gained": pa.float32(), "logs": pa.float64(), "known": pa.int64()}
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # Rows are numbered in their task; they are stored once, so later stages see the same numbers.
-        first_row = TaskContext.get().partitionId() << 40
+    def run_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        words, shards = model.words, model.shards
+        # Pieces are numbered in their task.
+        piece = TaskContext.get().partitionId() << 40
+        own_logs, context = np.log10(words.counts + 0.5), context_logs(words.counts)
         for batch in batches:
-            data, offs = buffer_of(batch.column(1))
-            for first, last, part, at in pieces(data, offs):
-                tokens, begin = tokens_of(part, at)
-                base, more, n_common, (asker, asked), (odd, b, t), owner, rare = shared.value.scores(tokens, begin)
-                order = np.lexsort((rare, owner))
-                owner, rare = owner[order], rare[order]
-                fresh = np.ones(len(rare), bool)
-                fresh[1:] = (owner[1:] != owner[:-1]) | (rare[1:] != rare[:-1])
-                heads = np.flatnonzero(fresh)
-                times = np.diff(np.concatenate([heads, [len(rare)]]))
+            for first, last, data, offs in pieces(*buffer_of(batch.column(1)), PART):
+                tokens, begin = tokens_of(data, offs)
                 texts = last - first
-                limits = np.searchsorted(owner[heads], np.arange(texts + 1))
-                odd_limits = np.searchsorted(odd, np.arange(texts + 1))
-                # The probes of a piece are with its first text.
-                probes = dealt(asked, asker, first_row, shards) if shards else dealt(asked[:0], asker[:0], first_row, 1)
-                probe_limits = np.append(0, np.full(texts, probes.num_rows))
-                columns = [
+                owner = np.repeat(np.arange(texts), np.diff(begin))
+                keys, place, hashed = pairs_of(words, tokens, begin)
+                common = place >= 0
+                end = words.find(np.array([END]))[0]
+                base = np.bincount(owner[common], own_logs[place[common]], texts)
+                # A context for each token but the first, whose context is an end, as is the last token.
+                more = np.bincount(owner[common], context[place[common]], texts)
+                step = probed(model.hot, keys)
+                hot = common & (step > 0)
+                more += np.bincount(owner[hot], model.gains(step[hot], words.counts[place[hot]]), texts)
+                ask, rare = np.flatnonzero(common & ~hot), np.flatnonzero(~common)
+                if not model.total:
+                    base += model.log_base * np.diff(begin)
+                    ask, rare = ask[:0], rare[:0]
+                asked = distinct(owner[ask], keys[ask])
+                seldom = distinct(owner[rare], tokens[rare], hashed[rare] & LOW)
+                who, n = (np.concatenate([asked[k], seldom[k]]) for k in (0, -1))
+                columns = dealt(shards, piece, asked[1], seldom[1], seldom[2], who, n)
+                sent = len(columns["shard"])
+                if sent:
+                    homes = pa.nulls(sent, home_type(batch))
+                    yield pa.RecordBatch.from_arrays([*columns.values(), homes], names=[*columns, "home"])
+                fields = [
                     batch.column(0).slice(first, texts),
-                    pa.array(first_row + np.arange(texts)),
                     pa.array(np.diff(begin)),
-                    pa.array(base),
-                    pa.array(more),
-                    pa.array(n_common.astype(np.int64)),
-                    ragged(signed(rare[heads]), limits, pa.int64()),
-                    ragged(times.astype(np.int64), limits, pa.int64()),
-                    ragged(b, odd_limits, pa.int64()),
-                    ragged(t, odd_limits, pa.int64()),
-                    pa.ListArray.from_arrays(pa.array(probe_limits, pa.int32()), probes.to_struct_array()),
+                    pa.array(np.bincount(owner[common], minlength=texts).astype(np.int64)),
+                    pa.array(base.astype(np.float64)),
+                    pa.array(more.astype(np.float64)),
                 ]
-                names = ["docs_row", "row", "n_tokens", "common", "added", "n_common", "rare", "rare_n", "b", "t", "probes"]
-                yield pa.RecordBatch.from_arrays(columns, names=names)
-                first_row += texts
+                rows = pa.StructArray.from_arrays(fields, names=["docs_row", "n_tokens", "n_known", "base", "more"])
+                empty = {name: binary_column(keys[:0], np.zeros(2, np.int64), 8) for name in ("near", "far", "rare", "prev")}
+                lists = {name: ragged(np.zeros(0), np.zeros(2), of) for name, of in (("who", pa.int32()), ("n", pa.int64()))}
+                at_home = {"shard": pa.array([piece % shards], pa.int32()), "piece": pa.array([piece])} | empty | lists
+                at_home["home"] = pa.ListArray.from_arrays(pa.array([0, texts], pa.int32()), rows)
+                yield pa.RecordBatch.from_arrays(list(at_home.values()), names=list(at_home))
+                piece += 1
+
+    def home_type(batch: pa.RecordBatch) -> pa.DataType:
+        names = [("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("more", pa.float64())]
+        return pa.list_(pa.struct([("docs_row", batch.column(0).type), *names]))
+
+    def run_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, shard = -1, Shard(shared.value)
+        for batch in batches:
+            data, limits = zip(*[buffer_of(batch.column(k)) for k in (2, 3, 4, 5)])
+            who, n = (batch.column(k).flatten().to_numpy(zero_copy_only=False) for k in (6, 7))
+            ends = offsets_of(batch.column(6))
+            shard_no, piece = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            # Rows of one shard that learn the same, or all ask, are taken together.
+            turn = np.flatnonzero(np.diff(shard_no * 4 + np.minimum(piece, 0), prepend=-9, append=-9))
+            for a, b in zip(turn[:-1], turn[1:]):
+                if shard_no[a] != at:
+                    at, shard = shard_no[a], Shard(shared.value)
+                near, far, rare, prev = (
+                    values_of(d[limit[a] : limit[b]], width) for d, limit, width in zip(data, limits, WIDTHS)
+                )
+                keys, mine = np.concatenate([near, far]), n[ends[a] : ends[b]]
+                if piece[a] == WORDS_FIRST:
+                    shard.words.append((rare, mine.copy()))
+                    continue
+                # Values are in order of rows and kinds; here all of a kind come together.
+                sizes = [np.diff(limit[a : b + 1]) // width for limit, width in zip(limits[:3], WIDTHS)]
+                order = np.argsort(np.repeat(np.tile([0, 1, 2], b - a), np.stack(sizes, 1).ravel()), kind="stable")
+                if piece[a] == THEN_PAIRS:
+                    shard.pairs.append((keys, mine[order]))
+                    continue
+                if shard.filter is None:
+                    shard.close()
+                row = np.repeat(np.arange(b - a), np.diff(ends[a : b + 1])) << 32
+                asks = (row | who[ends[a] : ends[b]])[order]
+                texts, *sums = shard.sums(keys, rare, prev, asks, mine[order])
+                lists = np.searchsorted(texts, np.arange(b - a + 1) << 32)
+                columns = [ragged(x, lists, of) for x, of in zip([(texts & 0xFFFFFFFF).astype(np.int32), *sums], kinds.values())]
+                here = slice(a, b)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(1)[here], batch.column(8)[here], *columns], names=["piece", "home", *kinds]
+                )
 
-    kind = chosen.schema["docs_row"].dataType.simpleString()
-    scored = stored(chosen.mapInArrow(run, f"docs_row {kind}, {parts}"), "scored")
-    rare = scored.select("row", F.explode(F.arrays_zip("rare", "rare_n")).alias("t")).select(
-        "row", F.col("t.rare").alias("key"), F.col("t.rare_n").alias("times")
-    )
-    known = rare.join(learnt.words, "key", "left")
-    sums = known.groupBy("row").agg(
-        F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("rare_log"),
-        F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("rare_known"),
-        F.sum(F.col("times") * F.coalesce("log_weight", F.lit(0.0))).alias("gained"),
-    )
-    gained = sums.select("row", "gained")
-    if learnt.rare_pairs is not None:
-        asked = scored.select("row", F.explode(F.arrays_zip("b", "t")).alias("p")).select("row", "p.b", "p.t")
-        gained = gained.unionByName(asked.join(learnt.rare_pairs, ["b", "t"]).select("row", F.col("gain").alias("gained")))
-    if shards:
-        gained = gained.unionByName(gains_of_shards(learnt, scored.select(F.inline("probes")), shared))
-    gained = gained.groupBy("row").agg(F.sum("gained").alias("gained"))
-    base = F.col("common") + F.coalesce("rare_log", F.lit(0.0)) - F.col("n_tokens") * F.lit(model.log_base)
-    return scored.join(sums.drop("gained"), "row", "left").join(gained, "row", "left").select(
-        "docs_row.*",
-        "n_tokens",
-        (F.col("n_common") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
-        F.lit(int(model.total)).cast("long").alias("train_tokens"),
-        base.alias("base_score"),
-        (base + F.col("added") + F.coalesce("gained", F.lit(0.0))).alias("score"),
-    )
+    def run_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def finished() -> pa.RecordBatch:
+            names = ["docs_row", "n_tokens", "n_known", "base_score", "score"]
+            rows, (gained, logs, known) = home_rows, totals
+            n_tokens = rows.field("n_tokens").to_numpy(zero_copy_only=False)
+            base = rows.field("base").to_numpy(zero_copy_only=False) + logs - n_tokens * model.log_base
+            columns = [
+                rows.field("docs_row"),
+                rows.field("n_tokens"),
+                pa.array(rows.field("n_known").to_numpy(zero_copy_only=False) + known.astype(np.int64)),
+                pa.array(base),
+                pa.array(base + rows.field("more").to_numpy(zero_copy_only=False) + gained),
+            ]
+            return pa.RecordBatch.from_arrays(columns, names=names)
+
+        model = shared.value
+        at, home_rows, totals = -1, None, []
+        for batch in batches:
+            homes = batch.column(1)
+            limits = offsets_of(batch.column(2))
+            texts, *sums = (batch.column(k).flatten().to_numpy(zero_copy_only=False) for k in range(2, 6))
+            for i, piece in enumerate(batch.column(0).to_pylist()):
+                if homes[i].is_valid:
+                    if home_rows is not None:
+                        yield finished()
+                    at, home_rows = piece, homes[i].values
+                    totals = [np.zeros(len(home_rows)) for _ in range(3)]
+                    continue
+                mine = slice(limits[i], limits[i + 1])
+                for total, values in zip(totals, sums):
+                    total[texts[mine]] += values[mine]
+        if home_rows is not None:
+            yield finished()
+
+    sent = chosen.mapInArrow(run_texts, f"{SHARD_ROW}, {home}")
+    shards = model.shards
+    if model.total:
+        learnt = dealt_words(rare_words, shards).unionByName(dealt_pairs(training, shared))
+        sent = learnt.unionByName(sent, allowMissingColumns=True)
+    meeting = sent.repartition(shards, "shard").sortWithinPartitions("shard", "piece")
+    back = meeting.mapInArrow(run_shards, f"piece bigint, {home}, texts array<int>, gained array<float>, logs array<double>, known array<bigint>")
+    # The row with the texts of a piece comes first.
+    back = back.repartition(shards, "piece").sortWithinPartitions("piece", F.col("home").isNull())
+    summed_up = back.mapInArrow(run_back, f"docs_row {kind}, n_tokens bigint, n_known bigint, base_score double, score double")
+    train_tokens = F.lit(int(model.total)).cast("long").alias("train_tokens")
+    return summed_up.select("docs_row.*", "n_tokens", "n_known", train_tokens, "base_score", "score")
+
+
+def distinct(owner: np.ndarray, *keys: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct (owner, keys...) in order of the owner, and how often each is there."""
+    order = np.lexsort((*keys[::-1], owner))
+    sides = [owner[order], *[k[order] for k in keys]]
+    fresh = np.zeros(len(owner), bool)
+    fresh[:1] = True
+    for side in sides:
+        fresh[1:] |= side[1:] != side[:-1]
+    heads = np.flatnonzero(fresh)
+    return (*[side[heads] for side in sides], np.diff(np.append(heads, len(owner))))
 
 
 def op8_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:

@@ -91,8 +91,8 @@ def base_scores(docs):
     }
 
 
-def pair_scores(docs, units, steps):
-    """Scores from the counts of all pairs, in units of a share of the tokens or in ones where they are rarer."""
+def pair_scores(docs, steps, prior):
+    """Scores from the quantised counts of all pairs, with the base probabilities as prior."""
     tokens = {d[0]: [None, *words(d[1]), None] for d in docs}
     one, two = Counter(), Counter()
     for doc_id, t in tokens.items():
@@ -101,18 +101,9 @@ def pair_scores(docs, units, steps):
             two.update(zip(t, t[1:]))
     total = sum(one.values())
     alone = lambda x: (one[x] + 0.5) / (total + 0.5 * (len(one) + 1))
-
-    def share(b, x):
-        unit = total / units if two[b, x] * units >= total else 1.0
-        return min(unit * 2 ** (math.floor(math.log2(two[b, x] / unit) * steps + 1e-9) / steps) / one[b], 1.0)
-
-    taken, freed = Counter(), Counter()
-    for b, x in two:
-        taken[b] += share(b, x)
-        freed[b] += alone(x)
-    left = {b: max(1 - taken[b], 1e-4) / max(1 - freed[b], 1e-4) for b in taken}
+    seen = lambda n: 2 ** (math.floor(math.log2(n) * steps + 1e-9) / steps) if n else 0.0
     return {
-        doc_id: sum(math.log10(share(b, x) if (b, x) in two else alone(x) * left.get(b, 1.0)) for b, x in zip(t, t[1:]))
+        doc_id: sum(math.log10((seen(two[b, x]) + prior * alone(x)) / (one[b] + prior)) for b, x in zip(t, t[1:]))
         for doc_id, t in tokens.items()
     }
 

@@ -10,6 +10,7 @@ from collections import Counter
 import brute
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 from checking import connect, spark_rows, sql_rows
 from convprep.llm import bpe, fingerprints, html_text, jaccard_join, language_id, lm_scoring, mixing, sharding, substring_dedup
@@ -242,27 +243,27 @@ def test_lm_scoring(spark, folder, rows_of_folder):
     assert better > 0.5 * len(found) or "sf0" not in folder
 
 
-@pytest.mark.parametrize("units, entries", [(1 << 20, 1 << 20), (300, 1000), (2, 1 << 20)])
-def test_lm_scoring_counts_all_pairs(spark, small, rows_of_folder, units, entries, monkeypatch):
+@pytest.mark.parametrize("units, hot, entries", [(1 << 20, 1 << 14, 1 << 23), (300, 300, 20000), (2, 2, 1 << 23)])
+def test_lm_scoring_counts_all_pairs(spark, small, rows_of_folder, units, hot, entries, monkeypatch):
     monkeypatch.setattr(lm_scoring, "UNITS", units)
+    monkeypatch.setattr(lm_scoring, "HOT", hot)
     monkeypatch.setattr(lm_scoring, "ENTRIES", entries)
+    monkeypatch.setattr(lm_scoring, "SHARDS", 3)
     docs = rows_of_folder(small)
-    scores = brute.pair_scores(docs, units, lm_scoring.STEPS)
     found = QUERIES["op8_lm_scoring"](spark, small).collect()
+    scores = brute.pair_scores(docs, lm_scoring.STEPS, lm_scoring.PRIOR)
     equal = sum(r["score"] == pytest.approx(scores[r["doc_id"]], rel=1e-6) for r in found)
     # A filter may take a pair for held that is not.
     assert len(found) == len(docs) and equal >= 0.97 * len(docs)
 
 
-def test_filter_gives_the_steps_of_its_pairs(spark):
+def test_filter_gives_the_steps_of_its_pairs():
     import numpy as np
 
-    keys, counts = np.arange(500, dtype=np.int64) * 977, np.arange(1, 501, dtype=np.int64)
-    pairs = spark.createDataFrame([(int(k), int(n)) for k, n in zip(keys, counts)], "key bigint, n bigint")
-    bits = lm_scoring.filled_filter(pairs, 10.0)
-    words = lm_scoring.Words(np.zeros(0, np.uint64), np.zeros(0, np.int64))
-    model = lm_scoring.Model(words, 10 * lm_scoring.UNITS, 1, np.ones(0), bits)
-    assert (model.steps(keys) == np.maximum(lm_scoring.steps_of(counts, 10.0), 0)).all()
+    keys, counts = np.arange(500, dtype=np.uint64) * np.uint64(977), np.arange(1, 501, dtype=np.int64)
+    held = lm_scoring.filled(keys, counts)
+    assert (lm_scoring.probed(held, keys) == lm_scoring.steps_of(counts)).all()
+    assert (lm_scoring.probed(held, keys + np.uint64(1 << 40)) == 0).mean() > 0.99
 
 
 def test_fingerprints(spark, folder, rows_of_folder):
