@@ -53,7 +53,7 @@ HOT = 1 << 14
 STEPS = 4
 #: Weight of the base probability, in tokens.
 PRIOR = 64.0
-PROBES = 3
+PROBES = 4
 #: Bits of the place of a frequent word in a key of two, and of the word before it in such a key.
 PLACE_BITS = 21
 BEFORE_BITS = 42
