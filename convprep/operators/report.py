@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from convprep.operators.turns import FINGERPRINT
@@ -26,6 +26,44 @@ def funnel(facts: DataFrame) -> DataFrame:
     return _long(counts, ["loaded", "valid", "invalid", "unique", "duplicate"])
 
 
+class Funnel:
+    """Counts from files to distinct rows, gathered by the passes that do the work.
+
+    A plan watches its rows where it reads them and where it has found the
+    distinct ones; the counts are there when the plan has stored these rows.
+    """
+
+    def __init__(self) -> None:
+        self._seen: list[Observation] = []
+
+    def watch(self, rows: DataFrame, *counts: Column) -> DataFrame:
+        """The same rows; what runs over them also counts."""
+        self._seen.append(Observation())
+        return rows.observe(self._seen[-1], *counts)
+
+    def read(self, rows: DataFrame, valid: Column = F.lit(True)) -> DataFrame:
+        """Rows of a reader: all, those it could not decode, and those that are not ``valid``."""
+        decoded = F.col("problem").isNull()
+        return self.watch(
+            rows,
+            F.count(F.lit(1)).alias("loaded"),
+            F.count_if(~decoded).alias("undecodable"),
+            F.count_if(decoded & ~F.coalesce(valid, F.lit(False))).alias("invalid"),
+        )
+
+    def unique(self, rows: DataFrame) -> DataFrame:
+        return self.watch(rows, F.count(F.lit(1)).alias("unique"))
+
+    def report(self, spark: SparkSession) -> DataFrame:
+        """``stage, n``: loaded, undecodable, invalid, duplicate, unique, over all watched sides."""
+        n = dict.fromkeys(("loaded", "undecodable", "invalid", "unique"), 0)
+        for seen in self._seen:
+            for stage, count in seen.get.items():
+                n[stage] += count
+        n["duplicate"] = n["loaded"] - n["undecodable"] - n["invalid"] - n["unique"]
+        return spark.createDataFrame(list(n.items()), "stage string, n bigint")
+
+
 def split_sizes(rows: DataFrame) -> DataFrame:
     """``stage, n`` with the size of each side of a split."""
     return rows.groupBy(F.col("split").alias("stage")).agg(F.count(F.lit(1)).alias("n"))

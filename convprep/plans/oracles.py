@@ -364,6 +364,23 @@ ORACLES: dict[str, str] = {
     UNION ALL SELECT 'invalid', count(*) FROM v WHERE NOT valid
     UNION ALL SELECT 'unique', count(*) FROM f
     UNION ALL SELECT 'duplicate', (SELECT count(*) FROM v WHERE valid) - (SELECT count(*) FROM f)""",
+    "funnel_full": _with(
+        ("m", f"SELECT chat_id::VARCHAR AS chat_id, pos, role, content FROM ({TWICE}) UNION ALL {DEFECT_MESSAGES}"),
+        *_valid("m"),
+        *_unique("m"),
+        ("u", "SELECT DISTINCT chat_id FROM m WHERE content IS NULL OR role IS NULL"),
+        ("p", f"SELECT count(*) AS n, count(DISTINCT (prompt, completion)) AS k FROM ({PAIRS})"),
+    )
+    + """SELECT 'rows' AS kind, 'loaded' AS stage, 3 * n AS n FROM p
+    UNION ALL SELECT 'rows', 'undecodable', n FROM p
+    UNION ALL SELECT 'rows', 'invalid', 0
+    UNION ALL SELECT 'rows', 'unique', k FROM p
+    UNION ALL SELECT 'rows', 'duplicate', 2 * n - k FROM p
+    UNION ALL SELECT 'chats', 'loaded', count(*) FROM v
+    UNION ALL SELECT 'chats', 'undecodable', count(*) FROM u
+    UNION ALL SELECT 'chats', 'invalid', count(*) FROM v WHERE NOT valid AND chat_id NOT IN (SELECT chat_id FROM u)
+    UNION ALL SELECT 'chats', 'unique', count(*) FROM f
+    UNION ALL SELECT 'chats', 'duplicate', (SELECT count(*) FROM v WHERE valid) - (SELECT count(*) FROM f)""",
     "split_exact": _with(("m", TWICE), *_valid("m"), *_unique("m"), *_split("f", 0.2))
     + "SELECT chat_id, split FROM sp",
     "split_report": _with(("m", MESSAGES), *_valid("m"), *_unique("m"), *_split("f", 0.29))

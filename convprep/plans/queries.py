@@ -23,7 +23,7 @@ from convprep.operators.compact import compact_samples, rendered
 from convprep.operators.dedupe import cast_declared, chat_facts, dedupe_chats, dedupe_rows, first_chats
 from convprep.operators.inference import batch_generate, extract_replies, request_prompts
 from convprep.operators.lengths import choose_length, sample_tokens
-from convprep.operators.report import funnel, preview, split_sizes
+from convprep.operators.report import Funnel, funnel, preview, split_sizes
 from convprep.operators.running import block_of
 from convprep.operators.samples import EXACT, REFERENCE
 from convprep.operators.seen import SeenChats
@@ -482,8 +482,8 @@ def utf8_drop_report(spark, folder):
     return dropped_rows(spark, _bad_bytes_file(spark, folder))
 
 
-def training_rows_query(spark, folder):
-    """The first 0.8 of the distinct readable pairs of one file, in its order, are to train on."""
+def _pairs_twice_and_bad(spark, folder):
+    """CSV files with every pair twice and once more with bytes that are no text, in order."""
     path = scratch_path(spark, "pairs-csv")
     as_bytes = lambda c: F.decode(F.encode(F.col(c), "UTF-8"), "ISO-8859-1")
     tail = F.explode(F.array(F.lit(""), F.lit(""), F.lit("\u00ff")))
@@ -492,7 +492,25 @@ def training_rows_query(spark, folder):
     ordered.select(
         as_bytes("prompt").alias("prompt"), F.concat(as_bytes("completion"), F.col("tail")).alias("completion")
     ).write.options(**writers.CSV_WRITE).option("encoding", "ISO-8859-1").csv(path, header=True)
-    return training_rows(spark, path)
+    return path
+
+
+def training_rows_query(spark, folder):
+    """The first 0.8 of the distinct readable pairs of one file, in its order, are to train on."""
+    return training_rows(spark, _pairs_twice_and_bad(spark, folder))
+
+
+def funnel_full(spark, folder):
+    """What became of the records of CSV files and of the chats of a folder, counted while they were prepared."""
+    rows, chats = Funnel(), Funnel()
+    training_rows(spark, _pairs_twice_and_bad(spark, folder), funnel=rows)
+    base = scratch_path(spark, "folder")
+    written = _twice(_messages(spark, folder)).withColumn("chat_id", F.col("chat_id").cast("string"))
+    defects = _with_defects(_messages(spark, folder)).select("chat_id", "pos", "role", "content")
+    writers.write_chat_jsonl(chat_table(written.unionByName(defects)), f"{base}/train")
+    prepare(spark, f"{base}/train", eval_fraction=0.2, profile=SECTIONED, budget=512, funnel=chats)
+    reports = [f.report(spark).select(F.lit(name).alias("kind"), "stage", "n") for name, f in (("rows", rows), ("chats", chats))]
+    return reports[0].unionByName(reports[1])
 
 
 def format_detect(spark, folder):
@@ -625,6 +643,7 @@ QUERIES: dict[str, Query] = {
     "chat_row_dedupe": chat_row_dedupe,
     "row_dedupe": row_dedupe,
     "funnel_report": funnel_report,
+    "funnel_full": funnel_full,
     "split_exact": split_exact_query,
     "split_report": split_report,
     "split_ordered": split_ordered_query,

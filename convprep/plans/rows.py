@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from convprep.functions.rendering import training_text
-from convprep.operators.report import require_rows
+from convprep.operators.report import Funnel, require_rows
 from convprep.operators.split import EVAL, TRAIN, split_ordered
 from convprep.plans.session import stored
 from convprep.sources.readers import accepted, problem_counts, read_prepared_csv
@@ -14,9 +14,10 @@ from convprep.sources.readers import accepted, problem_counts, read_prepared_csv
 DECLARED = ("prompt", "completion")
 
 
-def clean_rows(read: DataFrame) -> DataFrame:
+def clean_rows(read: DataFrame, funnel: Funnel | None = None) -> DataFrame:
     """``source, prompt, completion`` of the readable records, the first of equal ones."""
-    return accepted(read).groupBy(*DECLARED).agg(F.min("source").alias("source"))
+    funnel = funnel or Funnel()
+    return funnel.unique(accepted(funnel.read(read)).groupBy(*DECLARED).agg(F.min("source").alias("source")))
 
 
 def numbered(rows: DataFrame) -> DataFrame:
@@ -37,21 +38,26 @@ def numbered(rows: DataFrame) -> DataFrame:
 
 
 def training_rows(
-    spark: SparkSession, train_path: str, eval_path: str | None = None, train_ratio: float = 0.8
+    spark: SparkSession,
+    train_path: str,
+    eval_path: str | None = None,
+    train_ratio: float = 0.8,
+    funnel: Funnel | None = None,
 ) -> DataFrame:
     """``prompt, completion, text, split`` of prepared CSV files.
 
     Records that are not UTF-8 go (see ``dropped_rows``), copies on a side
     become one, ``text`` is prompt and completion without the spaces at the
     seam.  Without evaluation files the first ``train_ratio`` of the rows in
-    file order are ``train``.  An empty side is an error.
+    file order are ``train``.  An empty side is an error.  A ``funnel`` counts
+    what was kept and dropped on both sides, without a scan of its own.
     """
-    train = stored(clean_rows(read_prepared_csv(spark, train_path, DECLARED)), "rows")
+    train = stored(clean_rows(read_prepared_csv(spark, train_path, DECLARED), funnel), "rows")
     if eval_path is None:
         require_rows(train, "no rows to train on")
         rows = split_ordered(stored(numbered(train), "numbered"), train_ratio, "place")
     else:
-        evaluation = stored(clean_rows(read_prepared_csv(spark, eval_path, DECLARED)), "rows")
+        evaluation = stored(clean_rows(read_prepared_csv(spark, eval_path, DECLARED), funnel), "rows")
         sides = ((TRAIN, train), (EVAL, evaluation))
         for name, side in sides:
             require_rows(side, f"no rows on the {name} side")

@@ -136,3 +136,17 @@ def test_training_rows(spark, tmp_path):
     (tmp_path / "c.csv").write_bytes(b"prompt,completion\nbad,\xff\n")
     with pytest.raises(ValueError, match="no rows on the eval side"):
         training_rows(spark, path, str(tmp_path / "c.csv"))
+
+
+def test_one_funnel_counts_both_sides_without_a_scan_of_its_own(spark, tmp_path):
+    from convprep.operators.report import Funnel
+    from convprep.plans.rows import training_rows
+
+    (tmp_path / "train.csv").write_bytes(b'"prompt","completion"\n"a","b"\n"a","b"\n"c","\xff"\n"e","f"\n')
+    (tmp_path / "eval.csv").write_bytes(b'"prompt","completion"\n"a","b"\n')
+    funnel = Funnel()
+    rows = training_rows(spark, str(tmp_path / "train.csv"), str(tmp_path / "eval.csv"), funnel=funnel)
+    # The counts are there before the rows are asked for.
+    report = {r["stage"]: r["n"] for r in funnel.report(spark).collect()}
+    assert report == {"loaded": 5, "undecodable": 1, "invalid": 0, "unique": 3, "duplicate": 1}
+    assert rows.count() == 3
