@@ -41,14 +41,15 @@ class Funnel:
         self._seen.append(Observation())
         return rows.observe(self._seen[-1], *counts)
 
-    def read(self, rows: DataFrame, valid: Column = F.lit(True)) -> DataFrame:
+    def read(self, rows: DataFrame, valid: Column | None = None) -> DataFrame:
         """Rows of a reader: all, those it could not decode, and those that are not ``valid``."""
         decoded = F.col("problem").isNull()
+        invalid = F.lit(False) if valid is None else ~F.coalesce(valid, F.lit(False))
         return self.watch(
             rows,
             F.count(F.lit(1)).alias("loaded"),
             F.count_if(~decoded).alias("undecodable"),
-            F.count_if(decoded & ~F.coalesce(valid, F.lit(False))).alias("invalid"),
+            F.count_if(decoded & invalid).alias("invalid"),
         )
 
     def unique(self, rows: DataFrame) -> DataFrame:

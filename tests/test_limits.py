@@ -140,7 +140,6 @@ def test_training_rows(spark, tmp_path):
 
 def test_one_funnel_counts_both_sides_without_a_scan_of_its_own(spark, tmp_path):
     from convprep.operators.report import Funnel
-    from convprep.plans.rows import training_rows
 
     (tmp_path / "train.csv").write_bytes(b'"prompt","completion"\n"a","b"\n"a","b"\n"c","\xff"\n"e","f"\n')
     (tmp_path / "eval.csv").write_bytes(b'"prompt","completion"\n"a","b"\n')
