@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 CSV_WRITE = {
@@ -42,28 +43,46 @@ def write_chat_jsonl(chats: DataFrame, path: str, overwrite: bool = False) -> No
     write_table(chats.select("messages"), path, "jsonl", overwrite)
 
 
+SIDES = ("train", "test")
+#: Folder of the list of splits, hidden from readers of the rows; it is written last.
+MANIFEST = "_splits"
+
+
 def write_splits(rows: DataFrame, path: str, overwrite: bool = False) -> None:
-    """Both sides in one pass, under ``split=train`` and ``split=test``."""
+    """Both sides in one pass, under ``split=train`` and ``split=test``, and then the list of splits with their sizes.
+
+    The same pass counts the sizes.  A set without the list is not whole, so a
+    write that fails leaves nothing that ``read_splits`` takes for a set; write
+    it again with ``overwrite``.
+    """
     named = rows.withColumn("split", F.when(F.col("split") == "eval", "test").otherwise(F.col("split")))
-    named.write.mode(_mode(overwrite)).partitionBy("split").parquet(path)
+    sizes = Observation()
+    counted = named.observe(sizes, *[F.count_if(F.col("split") == side).alias(side) for side in SIDES])
+    counted.write.mode(_mode(overwrite)).partitionBy("split").parquet(path)
+    listed = [(side, n) for side, n in sizes.get.items() if n]
+    spark = rows.sparkSession
+    spark.createDataFrame(listed, "split string, n bigint").coalesce(1).write.json(f"{path}/{MANIFEST}")
 
 
 def side_of(split: str) -> str:
     """A name that contains ``train`` is the train side, else ``test`` the test side."""
-    for side in ("train", "test"):
+    for side in SIDES:
         if side in split:
             return side
     raise ValueError(f"{split!r} names neither the train nor the test side")
 
 
 def read_splits(spark: SparkSession, path: str, splits: str = "train,test") -> DataFrame:
-    """The named splits of a written set, each of which must be there; only their folders are read."""
+    """The named splits of a set that was written whole, each of which must be there; only their folders are read."""
     sides = {name: side_of(name) for name in splits.split(",")}
+    try:
+        listed = spark.read.schema("split string, n bigint").json(f"{path}/{MANIFEST}").collect()
+    except AnalysisException as missing:
+        raise FileNotFoundError(f"{path} has no list of splits, so it was not written whole") from missing
+    for name in sides.keys() - {r["split"] for r in listed}:
+        raise FileNotFoundError(f"{path} has no split {name!r}")
     side = F.lit(None).cast("string")
     for name, value in sides.items():
         side = F.when(F.col("split") == name, value).otherwise(side)
     rows = spark.read.parquet(path)
-    for name in sides:
-        if rows.filter(F.col("split") == name).isEmpty():
-            raise FileNotFoundError(f"{path} has no split {name!r}")
     return rows.filter(F.col("split").isin(*sides)).withColumn("split", side)

@@ -218,3 +218,20 @@ def test_named_splits(spark, tmp_path):
     assert (side_of("my_train_test"), side_of("testing")) == ("train", "test")
     with pytest.raises(ValueError):
         side_of("dev")
+
+
+def test_a_write_that_fails_leaves_no_set(spark, tmp_path):
+    path = str(tmp_path / "s")
+    rows = spark.range(0, 100, 1, 4).selectExpr("CAST(id AS string) AS text", "IF(id % 5 = 0, 'eval', 'train') AS split")
+    failing = rows.withColumn("text", F.when(F.col("text") == "99", F.raise_error(F.lit("lost"))).otherwise(F.col("text")))
+    with pytest.raises(Exception, match="lost"):
+        write_splits(failing, path)
+    with pytest.raises(FileNotFoundError, match="not written whole"):
+        read_splits(spark, path)
+    write_splits(rows, path, overwrite=True)
+    assert read_splits(spark, path).groupBy("split").count().orderBy("split").collect() == [("test", 20), ("train", 80)]
+    # What fails over a whole set does not leave the old list beside new rows.
+    with pytest.raises(Exception, match="lost"):
+        write_splits(failing, path, overwrite=True)
+    with pytest.raises(FileNotFoundError):
+        read_splits(spark, path)
