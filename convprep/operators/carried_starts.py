@@ -4,22 +4,29 @@ Under the stateful rule the start of a context depends on the one before, back
 to the first turn.  To follow it through a long chat in parallel, each segment
 is first turned into a step function from the start carried in to the start
 carried out; step functions of consecutive segments are composed in groups, the
-compositions in groups again, and the actual starts are then handed down.  No
-group is larger than three segments of turns or ``FANOUT`` functions (the last
+compositions in groups again, and the actual starts are then handed down.  Only
+chats of several segments go this way.  No group is larger than three segments of turns or ``FANOUT`` functions (the last
 step: one row per ``FANOUT`` squared segments of a chat), and only numbers are
 moved.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from convprep.operators.chats import with_chat_facts
+from convprep.plans.session import stored
+
 FANOUT = 256
+#: Turns that meet in one call of a Python function, on average.
+GATHERED = 4096
+
+_FUNCTION = ["chat_id", "segment", "entries", "exits"]
 
 
 def _steps(entries: np.ndarray, exits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -32,16 +39,24 @@ def _apply(entries: np.ndarray, exits: np.ndarray, at: np.ndarray) -> np.ndarray
     return np.asarray(exits)[np.searchsorted(entries, at, side="right") - 1]
 
 
-def _segment_function(budget: int, credit: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    def step_function(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("rank")
-        own = (rows["segment"] == rows["into"]).to_numpy()
+def _runs(rows: pd.DataFrame, keys: list[str], order: str) -> Iterator[dict[str, np.ndarray]]:
+    """The rows of each key, in order, as arrays."""
+    rows = rows.sort_values([*keys, order])
+    begins = np.flatnonzero((rows[keys] != rows[keys].shift()).any(axis=1).to_numpy())
+    columns = {name: rows[name].to_numpy() for name in rows.columns}
+    for low, high in zip(begins, [*begins[1:], len(rows)]):
+        yield {name: values[low:high] for name, values in columns.items()}
+
+
+def _segment_functions(budget: int, credit: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    def step_function(rows: dict[str, np.ndarray]) -> tuple | None:
+        own = rows["segment"] == rows["into"]
         if not own.any():
-            return pd.DataFrame(columns=["chat_id", "segment", "entries", "exits"], dtype=object)
-        first = int(rows["rank"].iloc[0])
-        place = np.arange(len(rows))
-        credited = rows["pre"].to_numpy() + credit * place
-        needed = (rows["base"] + rows["pre"] + rows["cost"]).to_numpy() - budget
+            return None
+        first = int(rows["rank"][0])
+        place = np.arange(len(own))
+        credited = rows["pre"] + credit * place
+        needed = rows["base"] + rows["pre"] + rows["cost"] - budget
         state = place[: max(int((~own).sum()), 1)]
         entries = state
         label = np.arange(len(state))
@@ -51,40 +66,33 @@ def _segment_function(budget: int, credit: int) -> Callable[[pd.DataFrame], pd.D
             state, merged = np.unique(state, return_inverse=True)
             label = merged[label]
         entries, exits = _steps(entries, state[label])
-        return pd.DataFrame(
-            {
-                "chat_id": [rows["chat_id"].iloc[0]],
-                "segment": [rows["into"].iloc[0]],
-                "entries": [entries + first],
-                "exits": [exits + first],
-            }
-        )
+        return rows["chat_id"][0], rows["into"][0], entries + first, exits + first
+
+    def step_functions(rows: pd.DataFrame) -> pd.DataFrame:
+        made = [step_function(run) for run in _runs(rows, ["chat_id", "into"], "rank")]
+        return pd.DataFrame([m for m in made if m is not None], columns=_FUNCTION)
 
-    return step_function
+    return step_functions
 
 
 def _compose(rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values("segment")
-    entries, exits = np.asarray(rows["entries"].iloc[0]), np.asarray(rows["exits"].iloc[0])
-    for e, x in zip(rows["entries"].iloc[1:], rows["exits"].iloc[1:]):
-        entries, exits = _steps(entries, _apply(e, x, exits))
-    return pd.DataFrame(
-        {
-            "chat_id": [rows["chat_id"].iloc[0]],
-            "segment": [rows["part"].iloc[0]],
-            "entries": [entries],
-            "exits": [exits],
-        }
-    )
+    out = []
+    for run in _runs(rows, ["chat_id", "part"], "segment"):
+        entries, exits = run["entries"][0], run["exits"][0]
+        for e, x in zip(run["entries"][1:], run["exits"][1:]):
+            entries, exits = _steps(entries, _apply(e, x, exits))
+        out.append((run["chat_id"][0], run["part"][0], entries, exits))
+    return pd.DataFrame(out, columns=_FUNCTION)
 
 
 def _hand_down(rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values("segment")
-    at, out = int(rows["entry"].iloc[0]), []
-    for e, x in zip(rows["entries"], rows["exits"]):
-        out.append(at)
-        at = int(_apply(e, x, np.asarray([at]))[0])
-    return pd.DataFrame({"chat_id": rows["chat_id"], "segment": rows["segment"], "entry": out})
+    out = []
+    for run in _runs(rows, ["chat_id", "part"], "segment"):
+        at = int(run["entry"][0])
+        for chat_id, segment, e, x in zip(run["chat_id"], run["segment"], run["entries"], run["exits"]):
+            out.append((chat_id, segment, at))
+            at = int(_apply(e, x, np.asarray([at]))[0])
+    return pd.DataFrame(out, columns=["chat_id", "segment", "entry"])
 
 
 def carried_starts(kept: DataFrame, budget: int, credit: int, fanout: int = FANOUT) -> DataFrame:
@@ -93,18 +101,37 @@ def carried_starts(kept: DataFrame, budget: int, credit: int, fanout: int = FANO
     ``kept`` has ``chat_id, base, rank, pre, cost, segment`` for each kept turn.
     A start carried in lies in one of the two segments before.
     """
+    chats = kept.groupBy("chat_id").agg(F.max("segment").alias("_last"))
+    # A chat of one segment carries nothing; most are.
+    alone = chats.filter("_last = 0").select(
+        "chat_id", F.lit(0).cast("long").alias("segment"), F.lit(0).cast("long").alias("entry")
+    )
+    several = stored(
+        with_chat_facts(kept, chats.filter("_last > 0").select("chat_id"), "rank").select(
+            "chat_id", "base", "rank", "pre", "cost", "segment"
+        ),
+        "several",
+    )
+    n = several.count()
+    if n == 0:
+        return alone
+    buckets = n // GATHERED + 1
     key = f"chat_id {kept.schema['chat_id'].dataType.simpleString()}"
     function = f"{key}, segment bigint, entries array<bigint>, exits array<bigint>"
     placed = f"{key}, segment bigint, entry bigint"
     into = F.explode(F.array(*[F.col("segment") + i for i in range(3)]))
-    copies = kept.select("chat_id", "base", "rank", "pre", "cost", "segment", into.alias("into"))
-    in_parts = lambda rows: rows.withColumn("part", F.expr(f"segment div {fanout}"))
-    composed = lambda rows: in_parts(rows.groupBy("chat_id", "part").applyInPandas(_compose, function))
-    steps = in_parts(copies.groupBy("chat_id", "into").applyInPandas(_segment_function(budget, credit), function))
-    parts = composed(steps)
-    wholes = composed(parts)
-    begun = wholes.withColumn("entry", F.lit(0).cast("long")).groupBy("chat_id").applyInPandas(_hand_down, placed)
+    copies = several.withColumn("into", into)
+    # A call for each group would cost more than its work, so groups are dealt out to buckets of about equal size.
+    together = lambda rows, by: rows.groupBy(
+        F.pmod(F.xxhash64("chat_id", by), F.lit(buckets)).alias("bucket")
+    )
+    in_parts = lambda rows: rows.withColumn("part", F.expr(f"segment div {fanout}"))
+    composed = lambda rows: in_parts(together(rows, "part").applyInPandas(_compose, function))
+    steps = stored(in_parts(together(copies, "into").applyInPandas(_segment_functions(budget, credit), function)), "steps")
+    parts = stored(composed(steps), "parts")
+    whole = composed(parts).withColumn("entry", F.lit(0).cast("long")).withColumn("part", F.lit(0).cast("long"))
+    begun = together(whole, "part").applyInPandas(_hand_down, placed)
     for level in (parts, steps):
         entered = level.join(begun.withColumnRenamed("segment", "part"), ["chat_id", "part"])
-        begun = entered.groupBy("chat_id", "part").applyInPandas(_hand_down, placed)
-    return begun
+        begun = together(entered, "part").applyInPandas(_hand_down, placed)
+    return alone.unionByName(begun)

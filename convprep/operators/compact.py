@@ -44,11 +44,11 @@ def compact_samples(
     facts = combine_turn_facts(numbered_turns(blocked, profile, counter, block)[1])
     heads = chat_heads(facts, blocked, profile, counter, [])
     kept = kept_turns(facts, heads, budget, context_window(budget, profile, mode, empty), block)
-    turns = kept.select("chat_id", "segment", "rank", F.struct("rank", "turn", F.col("cost").cast("int").alias("cost")).alias("_turn"))
+    turn = F.struct("rank", "turn", F.col("cost").cast("int").alias("cost"))
+    turns = kept.select("chat_id", "base", "segment", "rank", turn.alias("_turn"))
     # Nothing is carried where every chat is one segment.
     carried = EXACT if mode == EXACT or kept.filter("segment > 0").isEmpty() else mode
-    segments = with_carried(turn_segments(turns), kept, budget, empty, carried)
-    full = with_chat_facts(segments, heads.select("chat_id", "base"), "_into")
+    full = with_carried(turn_segments(turns, ["base"]), kept, budget, empty, carried)
     credit = F.lit(0) if mode == EXACT else F.lit(empty)
     # Separate projections, as in the rendering of whole segments.
     folded = (

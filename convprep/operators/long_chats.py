@@ -28,6 +28,7 @@ from convprep.operators.turns import (
     preamble_rows,
     turn_facts,
 )
+from convprep.plans.session import stored
 from convprep.profiles import Profile, profile_columns
 
 def context_window(budget: int, profile: Profile, mode: str, base_tokens: int) -> int:
@@ -83,9 +84,9 @@ def empty_base(messages: DataFrame, profile: Profile, counter) -> int:
 
 
 def numbered_turns(blocked: DataFrame, profile: Profile, counter, block: int) -> tuple[DataFrame, DataFrame]:
-    """Messages with their turn and cost, and the facts of each part of a turn that lies in a block."""
+    """Messages with their turn and cost, and the stored facts of each part of a turn that lies in a block."""
     numbered = message_turns(message_costs(blocked, profile, counter), block)
-    return numbered, turn_facts(numbered, ["chat_id", "turn", "block"])
+    return numbered, stored(turn_facts(numbered, ["chat_id", "turn", "block"]), "turn-facts")
 
 
 def chat_heads(facts: DataFrame, messages: DataFrame, profile: Profile, counter, extra: list[str]) -> DataFrame:
@@ -97,13 +98,16 @@ def chat_heads(facts: DataFrame, messages: DataFrame, profile: Profile, counter,
 
 
 def kept_turns(facts: DataFrame, heads: DataFrame, budget: int, window: int, block: int) -> DataFrame:
-    """The turns that make a sample, with the tokens and turns before them and their segment."""
+    """The turns that make a sample, with the tokens and turns before them and their segment; a stored table of numbers."""
     ended = facts.filter(F.col("end_pos").isNotNull() & (F.col("cost") > 0))
     kept = with_chat_facts(ended.select("chat_id", "turn", "cost"), heads.select("chat_id", "base"), "turn")
     kept = kept.filter(F.col("base") + F.col("cost") <= budget).withColumn("_one", F.lit(1).cast("long"))
+    kept = stored(kept, "fitting-turns")
     kept = running_total(kept, ["chat_id"], "turn", "cost", "pre", block)
     kept = running_total(kept, ["chat_id"], "turn", "_one", "rank", block)
-    return kept.withColumn("segment", F.expr(f"(pre + cost - 1) div {window}")).drop("_one")
+    kept = kept.withColumn("segment", F.expr(f"(pre + cost - 1) div {window}")).drop("_one")
+    # Each running total reads its rows twice, and the callers read these several times.
+    return stored(kept, "kept-turns")
 
 
 def turn_texts(numbered: DataFrame, pieces: DataFrame, placed: DataFrame, profile: Profile) -> DataFrame:
@@ -131,12 +135,15 @@ def turn_texts(numbered: DataFrame, pieces: DataFrame, placed: DataFrame, profil
     )
 
 
-def turn_segments(turns: DataFrame) -> DataFrame:
-    """``_turn`` structs gathered by segment, each with the turns of the segment before as context."""
+def turn_segments(turns: DataFrame, extra: list[str] | None = None) -> DataFrame:
+    """``_turn`` structs gathered by segment, each with the turns of the segment before as context.
+
+    ``extra`` names chat-level columns of ``turns`` to carry along.
+    """
     copies = turns.withColumn("_into", F.explode(F.array(F.col("segment"), F.col("segment") + 1)))
     own = F.col("segment") == F.col("_into")
     return (
-        copies.groupBy("chat_id", "_into")
+        copies.groupBy("chat_id", "_into", *(extra or []))
         .agg(
             F.array_sort(F.collect_list("_turn")).alias("turns"),
             F.count_if(~own).cast("int").alias("own_from"),

@@ -26,3 +26,11 @@ def test_starts_handed_through_many_segments(spark):
     kept = spark.createDataFrame(rows, "chat_id long, base long, rank long, pre long, cost long, segment long")
     got = {(r.chat_id, r.segment): r.entry for r in carried_starts(kept, budget, credit, fanout=4).collect()}
     assert got == want
+
+
+def test_chats_of_one_segment_need_no_python(spark):
+    rows = [(chat, 4, k, 10 * k, 10, 0) for chat in range(5) for k in range(3)]
+    kept = spark.createDataFrame(rows, "chat_id long, base long, rank long, pre long, cost long, segment long")
+    starts = carried_starts(kept, 40, 4)
+    assert "InPandas" not in starts._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, starts.collect())) == [(chat, 0, 0) for chat in range(5)]

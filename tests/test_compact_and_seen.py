@@ -106,3 +106,10 @@ def test_the_corpus_is_not_shuffled(spark, chats, tmp_path):
                         break
     assert checked == 2
     seen.close()
+
+
+def test_every_step_of_compact_samples_is_planned_once(spark, chats):
+    """Steps that are read several times are stored; planned anew for each reader, the plan has hundreds of scans."""
+    messages = stored(messages_of(chats([("User", "a b c"), ("Chatbot", "d")] * 300, [("User", "a"), ("Chatbot", "b")])), "m")
+    plan = compact_samples(messages, MARKED, 60, REFERENCE, block=16)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") < 10
