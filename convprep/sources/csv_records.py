@@ -4,9 +4,11 @@ A line end inside quotes does not end a record, and whether a line begins inside
 quotes depends on all lines before it in its file.  So every line is first taken
 as a function: whether it ends inside quotes, if it begins outside and if it
 begins inside.  There are four such functions; they compose associatively, so
-each input split is summed up by one of them, the splits of a file are put
-together in order, and then every split knows how it begins.  Records that go
-on over the border of a split are joined from their parts.
+each chunk, a number of lines of an input split, is summed up by one of them,
+the chunks of a file are put together in order, and then every chunk knows how
+it begins, and which record goes on into it.  Records that go on over the
+border of a chunk are joined from their parts.  Chunks keep windows and groups
+small whatever the size of a split; the text moves once, by chunk.
 
 Line ends are LF or CR LF.  A quotation mark counts at the beginning of a field
 only; elsewhere in an unquoted field it is a character.
@@ -17,11 +19,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from convprep.plans.session import stored
+
 QUOTE = '"'
 # Where a line can be: at the beginning of a field, inside an unquoted one, inside quotes, after a mark in quotes.
 _FIELD, _PLAIN, _QUOTED, _MARK = 0, 1, 2, 3
 
-_SPLIT = ["file", "start"]
+#: Lines of a chunk.
+LINES = 1024
+
+_CHUNK = ["file", "start", "part"]
 
 
 def file_lines(spark: SparkSession, path: str, line_end: str | None = None) -> DataFrame:
@@ -82,73 +89,88 @@ def _value(composition: str, begins: Column) -> Column:
     return F.when(c["fixed"], c["inside"]).otherwise(c["inside"] != begins)
 
 
-def split_begins(lines: DataFrame) -> DataFrame:
-    """``file, start, begins``: whether each input split begins inside quotes; splits without quotes are left out.
+def _followed(changes: str, begins_quoted: bool) -> Column:
+    """``inside, opened`` at the end of a chunk that begins as told: whether it ends inside quotes, and the row of the
+    record that goes on, if it began in the chunk."""
+    nothing = F.struct(F.lit(begins_quoted).alias("inside"), F.lit(None).cast("long").alias("opened"))
+
+    def after(state: Column, line: Column) -> Column:
+        inside = F.when(state["inside"], line["into"]).otherwise(line["out"])
+        opened = F.when(inside, F.when(state["inside"], state["opened"]).otherwise(line["row"]))
+        return F.struct(inside.alias("inside"), opened.alias("opened"))
+
+    return F.aggregate(changes, nothing, after)
+
+
+def chunk_table(lines: DataFrame) -> DataFrame:
+    """One row for each chunk: ``begins``, whether it begins inside quotes, and the sources of records that matter to it.
 
-    Only lines that change something are ordered, and then one row for each split.
+    ``origin`` is the record that it begins in, ``opened`` the row of the record
+    that begins in it and goes on after it, ``header`` the first of its file.
     """
-    changing = lines.filter(F.col("out") | ~F.col("into")).select(*_SPLIT, "row", "out", "into")
-    last = F.max_by("_a", "row")
-    splits = composed(changing, _SPLIT, ["row"]).groupBy(*_SPLIT).agg(last.alias("_s"))
-    functions = splits.select(
-        *_SPLIT, F.col("_s.inside").alias("out"), (F.col("_s.fixed") == F.col("_s.inside")).alias("into")
+    changes = F.when(F.col("out") | ~F.col("into"), F.struct("row", "out", "into"))
+    filled = F.when(~F.col("value").isin("", "\r"), F.col("row"))
+    chunks = (
+        lines.groupBy(*_CHUNK)
+        .agg(F.min(filled).alias("_filled"), F.array_sort(F.collect_list(changes)).alias("_changes"))
+        .select(
+            *_CHUNK,
+            "_filled",
+            _followed("_changes", False).alias("_outside"),
+            _followed("_changes", True).alias("_inside"),
+        )
+    )
+    functions = chunks.withColumn("out", F.col("_outside.inside")).withColumn("into", F.col("_inside.inside"))
+    begun = composed(functions, ["file"], ["start", "part"]).withColumn("begins", _value("_b", F.lit(False)))
+    opened = F.when(F.col("begins"), F.col("_inside.opened")).otherwise(F.col("_outside.opened"))
+    source = lambda row: F.when(row.isNotNull(), F.struct("file", "start", row.alias("row")))
+    before = Window.partitionBy("file").orderBy("start", "part").rowsBetween(Window.unboundedPreceding, -1)
+    return begun.withColumn("opened", opened).select(
+        *_CHUNK,
+        "begins",
+        "opened",
+        F.last(source(F.col("opened")), ignorenulls=True).over(before).alias("origin"),
+        F.min(source(F.col("_filled"))).over(Window.partitionBy("file")).alias("header"),
     )
-    return composed(functions, ["file"], ["start"]).select(*_SPLIT, _value("_b", F.lit(False)).alias("begins"), "_a")
 
 
-def csv_records(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
+def csv_records(spark: SparkSession, path: str, sep: str = ",", header: bool = False) -> DataFrame:
     """``source, value``: the records of CSV files as text, in any number of tasks; ``source`` is that of the first line.
 
-    Empty lines outside quotes are no records.  A file that ends inside quotes
-    ends its last record.  Bytes are kept as they are.
+    Empty lines outside quotes are no records; with ``header`` the first record
+    of each file is none.  A file that ends inside quotes ends its last record.
+    Bytes are kept as they are.  One row for each chunk is stored.
     """
     lines = file_lines(spark, path, "\n").select(
         F.col("source.file").alias("file"),
         F.col("source.start").alias("start"),
+        F.expr(f"source.row div {LINES}").alias("part"),
         F.col("source.row").alias("row"),
         "value",
         ends_quoted(F.col("value"), False, sep).alias("out"),
         ends_quoted(F.col("value"), True, sep).alias("into"),
     )
-    marked = split_begins(lines)
-    # A split without any change begins as the one before it ends.
-    every = lines.groupBy(*_SPLIT).agg(F.count(F.lit(1)).alias("_lines")).select(*_SPLIT)
-    so_far = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
-    begins = every.join(marked, _SPLIT, "left").select(
-        *_SPLIT, F.coalesce(F.last(_value("_a", F.lit(False)), ignorenulls=True).over(so_far), F.lit(False)).alias("begins")
-    )
-    stated = composed(lines, _SPLIT, ["row"]).join(begins, _SPLIT)
-    before, after = _value("_b", F.col("begins")), _value("_a", F.col("begins"))
-    in_split = Window.partitionBy(*_SPLIT).orderBy("row").rowsBetween(Window.unboundedPreceding, 0)
-    placed = stated.withColumn("_open", after).withColumn(
-        "_first", F.last(F.when(~before, F.col("row")), ignorenulls=True).over(in_split)
-    )
-    # Co-located with the windows: the text moves once.
-    parts = placed.groupBy(*_SPLIT, "_first").agg(
-        _joined(F.array_sort(F.collect_list(F.struct("row", "value")))).alias("value"),
-        F.max_by("_open", "row").alias("_open"),
-    )
-    source = F.struct("file", "start", F.col("_first").alias("row"))
-    whole = parts.filter(F.col("_first").isNotNull() & ~F.col("_open")).select(source.alias("source"), "value")
-    # At most two parts of a split are left: where it begins inside a record, and a record that goes on.
-    left = parts.filter(F.col("_first").isNull() | F.col("_open"))
-    begun = F.last(F.when(F.col("_first").isNotNull(), source), ignorenulls=True)
-    in_file = Window.partitionBy("file").orderBy("start", F.col("_first").asc_nulls_first())
-    over = left.withColumn("source", begun.over(in_file.rowsBetween(Window.unboundedPreceding, 0)))
-    piece = F.struct("start", (F.col("_first").isNotNull()).alias("row"), "value")
-    joined = over.groupBy("source").agg(_joined(F.array_sort(F.collect_list(piece))).alias("value"))
-    records = whole.unionByName(joined)
+    chunks = stored(chunk_table(lines), "csv-chunks")
+    stated = composed(lines, _CHUNK, ["row"]).join(chunks, _CHUNK)
+    in_chunk = Window.partitionBy(*_CHUNK).orderBy("row").rowsBetween(Window.unboundedPreceding, 0)
+    first = F.last(F.when(~_value("_b", F.col("begins")), F.col("row")), ignorenulls=True).over(in_chunk)
+    placed = stated.withColumn("_first", first)
+    # Parts of a record in several chunks: where a chunk begins inside a record, and the record that goes on.
+    over = F.col("_first").isNull() | F.coalesce(F.col("_first") == F.col("opened"), F.lit(False))
+    begun = F.struct("file", "start", F.col("_first").alias("row"))
+    placed = placed.withColumn("source", F.coalesce(F.when(F.col("_first").isNull(), F.col("origin")), begun))
+    if header:
+        placed = placed.filter(F.col("source") != F.col("header"))
+    # Co-located with the windows: the text moves once, and what lies across borders once more.
+    whole = placed.filter(~over).groupBy(*_CHUNK, "_first").agg(_joined("row", "value").alias("value"))
+    joined = placed.filter(over).groupBy("source").agg(_joined("start", "row", "value").alias("value"))
+    records = whole.select(begun.alias("source"), "value").unionByName(joined)
     # Regular expressions would replace bytes that are not UTF-8.
     shorter = F.substring(F.col("value"), F.lit(1), F.length("value") - 1)
     value = F.when(F.endswith("value", F.lit("\r")), shorter).otherwise(F.col("value"))
     return records.withColumn("value", value).filter(F.col("value") != "")
 
 
-def _joined(pieces: Column) -> Column:
+def _joined(*columns: str) -> Column:
+    pieces = F.array_sort(F.collect_list(F.struct(*columns)))
     return F.array_join(F.transform(pieces, lambda x: x["value"]), "\n")
-
-
-def without_headers(records: DataFrame) -> DataFrame:
-    """The records but the first of each file; one row for each file is compared."""
-    first = records.groupBy("source.file").agg(F.min("source").alias("_header")).select("_header")
-    return records.join(first, F.col("source") == F.col("_header"), "left_anti")

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from convprep.functions.messages import MESSAGES_DDL, pair_messages
-from convprep.sources.csv_records import csv_records, file_lines, without_headers
+from convprep.sources.csv_records import csv_records, file_lines
 
 WHITESPACE = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0"
 
@@ -190,7 +190,7 @@ def read_prepared_csv(
     """
     named = spark.read.options(**CSV_OPTIONS).csv(path, header=True).columns
     columns = ", ".join(f"c{k} string" for k in range(len(named)))
-    records = without_headers(csv_records(spark, path))
+    records = csv_records(spark, path, header=True)
     good = F.is_valid_utf8("value")
     parsed = records.withColumn("_row", F.from_csv("value", columns, FIELD_OPTIONS))
     # ISO-8859-1 maps each byte to one character and back.

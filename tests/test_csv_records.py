@@ -85,3 +85,33 @@ def test_the_text_moves_once(spark, tmp_path):
     text = plan._jdf.queryExecution().executedPlan().toString()
     final = text.split("Initial Plan")[0]
     assert "CartesianProduct" not in final and "SinglePartition" not in final
+
+
+@pytest.mark.parametrize("lines", [1, 2, 5])
+def test_records_do_not_depend_on_the_chunks(spark, tmp_path, monkeypatch, lines):
+    monkeypatch.setattr("convprep.sources.csv_records.LINES", lines)
+    rng = random.Random(lines)
+    expected = []
+    for k in range(2):
+        pairs = [("\n\n\n", "a\n" * 20), *random_pairs(rng, 40)]
+        (tmp_path / f"{k}.csv").write_bytes(written(pairs, quoting=csv.QUOTE_ALL if k else csv.QUOTE_MINIMAL))
+        expected += pairs
+    got = accepted(read_prepared_csv(spark, str(tmp_path))).orderBy("source.file", "source.start", "source.row").collect()
+    assert [(r.prompt, r.completion) for r in got] == expected
+
+
+def test_no_text_is_ordered_by_file_or_compared_with_headers(spark, tmp_path):
+    """One row for each chunk is; the records themselves meet by chunk, and parts of one record by its source."""
+    (tmp_path / "a.csv").write_bytes(written(random_pairs(random.Random(2), 20)))
+    plan = read_prepared_csv(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftAnti" not in plan and "windowspecdefinition(file#" in plan
+    for window in plan.split("windowspecdefinition(")[1:]:
+        assert window.split(",")[1].strip().startswith("start#")
+
+
+def test_headers_after_empty_lines_and_over_several_chunks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("convprep.sources.csv_records.LINES", 2)
+    (tmp_path / "a.csv").write_bytes(b'\n\r\n"a\n\nb\n",c\nd,e\n')
+    (tmp_path / "b.csv").write_bytes(b'f\n"g\n\n\nh",')
+    rows = csv_records(spark, str(tmp_path), header=True).orderBy("source.file", "source.row").collect()
+    assert [r.value for r in rows] == ["d,e", '"g\n\n\nh",']
