@@ -42,6 +42,15 @@ def skeleton(line: Column) -> Column:
     return F.regexp_replace(plain, r'([:\[,]\s*)"[^"]*"(?!\s*:)', '$1""')
 
 
+def computed(rows: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns whose expressions run once a row, however often the columns are used.
+
+    A filter or projection is merged into a projection below it, with a copy of
+    its expressions for each use, but not into a generator.
+    """
+    return rows.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
+
+
 def line_numbers(lines: DataFrame, wanted: DataFrame) -> DataFrame:
     """Add the 1-based ``line`` of its file to each row of ``wanted``.
 
@@ -89,11 +98,13 @@ def read_chat_jsonl(spark: SparkSession, path: str, strict: bool = False) -> Dat
 
 def parse_chat_lines(lines: DataFrame) -> DataFrame:
     """``source, value`` lines as ``source, messages, problem, value``; a row-wise step."""
-    quoted = quote_numbers(F.col("value"), ["content", "role"])
-    parsed = lines.withColumn("_json", F.try_parse_json(skeleton(quoted)))
+    quoted = computed(lines, _quoted=quote_numbers(F.col("value"), ["content", "role"]))
     shape = "OBJECT<messages: ARRAY<OBJECT<content: STRING, role: STRING>>>"
-    messages = F.from_json(quoted, f"messages {MESSAGES_DDL}", JSON_OPTIONS)["messages"]
-    typed = parsed.withColumn("_messages", messages)
+    typed = computed(
+        quoted,
+        _json=F.try_parse_json(skeleton(F.col("_quoted"))),
+        _messages=F.from_json("_quoted", f"messages {MESSAGES_DDL}", JSON_OPTIONS)["messages"],
+    )
     # The shape is that of all messages merged, so a key missing from one of
     # them shows as a NULL field only.
     complete = F.forall("_messages", lambda m: m["role"].isNotNull() & m["content"].isNotNull())
@@ -104,7 +115,7 @@ def parse_chat_lines(lines: DataFrame) -> DataFrame:
         .when(F.col("_messages").isNull(), "malformed_json")
         .when(~complete, "structure")
     )
-    return typed.withColumn("problem", problem).select(
+    return computed(typed, problem=problem).select(
         "source",
         F.when(F.col("problem").isNull(), F.col("_messages")).alias("messages"),
         "problem",
@@ -118,10 +129,13 @@ def read_pair_jsonl(spark: SparkSession, path: str, strict: bool = False) -> Dat
     Blank lines are skipped and other keys ignored.
     """
     # This set matches at either end, not inside, so no text is lost.
-    lines = file_lines(spark, path).filter(F.trim(F.col("value"), F.lit(WHITESPACE)) != "")
-    quoted = quote_numbers(F.trim(F.col("value"), F.lit(WHITESPACE)), ["prompt", "completion"])
-    parsed = lines.withColumn("_json", F.try_parse_json(skeleton(quoted))).withColumn(
-        "_pair", F.from_json(quoted, "prompt string, completion string", JSON_OPTIONS)
+    trimmed = computed(file_lines(spark, path), _text=F.trim(F.col("value"), F.lit(WHITESPACE)))
+    lines = trimmed.filter(F.col("_text") != "")
+    quoted = computed(lines, _quoted=quote_numbers(F.col("_text"), ["prompt", "completion"]))
+    parsed = computed(
+        quoted,
+        _json=F.try_parse_json(skeleton(F.col("_quoted"))),
+        _pair=F.from_json("_quoted", "prompt string, completion string", JSON_OPTIONS),
     )
     part = lambda key: F.try_variant_get("_json", f"$.{key}", "variant")
     text = lambda key: F.col("_pair")[key]
@@ -139,7 +153,7 @@ def read_pair_jsonl(spark: SparkSession, path: str, strict: bool = False) -> Dat
         .when(text("prompt").isNull() | text("completion").isNull(), "malformed_json")
     )
     good = F.col("problem").isNull()
-    rows = parsed.withColumn("problem", problem).select(
+    rows = computed(parsed, problem=problem).select(
         "source",
         F.when(good, text("prompt")).alias("prompt"),
         F.when(good, text("completion")).alias("completion"),

@@ -235,3 +235,11 @@ def test_a_write_that_fails_leaves_no_set(spark, tmp_path):
         write_splits(failing, path, overwrite=True)
     with pytest.raises(FileNotFoundError):
         read_splits(spark, path)
+
+
+@pytest.mark.parametrize("read", [read_pair_jsonl, read_chat_jsonl])
+def test_lines_are_parsed_once(spark, tmp_path, read):
+    """A filter on the problem is not another reason to parse."""
+    (tmp_path / "a.jsonl").write_text("{}\n")
+    plan = accepted(read(spark, str(tmp_path)))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(") == 1 and plan.count("regexp_replace(") == 3
