@@ -425,11 +425,11 @@ def pair_csv_round_trip(spark, folder):
 
 
 def csv_split_ranges(spark, folder):
-    """One file of all pairs, whose quoted line ends and marks lie across the borders of many small input splits."""
-    path = scratch_path(spark, "one-csv")
+    """Files of all pairs, whose quoted line ends and marks lie across the borders of many small input splits."""
+    path = scratch_path(spark, "marked-csv")
     marked = F.concat("completion", F.lit('\n"quoted",\r\n"" end'))
     pairs = _pairs(spark, folder).select("prompt", marked.alias("completion"))
-    pairs.coalesce(1).write.options(**writers.CSV_WRITE).csv(path, header=True)
+    pairs.write.options(**writers.CSV_WRITE).csv(path, header=True)
     small = spark.newSession()
     small.conf.set("spark.sql.files.maxPartitionBytes", "64k")
     return readers.accepted(readers.read_prepared_csv(small, path)).select("prompt", "completion")

@@ -6,6 +6,7 @@ import random
 
 import pytest
 
+from convprep.plans import queries
 from convprep.sources.csv_records import csv_records
 from convprep.sources.readers import accepted, read_pair_csv, read_prepared_csv
 
@@ -115,3 +116,17 @@ def test_headers_after_empty_lines_and_over_several_chunks(spark, tmp_path, monk
     (tmp_path / "b.csv").write_bytes(b'f\n"g\n\n\nh",')
     rows = csv_records(spark, str(tmp_path), header=True).orderBy("source.file", "source.row").collect()
     assert [r.value for r in rows] == ["d,e", '"g\n\n\nh",']
+
+
+def of_three_files(spark, small, tmp_path):
+    """The documents of a folder in three files, which are three partitions."""
+    documents = spark.read.parquet(f"{small}/documents.parquet")
+    documents.repartition(3).write.parquet(f"{tmp_path}/in/documents.parquet")
+    return f"{tmp_path}/in"
+
+
+def test_no_task_writes_all_pairs(spark, small, tmp_path, monkeypatch):
+    folder = of_three_files(spark, small, tmp_path)
+    monkeypatch.setattr(queries, "scratch_path", lambda spark, name: f"{tmp_path}/{name}")
+    queries.csv_split_ranges(spark, folder)
+    assert len(list(tmp_path.glob("*-csv/part-*.csv"))) == 3
