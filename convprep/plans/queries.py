@@ -488,7 +488,7 @@ def _pairs_twice_and_bad(spark, folder):
     as_bytes = lambda c: F.decode(F.encode(F.col(c), "UTF-8"), "ISO-8859-1")
     tail = F.explode(F.array(F.lit(""), F.lit(""), F.lit("\u00ff")))
     pairs = _pairs(spark, folder).select("doc_id", "prompt", "completion", tail.alias("tail"))
-    ordered = pairs.repartitionByRange(4, "doc_id").sortWithinPartitions("doc_id", "tail")
+    ordered = pairs.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "tail")
     ordered.select(
         as_bytes("prompt").alias("prompt"), F.concat(as_bytes("completion"), F.col("tail")).alias("completion")
     ).write.options(**writers.CSV_WRITE).option("encoding", "ISO-8859-1").csv(path, header=True)

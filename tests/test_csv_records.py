@@ -130,3 +130,11 @@ def test_no_task_writes_all_pairs(spark, small, tmp_path, monkeypatch):
     monkeypatch.setattr(queries, "scratch_path", lambda spark, name: f"{tmp_path}/{name}")
     queries.csv_split_ranges(spark, folder)
     assert len(list(tmp_path.glob("*-csv/part-*.csv"))) == 3
+
+
+def test_ordered_pairs_are_written_by_as_many_tasks_as_the_session_says(spark, small, tmp_path, monkeypatch):
+    monkeypatch.setattr(queries, "scratch_path", lambda spark, name: f"{tmp_path}/{name}")
+    wide = spark.newSession()
+    wide.conf.set("spark.sql.shuffle.partitions", "9")
+    wide.conf.set("spark.sql.adaptive.enabled", "false")
+    assert len(list(tmp_path.glob(queries._pairs_twice_and_bad(wide, small).split("/")[-1] + "/part-*.csv"))) == 9
