@@ -76,11 +76,12 @@ def read_splits(spark: SparkSession, path: str, splits: str = "train,test") -> D
     """The named splits of a set that was written whole, each of which must be there; only their folders are read."""
     sides = {name: side_of(name) for name in splits.split(",")}
     try:
-        listed = spark.read.schema("split string, n bigint").json(f"{path}/{MANIFEST}").collect()
+        listed = spark.read.schema("split string, n bigint").json(f"{path}/{MANIFEST}")
     except AnalysisException as missing:
         raise FileNotFoundError(f"{path} has no list of splits, so it was not written whole") from missing
-    for name in sides.keys() - {r["split"] for r in listed}:
-        raise FileNotFoundError(f"{path} has no split {name!r}")
+    for name in sides:
+        if listed.filter(F.col("split") == name).isEmpty():
+            raise FileNotFoundError(f"{path} has no split {name!r}")
     side = F.lit(None).cast("string")
     for name, value in sides.items():
         side = F.when(F.col("split") == name, value).otherwise(side)
