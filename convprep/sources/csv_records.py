@@ -10,6 +10,11 @@ it begins, and which record goes on into it.  Records that go on over the
 border of a chunk are joined from their parts.  Chunks keep windows and groups
 small whatever the size of a split; the text moves once, by chunk.
 
+The files are scanned twice, for the chunks and for the text, and both scans
+have to cut them alike.  They are parts of one query, so settings or executors
+that change before it runs change both; should the scans differ all the same,
+for executors that come or go while it starts, the query fails.
+
 Line ends are LF or CR LF.  A quotation mark counts at the beginning of a field
 only; elsewhere in an unquoted field it is a character.
 """
@@ -19,8 +24,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from convprep.plans.session import stored
-
 QUOTE = '"'
 # Where a line can be: at the beginning of a field, inside an unquoted one, inside quotes, after a mark in quotes.
 _FIELD, _PLAIN, _QUOTED, _MARK = 0, 1, 2, 3
@@ -107,14 +110,22 @@ def chunk_table(lines: DataFrame) -> DataFrame:
 
     ``origin`` is the record that it begins in, ``opened`` the row of the record
     that begins in it and goes on after it, ``header`` the first of its file.
+    Its rows are those from ``low`` to ``high``.
     """
     changes = F.when(F.col("out") | ~F.col("into"), F.struct("row", "out", "into"))
     filled = F.when(~F.col("value").isin("", "\r"), F.col("row"))
     chunks = (
         lines.groupBy(*_CHUNK)
-        .agg(F.min(filled).alias("_filled"), F.array_sort(F.collect_list(changes)).alias("_changes"))
+        .agg(
+            F.min("row").alias("low"),
+            F.max("row").alias("high"),
+            F.min(filled).alias("_filled"),
+            F.array_sort(F.collect_list(changes)).alias("_changes"),
+        )
         .select(
             *_CHUNK,
+            "low",
+            "high",
             "_filled",
             _followed("_changes", False).alias("_outside"),
             _followed("_changes", True).alias("_inside"),
@@ -124,22 +135,37 @@ def chunk_table(lines: DataFrame) -> DataFrame:
     begun = composed(functions, ["file"], ["start", "part"]).withColumn("begins", _value("_b", F.lit(False)))
     opened = F.when(F.col("begins"), F.col("_inside.opened")).otherwise(F.col("_outside.opened"))
     source = lambda row: F.when(row.isNotNull(), F.struct("file", "start", row.alias("row")))
-    before = Window.partitionBy("file").orderBy("start", "part").rowsBetween(Window.unboundedPreceding, -1)
+    in_file = Window.partitionBy("file").orderBy("start", "part")
+    before = in_file.rowsBetween(Window.unboundedPreceding, -1)
+    whole = in_file.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     return begun.withColumn("opened", opened).select(
         *_CHUNK,
+        "low",
+        "high",
         "begins",
         "opened",
         F.last(source(F.col("opened")), ignorenulls=True).over(before).alias("origin"),
-        F.min(source(F.col("_filled"))).over(Window.partitionBy("file")).alias("header"),
+        F.min(source(F.col("_filled"))).over(whole).alias("header"),
     )
 
 
+def with_chunks(lines: DataFrame, chunks: DataFrame) -> DataFrame:
+    """The lines with what their chunks say, none lost: a line that its chunk did not have is an error.
+
+    Both sides have every line of the files once, so if no line is over, all chunks are alike on both.
+    """
+    known = F.coalesce(F.col("row").between(F.col("low"), F.col("high")), F.lit(False))
+    failure = F.raise_error(F.concat(F.lit("the splits changed during the query over "), F.col("file")))
+    joined = lines.join(chunks, _CHUNK, "left")
+    return joined.filter(F.when(known, F.lit(True)).otherwise(failure.cast("boolean"))).drop("low", "high")
+
+
 def csv_records(spark: SparkSession, path: str, sep: str = ",", header: bool = False) -> DataFrame:
     """``source, value``: the records of CSV files as text, in any number of tasks; ``source`` is that of the first line.
 
     Empty lines outside quotes are no records; with ``header`` the first record
     of each file is none.  A file that ends inside quotes ends its last record.
-    Bytes are kept as they are.  One row for each chunk is stored.
+    Bytes are kept as they are.
     """
     lines = file_lines(spark, path, "\n").select(
         F.col("source.file").alias("file"),
@@ -150,8 +176,7 @@ def csv_records(spark: SparkSession, path: str, sep: str = ",", header: bool = F
         ends_quoted(F.col("value"), False, sep).alias("out"),
         ends_quoted(F.col("value"), True, sep).alias("into"),
     )
-    chunks = stored(chunk_table(lines), "csv-chunks")
-    stated = composed(lines, _CHUNK, ["row"]).join(chunks, _CHUNK)
+    stated = with_chunks(composed(lines, _CHUNK, ["row"]), chunk_table(lines))
     in_chunk = Window.partitionBy(*_CHUNK).orderBy("row").rowsBetween(Window.unboundedPreceding, 0)
     first = F.last(F.when(~_value("_b", F.col("begins")), F.col("row")), ignorenulls=True).over(in_chunk)
     placed = stated.withColumn("_first", first)

@@ -5,9 +5,11 @@ import io
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from convprep.plans import queries
-from convprep.sources.csv_records import csv_records
+from convprep.plans.session import stored
+from convprep.sources.csv_records import LINES, chunk_table, csv_records, file_lines, with_chunks
 from convprep.sources.readers import accepted, read_pair_csv, read_prepared_csv
 
 
@@ -138,3 +140,38 @@ def test_ordered_pairs_are_written_by_as_many_tasks_as_the_session_says(spark, s
     wide.conf.set("spark.sql.shuffle.partitions", "9")
     wide.conf.set("spark.sql.adaptive.enabled", "false")
     assert len(list(tmp_path.glob(queries._pairs_twice_and_bad(wide, small).split("/")[-1] + "/part-*.csv"))) == 9
+
+
+def test_no_record_is_lost_when_the_splits_change_before_the_query(spark, tmp_path):
+    pairs = [(f"p{k}\nq", f"c{k}") for k in range(3000)]
+    (tmp_path / "a.csv").write_bytes(written(pairs, header=False))
+    for built, run in ((3_000, 4_000), (4_000, 2_000)):
+        own = session(spark, built)
+        rows = accepted(read_pair_csv(own, str(tmp_path)))
+        own.conf.set("spark.sql.files.maxPartitionBytes", str(run))
+        got = rows.orderBy("source.start", "source.row").collect()
+        assert [(r.prompt, r.completion) for r in got] == pairs
+
+
+def test_chunks_of_other_splits_are_an_error(spark, tmp_path):
+    (tmp_path / "a.csv").write_bytes(written([(f"p{k}", f"c{k}") for k in range(3000)], header=False))
+    out = [F.lit(False).alias("out"), F.lit(True).alias("into")]
+    place = ["source.file", "source.start", F.expr(f"source.row div {LINES}").alias("part"), "source.row", "value"]
+    lines = {n: file_lines(session(spark, n), str(tmp_path)).select(*place, *out) for n in (2_000, 3_000)}
+    chunks = {n: stored(chunk_table(lines[n]), "chunks") for n in lines}
+    for n in lines:
+        assert with_chunks(lines[n], chunks[n]).count() == 3000
+    for n, other in ((2_000, 3_000), (3_000, 2_000)):
+        with pytest.raises(Exception, match="the splits changed"):
+            with_chunks(lines[n], chunks[other]).count()
+
+
+def test_the_lines_of_one_split_meet_in_many_tasks(spark, tmp_path):
+    (tmp_path / "a.csv").write_bytes(b"a,b\n" * 64 * LINES)
+    wide = session(spark, 1 << 30)
+    wide.conf.set("spark.sql.files.openCostInBytes", str(1 << 30))
+    wide.conf.set("spark.sql.shuffle.partitions", "8")
+    wide.conf.set("spark.sql.adaptive.enabled", "false")
+    shares = csv_records(wide, str(tmp_path)).groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in shares) == 64 * LINES
+    assert max(r["count"] for r in shares) < 32 * LINES
