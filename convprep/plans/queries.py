@@ -30,7 +30,7 @@ from convprep.operators.seen import SeenChats
 from convprep.operators.split import split_exact, split_ordered
 from convprep.operators.tensors import label_mask, pack, with_special, word_ids
 from convprep.operators.turns import message_costs, message_turns, preamble_rows, turn_facts, turn_verdicts
-from convprep.plans.session import scratch_path, stored
+from convprep.plans.session import scratch_path, shuffles_freed, stored
 from convprep.plans.files import prepare
 from convprep.plans.rows import dropped_rows, training_rows
 from convprep.plans.training import training_samples, training_set, training_sets
@@ -50,6 +50,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 # Added to the ids of a second copy of the chats.
 COPY = 1_000_000_000
+# Records of a packed CSV file.
+FILE_RECORDS = 1 << 15
 
 CUSTOM = Profile(
     "brackets",
@@ -482,16 +484,22 @@ def utf8_drop_report(spark, folder):
     return dropped_rows(spark, _bad_bytes_file(spark, folder))
 
 
-def _pairs_twice_and_bad(spark, folder):
-    """CSV files with every pair twice and once more with bytes that are no text, in order."""
+def _pairs_twice_and_bad(spark, folder, packed=False):
+    """CSV files with every pair twice and once more with bytes that are no text, in order; ``packed`` with gzip.
+
+    One task reads a whole packed file, so these are kept small.
+    """
     path = scratch_path(spark, "pairs-csv")
     as_bytes = lambda c: F.decode(F.encode(F.col(c), "UTF-8"), "ISO-8859-1")
     tail = F.explode(F.array(F.lit(""), F.lit(""), F.lit("\u00ff")))
-    pairs = _pairs(spark, folder).select("doc_id", "prompt", "completion", tail.alias("tail"))
-    ordered = pairs.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "tail")
-    ordered.select(
-        as_bytes("prompt").alias("prompt"), F.concat(as_bytes("completion"), F.col("tail")).alias("completion")
-    ).write.options(**writers.CSV_WRITE).option("encoding", "ISO-8859-1").csv(path, header=True)
+    # The copies are made where they are written, so each text is shuffled once.
+    ordered = _pairs(spark, folder).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    out = ordered.select(as_bytes("prompt").alias("prompt"), as_bytes("completion").alias("completion"), tail.alias("tail"))
+    files = out.select("prompt", F.concat("completion", "tail").alias("completion")).write.options(**writers.CSV_WRITE)
+    if packed:
+        files = files.option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS)
+    with shuffles_freed(spark):
+        files.option("encoding", "ISO-8859-1").csv(path, header=True)
     return path
 
 
@@ -503,11 +511,13 @@ def training_rows_query(spark, folder):
 def funnel_full(spark, folder):
     """What became of the records of CSV files and of the chats of a folder, counted while they were prepared."""
     rows, chats = Funnel(), Funnel()
-    training_rows(spark, _pairs_twice_and_bad(spark, folder), funnel=rows)
+    # As they are, the files would be larger than all else on disk.
+    training_rows(spark, _pairs_twice_and_bad(spark, folder, packed=True), funnel=rows)
     base = scratch_path(spark, "folder")
     written = _twice(_messages(spark, folder)).withColumn("chat_id", F.col("chat_id").cast("string"))
     defects = _with_defects(_messages(spark, folder)).select("chat_id", "pos", "role", "content")
-    writers.write_chat_jsonl(chat_table(written.unionByName(defects)), f"{base}/train")
+    with shuffles_freed(spark):
+        writers.write_chat_jsonl(chat_table(written.unionByName(defects)), f"{base}/train")
     prepare(spark, f"{base}/train", eval_fraction=0.2, profile=SECTIONED, budget=512, funnel=chats)
     reports = [f.report(spark).select(F.lit(name).alias("kind"), "stage", "n") for name, f in (("rows", rows), ("chats", chats))]
     return reports[0].unionByName(reports[1])

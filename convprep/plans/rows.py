@@ -15,16 +15,22 @@ DECLARED = ("prompt", "completion")
 
 
 def clean_rows(read: DataFrame, funnel: Funnel | None = None) -> DataFrame:
-    """``source, prompt, completion`` of the readable records, the first of equal ones."""
+    """Stored ``source, prompt, completion`` of the readable records, the first of equal ones.
+
+    The records are stored before copies are looked for, so the shuffle files
+    of the reader are gone when those of the search are written.
+    """
     funnel = funnel or Funnel()
-    return funnel.unique(accepted(funnel.read(read)).groupBy(*DECLARED).agg(F.min("source").alias("source")))
+    records = stored(accepted(funnel.read(read)), "records")
+    return stored(funnel.unique(records.groupBy(*DECLARED).agg(F.min("source").alias("source"))), "rows")
 
 
 def numbered(rows: DataFrame) -> DataFrame:
     """Add ``place``, an integer in the order of files and of records in them.
 
     Each input split gets a range of its own, as wide as its row numbers; one
-    row for each split goes through the window that puts them in order.
+    row for each split goes through the window that puts them in order.  As
+    many rows as the scan had splits are broadcast, so the text stays in place.
     """
     split = [F.col("source.file").alias("_file"), F.col("source.start").alias("_start")]
     widths = rows.groupBy(*split).agg(
@@ -34,7 +40,8 @@ def numbered(rows: DataFrame) -> DataFrame:
     at = F.coalesce(F.sum("_wide").over(before), F.lit(0))
     shifts = widths.select("_file", "_start", (at - F.col("_low")).alias("_shift"))
     same = (F.col("source.file") == F.col("_file")) & (F.col("source.start") == F.col("_start"))
-    return rows.join(shifts, same).withColumn("place", F.col("source.row") + F.col("_shift")).drop("_file", "_start", "_shift")
+    placed = rows.join(F.broadcast(stored(shifts, "shifts")), same)
+    return placed.withColumn("place", F.col("source.row") + F.col("_shift")).drop("_file", "_start", "_shift")
 
 
 def training_rows(
@@ -52,12 +59,12 @@ def training_rows(
     file order are ``train``.  An empty side is an error.  A ``funnel`` counts
     what was kept and dropped on both sides, without a scan of its own.
     """
-    train = stored(clean_rows(read_prepared_csv(spark, train_path, DECLARED), funnel), "rows")
+    train = clean_rows(read_prepared_csv(spark, train_path, DECLARED), funnel)
     if eval_path is None:
         require_rows(train, "no rows to train on")
-        rows = split_ordered(stored(numbered(train), "numbered"), train_ratio, "place")
+        rows = split_ordered(numbered(train), train_ratio, "place")
     else:
-        evaluation = stored(clean_rows(read_prepared_csv(spark, eval_path, DECLARED), funnel), "rows")
+        evaluation = clean_rows(read_prepared_csv(spark, eval_path, DECLARED), funnel)
         sides = ((TRAIN, train), (EVAL, evaluation))
         for name, side in sides:
             require_rows(side, f"no rows on the {name} side")

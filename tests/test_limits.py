@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import csv
+import gzip
+import io
 import json
 import shutil
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from convprep.operators.chats import dense_positions, messages_of, with_chat_facts
 from convprep.operators.dedupe import chat_facts
+from convprep.plans import queries
 from convprep.plans.files import prepare
-from convprep.plans.rows import training_rows
-from convprep.plans.session import local_folder
+from convprep.plans.rows import numbered, training_rows
+from convprep.plans.session import CLEANUP, local_folder, shuffles_freed, stored
 from convprep.plans.training import training_samples, training_set
 from convprep.profiles import PLAIN
 from convprep.sources.detect import detect_format
@@ -149,3 +154,56 @@ def test_one_funnel_counts_both_sides_without_a_scan_of_its_own(spark, tmp_path)
     report = {r["stage"]: r["n"] for r in funnel.report(spark).collect()}
     assert report == {"loaded": 5, "undecodable": 1, "invalid": 0, "unique": 3, "duplicate": 1}
     assert rows.count() == 3
+
+
+def shuffle_files(spark):
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    names = [files.apply(k).getName() for k in range(files.size())]
+    return {name for name in names if name.startswith("shuffle_")}
+
+
+def test_stored_tables_leave_no_shuffle_files(spark):
+    rows = spark.range(5000).groupBy((F.col("id") % 7).alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    before = shuffle_files(spark)
+    table = stored(rows, "counts")
+    assert not shuffle_files(spark) - before
+    assert sum(r.n for r in table.collect()) == 5000
+    # The setting is that of the session again, whether the session had one or not.
+    assert spark.conf.get(CLEANUP, None) is None
+    other = spark.newSession()
+    other.conf.set(CLEANUP, "false")
+    with pytest.raises(ZeroDivisionError), shuffles_freed(other):
+        assert other.conf.get(CLEANUP) == "true"
+        1 / 0
+    assert other.conf.get(CLEANUP) == "false"
+
+
+def test_numbers_of_rows_move_no_text(spark):
+    other = spark.newSession()
+    other.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    source = "named_struct('file', concat('f', id % 3), 'start', id % 2, 'row', id) AS source"
+    rows = other.range(60).selectExpr(source, "concat('text ', id) AS prompt", "'' AS completion")
+    placed = numbered(stored(rows, "rows"))
+    plan = placed._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    order = lambda r: (r.source.file, r.source.start, r.source.row)
+    got = placed.collect()
+    assert [r.place for r in sorted(got, key=order)] == sorted(r.place for r in got) and len({r.place for r in got}) == 60
+
+
+def test_pairs_twice_and_bad_lie_compressed_in_order(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(queries, "FILE_RECORDS", 4)
+    texts = [(k, f"ask {k}\n" + f'é "{k}",\nline\n' * 40) for k in range(9)]
+    spark.createDataFrame([*texts, (None, "no id\nx"), (3, "again\ny")], "doc_id long, text string").write.parquet(
+        str(tmp_path / "documents.parquet")
+    )
+    files = sorted(Path(queries._pairs_twice_and_bad(spark, str(tmp_path), packed=True)).glob("*.csv.gz"))
+    assert len(files) >= 3 * 11 / 4
+    raw = [gzip.decompress(f.read_bytes()) for f in files]
+    assert sum(f.stat().st_size for f in files) < sum(map(len, raw)) / 4
+    records = [r for data in raw for r in list(csv.reader(io.StringIO(data.decode("latin-1"), newline="")))[1:]]
+    pairs = [(a.encode("latin-1"), b.encode("latin-1")) for a, b in records]
+    assert pairs[:3] == [(b"no id", b"x"), (b"no id", b"x"), (b"no id", b"x\xff")]
+    want = {k: tuple(part.encode() for part in text.split("\n", 1)) for k, text in texts}
+    rest = [p for p in pairs[3:] if p[0] != b"again"]
+    assert rest == [(a, b + tail) for a, b in want.values() for tail in (b"", b"", b"\xff")] and len(pairs) == 33
