@@ -163,14 +163,15 @@ def shuffle_files(spark):
 
 
 def test_stored_tables_leave_no_shuffle_files(spark):
-    rows = spark.range(5000).groupBy((F.col("id") % 7).alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    # Others may have set the session of all tests.
+    other = spark.newSession()
+    rows = other.range(5000).groupBy((F.col("id") % 7).alias("k")).agg(F.count(F.lit(1)).alias("n"))
     before = shuffle_files(spark)
     table = stored(rows, "counts")
     assert not shuffle_files(spark) - before
     assert sum(r.n for r in table.collect()) == 5000
     # The setting is that of the session again, whether the session had one or not.
-    assert spark.conf.get(CLEANUP, None) is None
-    other = spark.newSession()
+    assert other.conf.get(CLEANUP, None) is None
     other.conf.set(CLEANUP, "false")
     with pytest.raises(ZeroDivisionError), shuffles_freed(other):
         assert other.conf.get(CLEANUP) == "true"
